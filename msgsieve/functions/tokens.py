@@ -83,6 +83,11 @@ def term_counts(tokens: str, out: str = "terms") -> SQLTransformer:
 
 
 def explode_terms(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
-    """Rows ``(keep..., term, tf)``, one per distinct term of each input row."""
+    """Rows ``(keep..., term, tf)``, one per distinct term of each input row.
+
+    The outer form matters: for a plain ``inline`` the optimizer adds a filter on the array's size and
+    pushes it below the projections that build the array, which evaluates them again, the sort once
+    per element.
+    """
     counted = term_counts(tokens).transform(df.select(*keep, tokens))
-    return counted.selectExpr(*keep, "inline(terms)")
+    return counted.selectExpr(*keep, "inline_outer(terms)").where("term IS NOT NULL")
