@@ -51,19 +51,23 @@ def weight_column(weights: dict[str, float], only: str | None = None) -> Column:
     return out
 
 
-def training_vectors(pipeline, train: DataFrame) -> DataFrame:
+def place_vectors(vectors: DataFrame) -> DataFrame:
     """``(row_id, label, features)`` placed by row id in tasks of even size and persisted.
 
-    Lost blocks are recomputed from the training table; hashing the id puts every row back where it
-    was. The caller unpersists.
+    Lost blocks are recomputed from the input; hashing the id puts every row back where it was. The
+    caller unpersists.
     """
-    rows = sum(label_counts(train).values())
-    vectors = pipeline.transform(train).select("row_id", "label", "features")
-    return vectors.repartition(max(1, -(-rows // ROWS_PER_TASK)), "row_id").persist(
+    rows = sum(label_counts(vectors).values())
+    placed = vectors.select("row_id", "label", "features")
+    return placed.repartition(max(1, -(-rows // ROWS_PER_TASK)), "row_id").persist(
         StorageLevel.MEMORY_AND_DISK
     )
 
 
+def training_vectors(pipeline, train: DataFrame) -> DataFrame:
+    return place_vectors(pipeline.transform(train))
+
+
 class Fitted:
     """A fitted model with one interface: ``predict(df)`` adds a ``prediction`` label."""
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgsieve.operators.clean import conform, fold_subject, normalise_label
 from msgsieve.operators.quality import union_sources
 from msgsieve.schema import FLAGGED_TEXT, LABELLED_TEXT
 
-# Where a row stands in its source: file, offset of the file's block, place in the task. Constant for
-# the same files and settings, which keep-first deduplication relies on.
-POSITION = F.struct(
-    F.col("_metadata.file_path").alias("file"),
-    F.col("_metadata.file_block_start").alias("block"),
-    F.monotonically_increasing_id().alias("place"),
-)
+def position() -> Column:
+    """Where a row stands in its source: file, offset of the file's block, place in the task.
+
+    Constant for the same files and settings, which keep-first deduplication relies on.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
 
 
 def scan_tsv(spark: SparkSession, path: str, source="uci_sms", channel="sms") -> DataFrame:
@@ -23,7 +26,7 @@ def scan_tsv(spark: SparkSession, path: str, source="uci_sms", channel="sms") ->
         path, sep="\t", quote="", schema=LABELLED_TEXT, ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
-    return conform(raw.withColumn("position", POSITION), source, channel, "position")
+    return conform(raw.withColumn("position", position()), source, channel, "position")
 
 
 def scan_flagged_csv(spark: SparkSession, path: str, source="mishra_sms", channel="sms") -> DataFrame:
@@ -33,7 +36,7 @@ def scan_flagged_csv(spark: SparkSession, path: str, source="mishra_sms", channe
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     rows = raw.select(
-        POSITION.alias("position"), normalise_label(F.col("LABEL")).alias("label"), F.col("TEXT").alias("text")
+        position().alias("position"), normalise_label(F.col("LABEL")).alias("label"), F.col("TEXT").alias("text")
     )
     return conform(rows, source, channel, "position")
 
@@ -47,7 +50,7 @@ def combine(
     spark: SparkSession, tsv: str, flagged_csv: str, phishing_mail: str, ham_spam_mail: str
 ) -> DataFrame:
     """All four corpora in their fixed order; ``source_rank`` and ``position`` order the rows."""
-    parsed = lambda path: spark.read.parquet(path).withColumn("position", POSITION)
+    parsed = lambda path: spark.read.parquet(path).withColumn("position", position())
     return union_sources(
         [
             scan_tsv(spark, tsv),

@@ -106,15 +106,17 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """One row per mail of the mboxes at ``path``.
 
     The separator line starts a record, so the text reader splits one large mbox over many tasks. The
-    first record of a file still carries its marker, the others have lost it; what is left of the
-    separator line is cut either way.
+    marker itself is lost for all but a file's first record; it is put back, because the mail parser
+    knows to skip a line that starts with it.
     """
     lines = spark.read.option("lineSep", "\nFrom ").text(path)
     record = F.col("value").cast("binary")
-    after_line = F.expr("substring(value, instr(value, '\n') + 1)").cast("binary")
+    marked = F.when(F.col("value").startswith("From "), record).otherwise(
+        F.concat(F.lit(b"From "), record)
+    )
     return lines.where(F.length(record) > 0).select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
-        after_line.alias("content"),
+        marked.alias("content"),
     )
 
 

@@ -53,7 +53,7 @@ def feature_rows(spark: SparkSession, path: str, names: list[str], *keep: str) -
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    model.save(path)
 
 
 def load_model(path: str) -> PipelineModel:
