@@ -190,10 +190,10 @@ def best_model(cells: DataFrame) -> DataFrame:
     return leaderboard(cells).limit(1)
 
 
-def side_by_side(metrics: DataFrame, a: str, b: str) -> DataFrame:
-    """``(slice, metric, <a>, <b>, difference)`` of two variants."""
+def side_by_side(metrics: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """``(by..., slice, metric, <a>, <b>, difference)`` of two variants."""
     return (
-        metrics.groupBy("slice", "metric")
+        metrics.groupBy(*by, "slice", "metric")
         .pivot("experiment", [a, b])
         .agg(F.max("value"))
         .withColumn("difference", F.col(b) - F.col(a))

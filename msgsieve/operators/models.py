@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import product
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
@@ -21,6 +24,8 @@ TOLERANCE = 1e-4
 # A solver step costs one job, so a small training set should not be spread over many tasks; a
 # large one gets as many as it needs.
 ROWS_PER_TASK = 2_000
+# Independent fits that run side by side.
+PARALLELISM = 6
 
 
 def indexer() -> StringIndexerModel:
@@ -58,7 +63,9 @@ def place_vectors(vectors: DataFrame) -> DataFrame:
     caller unpersists.
     """
     rows = sum(label_counts(vectors).values())
-    placed = vectors.select("row_id", "label", "features")
+    # The vectoriser names every feature in the column's metadata, which each task would carry.
+    bare = F.col("features").alias("features", metadata={})
+    placed = vectors.select("row_id", "label", bare)
     return placed.repartition(max(1, -(-rows // ROWS_PER_TASK)), "row_id").persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -126,8 +133,8 @@ def fit_svc(df: DataFrame, c: float = 1.0, balanced: bool = False) -> Fitted:
     counts = label_counts(df)
     weights = balanced_weights(counts)
     n = sum(counts.values())
-    models = {}
-    for label in sorted(counts):
+
+    def one(label):
         positive = weights[label] if balanced else 1.0
         total = n - counts[label] + positive * counts[label]
         data = df.withColumn("_target", (F.col("label") == label).cast("double")).withColumn(
@@ -141,8 +148,10 @@ def fit_svc(df: DataFrame, c: float = 1.0, balanced: bool = False) -> Fitted:
             maxIter=MAX_ITER_HINGE,
             tol=TOLERANCE,
         )
-        models[label] = solver.fit(data)
-    return Fitted("svc", models)
+        return label, solver.fit(data)
+
+    with ThreadPoolExecutor(len(counts)) as pool:
+        return Fitted("svc", dict(pool.map(one, sorted(counts))))
 
 
 def fit_bayes(df: DataFrame, complement: bool = False) -> Fitted:
@@ -184,43 +193,59 @@ def features_of(train: DataFrame, spec: FeatureSpec):
 
 
 def run_experiments(
-    train: DataFrame, test: DataFrame, plan: list[tuple[str, FeatureSpec, list[str]]]
+    train: DataFrame,
+    test: DataFrame,
+    plan: list[tuple[str, FeatureSpec, list[str]]],
+    predict: Callable[[FeatureSpec, str], DataFrame] | None = None,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
     """Tidy metric rows of every (experiment, model) in ``plan``.
 
     Experiments are isolated: one that fails becomes an ``error`` row and the rest go on. Equal
-    feature specs are fitted and computed once, and models on them share the persisted vectors.
+    (spec, model) pairs are fitted once, and models on the same spec share its vectors. ``predict``
+    may supply stored predictions of the test rows instead.
     """
-    results, errors, fitted, held = [], [], {}, []
     spark = train.sparkSession
-    for name, spec, models in plan:
-        for model_name in models:
-            try:
-                key = (spec, model_name)
-                if key not in fitted:
-                    if spec not in fitted:
-                        pipeline = features_of(train, spec)
-                        vectors = training_vectors(pipeline, train)
-                        held.append(vectors)
-                        fitted[spec] = (pipeline, vectors)
-                    pipeline, vectors = fitted[spec]
-                    model = SOLVERS[model_name](vectors)
-                    scored = model.predict(
-                        pipeline.transform(test).select("label", "channel", "features")
-                    )
-                    # Three labels x three predictions x two channels.
-                    fitted[key] = E.counts(scored).collect()
-                results += [(name, model_name, *row) for row in fitted[key]]
-            except Exception as error:  # noqa: BLE001 - the run must go on
-                errors.append((name, model_name, f"{type(error).__name__}: {error}"[:500]))
-    for vectors in held:
-        vectors.unpersist()
+    shared, lock = {}, Lock()
+
+    def vectors_of(spec):
+        with lock:
+            gate = shared.setdefault(spec, {"lock": Lock()})
+        with gate["lock"]:
+            if "vectors" not in gate:
+                gate["pipeline"] = features_of(train, spec)
+                gate["vectors"] = training_vectors(gate["pipeline"], train)
+        return gate["pipeline"], gate["vectors"]
+
+    def fit_and_predict(spec, solver):
+        pipeline, vectors = vectors_of(spec)
+        model = SOLVERS[solver](vectors)
+        return model.predict(pipeline.transform(test).select("label", "channel", "features"))
+
+    def one(pair):
+        try:
+            # Three labels x three predictions x two channels.
+            return E.counts((predict or fit_and_predict)(*pair)).collect(), None
+        except Exception as error:  # noqa: BLE001 - the run must go on
+            return [], f"{type(error).__name__}: {error}"[:500]
+
+    pairs = list(dict.fromkeys((spec, m) for _, spec, models in plan for m in models))
+    with ThreadPoolExecutor(parallelism) as pool:
+        outcome = dict(zip(pairs, pool.map(one, pairs)))
+    for gate in shared.values():
+        if "vectors" in gate:
+            gate["vectors"].unpersist()
+
+    runs = [(name, m, outcome[spec, m]) for name, spec, models in plan for m in models]
     cells = spark.createDataFrame(
-        results,
+        [(name, m, *row) for name, m, (rows, _) in runs for row in rows],
         "experiment string, model string, channel string, label string, prediction string, n long",
     )
     rows = E.metric_rows(cells, "experiment", "model").withColumn("error", F.lit(None).cast("string"))
-    failed = spark.createDataFrame(errors, "experiment string, model string, error string").select(
+    failed = spark.createDataFrame(
+        [(name, m, error) for name, m, (_, error) in runs if error],
+        "experiment string, model string, error string",
+    ).select(
         "experiment",
         "model",
         F.lit(E.ALL).alias("slice"),
@@ -267,19 +292,17 @@ ABLATIONS = {
 }
 
 
-def ablation(train: DataFrame, test: DataFrame, name: str, model: str = "LogisticRegression_balanced"):
-    """Two variants side by side: ``(ablation, slice, metric, a, b, difference)``."""
-    (a, spec_a), (b, spec_b) = ABLATIONS[name]
-    metrics = run_experiments(train, test, [(a, spec_a, [model]), (b, spec_b, [model])])
-    table = E.side_by_side(metrics.where(F.col("error").isNull()), a, b)
-    return table.select(
-        F.lit(name).alias("ablation"),
-        "slice",
-        "metric",
-        F.col(a).alias("a"),
-        F.col(b).alias("b"),
-        "difference",
+def ablations(
+    train: DataFrame, test: DataFrame, names=tuple(ABLATIONS), predict=None, model="LogisticRegression_balanced"
+) -> DataFrame:
+    """Pairs of variants side by side: ``(ablation, slice, metric, a, b, difference)``."""
+    plan = [(f"{n}/{name}", spec, [model]) for n in names for name, spec in ABLATIONS[n]]
+    metrics = run_experiments(train, test, plan, predict).where(F.col("error").isNull())
+    split = F.split("experiment", "/")
+    tidy = metrics.withColumn("ablation", split[0]).withColumn(
+        "experiment", F.lower(F.substring(split[1], 1, 1))
     )
+    return E.side_by_side(tidy, "a", "b", "ablation")
 
 
 # The grid of the tuning run.
@@ -287,7 +310,7 @@ GRID_C = [0.1, 1.0, 10.0]
 
 
 def cross_validate(
-    df: DataFrame, spec: FeatureSpec, grid=GRID_C, folds: int = FOLDS, parallelism: int = 3
+    df: DataFrame, spec: FeatureSpec, grid=GRID_C, folds: int = FOLDS, parallelism: int = PARALLELISM
 ) -> DataFrame:
     """``(c, fold, macro_f1)`` of balanced logistic regression; ``df`` has a ``fold`` column.
 
@@ -296,21 +319,22 @@ def cross_validate(
     fits run side by side.
     """
     spark = df.sparkSession
-    cells = []
-    for fold in range(folds):
+
+    def prepare(fold):
         inside, outside = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
         pipeline = features_of(inside, spec)
-        train = training_vectors(pipeline, inside)
         valid = pipeline.transform(outside).select("label", "channel", "features")
-        valid.persist(StorageLevel.MEMORY_AND_DISK)
+        return fold, training_vectors(pipeline, inside), valid.persist(StorageLevel.MEMORY_AND_DISK)
 
-        def one(c, train=train, valid=valid, fold=fold):
-            model = fit_logistic(train, c=c, balanced=True)
-            return [(c, fold, *row) for row in E.counts(model.predict(valid)).collect()]
+    def one(setting):
+        (fold, train, valid), c = setting
+        model = fit_logistic(train, c=c, balanced=True)
+        return [(c, fold, *row) for row in E.counts(model.predict(valid)).collect()]
 
-        with ThreadPoolExecutor(parallelism) as pool:
-            for rows in pool.map(one, grid):
-                cells += rows
+    with ThreadPoolExecutor(parallelism) as pool:
+        prepared = list(pool.map(prepare, range(folds)))
+        cells = [row for rows in pool.map(one, product(prepared, grid)) for row in rows]
+    for _, train, valid in prepared:
         train.unpersist()
         valid.unpersist()
     table = spark.createDataFrame(

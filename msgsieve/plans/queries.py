@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgsieve.functions import text as X
@@ -19,7 +20,7 @@ from msgsieve.operators import (
 from msgsieve.plans import stages as S
 from msgsieve.plans.probes import with_probes
 from msgsieve.schema import messages, table
-from msgsieve.session import scratch_path
+from msgsieve.session import scratch_path, stage
 from msgsieve.sources import corpora, mail, sinks
 
 QUERIES: dict = {}
@@ -491,10 +492,6 @@ def cnb_predict(spark, sf):
     return _scores(spark, sf, True)
 
 
-def _model_rows(spark, sf, spec, solver, *extra):
-    return S.test_predictions(spark, sf, spec, solver).select("row_id", "label", "prediction", *extra)
-
-
 @query
 def lr_fit(spark, sf):
     """Test predictions and probabilities of the unweighted logistic model."""
@@ -519,8 +516,6 @@ def svc_balanced(spark, sf):
 
 
 def _cv(spark, sf):
-    from msgsieve.session import stage
-
     return stage(
         spark, sf, "cv", lambda: M.cross_validate(R.kfold(S.train_rows(spark, sf)), M.FULL_8)
     )
@@ -536,23 +531,24 @@ def cv_summary(spark, sf):
     return M.cv_summary(_cv(spark, sf))
 
 
+def _stored(spark, sf):
+    return lambda spec, solver: S.test_predictions(spark, sf, spec, solver)
+
+
 @query
 def experiment_matrix(spark, sf):
-    return M.run_experiments(S.train_rows(spark, sf), S.test_rows(spark, sf), M.RUN_2)
+    train, test = S.train_rows(spark, sf), S.test_rows(spark, sf)
+    return M.run_experiments(train, test, M.RUN_2, _stored(spark, sf))
 
 
 @query
 def ablation(spark, sf):
-    train, test = S.train_rows(spark, sf), S.test_rows(spark, sf)
-    parts = [M.ablation(train, test, name) for name in M.ABLATIONS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return M.ablations(S.train_rows(spark, sf), S.test_rows(spark, sf), predict=_stored(spark, sf))
 
 
 @query
 def score_reload(spark, sf):
     """Save the feature pipeline and the classifier, load them, and score the test rows."""
-    from pyspark.ml import PipelineModel
-
     path = scratch_path(spark, "model")
     classifier = S.fitted(spark, sf, M.FULL_8, "LogisticRegression_balanced").model
     sinks.save_model(PipelineModel([S.feature_model(spark, sf, M.FULL_8), classifier, M.label_names()]), path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.operators import bayes as B, clean as C, evaluate as E, models as M, ranks as R, vectorize as V
@@ -12,10 +14,18 @@ from msgsieve.sources import sinks
 _models: dict[tuple, object] = {}
 
 
+_gates: dict[tuple, Lock] = {}
+_lock = Lock()
+
+
 def _once(spark: SparkSession, scope: str, name, build):
+    """``build()`` once per application and input, also when several threads ask for it."""
     key = (spark.sparkContext.applicationId, scope, name)
-    if key not in _models:
-        _models[key] = build()
+    with _lock:
+        gate = _gates.setdefault(key, Lock())
+    with gate:
+        if key not in _models:
+            _models[key] = build()
     return _models[key]
 
 
