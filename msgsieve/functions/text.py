@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Every character that Python's ``\s`` matches.
-SPACE = (
-    r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Every character that Python's ``\s`` matches: Unicode white space and four separators.
+SPACE = r"[\s\x{1c}-\x{1f}]"
 
 # Source artefacts and years that the ablations strip.
 YEAR_PATTERN = r"\b(19[9][0-9]|20[0-2][0-9])\b"
@@ -36,13 +33,25 @@ MOJIBAKE.update(
 )
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that later filters may name without evaluating them again.
+
+    A filter on an ordinary computed column is pushed below the projection, which repeats the
+    expression in the filter. Nothing is pushed below a generator, so one that yields exactly one row
+    keeps a costly expression to one evaluation.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select(*rest, F.inline(F.array(row)))
+
+
 def collapse_spaces(col: Column) -> Column:
     """Runs of Unicode whitespace become one space; ends are stripped."""
-    return F.trim(F.regexp_replace(col, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(col, f"(?U){SPACE}+", " "))
 
 
 def strip_spaces(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def capital_ratio(col: Column) -> Column:

@@ -35,7 +35,8 @@ def fold_subject(df: DataFrame) -> DataFrame:
 
 def min_body(df: DataFrame, body: str = "text") -> DataFrame:
     """Keep mails whose stripped body has at least ten characters, stripped."""
-    return df.withColumn(body, X.strip_spaces(F.col(body))).where(F.length(body) >= MIN_BODY)
+    stripped = X.computed_once(df, **{body: X.strip_spaces(F.col(body))})
+    return stripped.where(F.length(body) >= MIN_BODY).select(*df.columns)
 
 
 def length_band(df: DataFrame) -> DataFrame:
@@ -45,15 +46,13 @@ def length_band(df: DataFrame) -> DataFrame:
 def clean_text(df: DataFrame) -> DataFrame:
     """Drop missing texts, collapse whitespace, drop emptied texts, apply the length band,
     save the capital ratio, lower-case. One narrow stage, no shuffle."""
-    cleaned = (
-        df.dropna(subset=["text"])
-        .withColumn("text", X.collapse_spaces(F.col("text")))
-        .where(F.length("text") > 0)
-    )
-    return (
-        length_band(cleaned)
-        .withColumn("capital_ratio", X.capital_ratio(F.col("text")))
-        .withColumn("text", F.lower("text"))
+    present = df.dropna(subset=["text"])
+    collapsed = X.computed_once(present, text=X.collapse_spaces(F.col("text")))
+    kept = length_band(collapsed.where(F.length("text") > 0))
+    return kept.select(
+        *[c for c in df.columns if c != "text"],
+        F.lower("text").alias("text"),
+        X.capital_ratio(F.col("text")).alias("capital_ratio"),
     )
 
 
@@ -106,9 +105,8 @@ def attrition(df: DataFrame) -> DataFrame:
     Row-wise stages are counted where the rows are. The distinct counts go through two groupings on
     digests, the second on the output of the first, so no row is expanded per distinct column.
     """
-    text = X.collapse_spaces(F.col("text"))
     flags = (
-        df.select("text", text.alias("clean"))
+        X.computed_once(df.select("text"), clean=X.collapse_spaces(F.col("text")))
         .select(
             F.col("text").isNotNull().alias("present"),
             (F.length("clean") > 0).alias("filled"),

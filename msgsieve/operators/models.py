@@ -23,7 +23,7 @@ MAX_ITER_HINGE = 100
 TOLERANCE = 1e-4
 # A solver step costs one job, so a small training set should not be spread over many tasks; a
 # large one gets as many as it needs.
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 1_000
 # Independent fits that run side by side.
 PARALLELISM = 6
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from msgsieve.functions import signals as G
 from msgsieve.functions.signals import SIGNALS_8, SIGNALS_13
-from msgsieve.functions.text import MARKUP, MOJIBAKE, SOURCE_PATTERN, SPACE, YEAR_PATTERN
+from msgsieve.functions.text import MARKUP, MOJIBAKE, SOURCE_PATTERN, YEAR_PATTERN
 from msgsieve.functions.tokens import STOP_WORDS, WORD_PATTERN
 from msgsieve.plans.probes import probe_rows
 from msgsieve.schema import LABELS, MAX_DF, MAX_FEATURES, MIN_DF, SEED, TEST_SHARE
 from msgsieve.sources.mail import FOLDER_LABELS
 
 
+# Every character that Python's ``\s`` matches, spelled out for an ASCII engine.
+SPACE = (
+    r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

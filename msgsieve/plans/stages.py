@@ -7,7 +7,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.operators import bayes as B, clean as C, evaluate as E, models as M, ranks as R, vectorize as V
-from msgsieve.schema import messages
+from msgsieve.schema import messages, spread
 from msgsieve.session import scratch_path, stage
 from msgsieve.sources import sinks
 
@@ -32,7 +32,7 @@ def _once(spark: SparkSession, scope: str, name, build):
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned, repaired, deduplicated messages with their split."""
     base = stage(spark, sf, "messages", lambda: C.prepare(messages(spark, sf)))
-    return stage(spark, sf, "split", lambda: R.stratified_split(base))
+    return spread(stage(spark, sf, "split", lambda: R.stratified_split(base)), "row_id")
 
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:

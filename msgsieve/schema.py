@@ -42,19 +42,37 @@ PARSED_MAIL = T.StructType(
 )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for a table that is stored in fewer splits than there are cores.
+
+    Text work is costly per byte, and a small file is one split. A large table has more splits than
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The tables whose texts are worked on, with their ids.
+TEXT_IDS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), TEXT_IDS[name])
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled messages from ``documents`` and ``labels``.
 
     The join carries no hint: the label table grows with the data, so Catalyst broadcasts it
     only while its measured size is under the threshold and sort-merges it beyond.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
-    labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select(
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    return labelled.select(
         F.col("doc_id").alias("row_id"),
         "text",
         "source",

@@ -75,7 +75,7 @@ def parse_mail(raw: DataFrame) -> DataFrame:
     text = X.strip_spaces(body)
     usable = F.col("error").isNull() & (F.length("text") >= MIN_BODY)
     return (
-        parsed.withColumn("text", text)
+        X.computed_once(parsed, text=text)
         .withColumn("status", F.when(usable, "usable").otherwise("skipped"))
         .select("source_file", "subject", "text", "is_multipart", "status")
     )
