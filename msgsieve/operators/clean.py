@@ -46,7 +46,7 @@ def length_band(df: DataFrame) -> DataFrame:
 def clean_text(df: DataFrame) -> DataFrame:
     """Drop missing texts, collapse whitespace, drop emptied texts, apply the length band,
     save the capital ratio, lower-case. One narrow stage, no shuffle."""
-    present = df.dropna(subset=["text"])
+    present = df.where(F.col("text").isNotNull())
     collapsed = X.computed_once(present, text=X.collapse_spaces(F.col("text")))
     kept = length_band(collapsed.where(F.length("text") > 0))
     return kept.select(

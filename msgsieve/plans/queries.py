@@ -675,3 +675,10 @@ def score_messages(spark, sf):
     )
     scored = S.scorer(spark, sf, M.FULL_8)(turns)
     return scored.select("row_id", "prediction", "p_ham", "p_phishing", "p_spam")
+
+
+@query
+def score_with_reasons(spark, sf):
+    """Prediction, confidences and the eight strongest words of every SMS in the test split."""
+    rows = S.test_rows(spark, sf).where(F.col("channel") == "sms").select("row_id", "text")
+    return L.score_with_reasons(rows, S.scorer(spark, sf, M.WORD))

@@ -167,7 +167,7 @@ def test_explanations(spark, halves, full_model):
     def score(df):
         rows = df.withColumn("capital_ratio", F.lit(0.0))
         return M.with_probabilities(full_model.transform(rows)).select(
-            *df.columns, *[f"p_{c}" for c in LABELS]
+            *df.columns, "prediction", *[f"p_{c}" for c in LABELS]
         )
 
     rows = L.explain(some, score, num_features=3, n_samples=300).collect()
@@ -182,14 +182,19 @@ def test_explanations(spark, halves, full_model):
     again = L.explain(some.repartition(3), score, num_features=3, n_samples=300).collect()
     key = lambda rs: sorted((r.row_id, r["rank"], r.token, round(r.weight, 6)) for r in rs)
     assert key(rows) == key(again)
+    told = L.score_with_reasons(some, score, n_samples=100).collect()
+    assert len(told) == 4
+    for r in told:
+        assert r.prediction == texts[r.row_id].label and len(r.reasons.split(", ")) >= 3
 
 
 def test_perturbed_copies(spark):
     df = spark.createDataFrame([(1, "a b, a c!")], "row_id long, text string")
     rows = L.perturb(df, 400).orderBy("sample").collect()
     assert rows[0].text == "a b, a c!" and rows[0].kept == [1, 1, 1]
+    assert all(r.words is None for r in rows[1:])
     for r in rows:
-        kept = {w for w, k in zip(r.words, r.kept) if k}
+        kept = {w for w, k in zip(rows[0].words, r.kept) if k}
         assert r.text == "".join(p if p not in "abc" or p in kept else "" for p in "a b, a c!")
     left_out = [3 - sum(r.kept) for r in rows[1:]]
     for n in range(4):
@@ -204,7 +209,7 @@ def test_ridge_spaces_agree():
     direct = np.linalg.solve((c.T * w) @ c + 0.3 * np.eye(9), (c.T * w) @ (y - (w @ y) / w.sum()))
     assert np.allclose(wide, direct)
     assert L._local_fit(3, 25.0)(
-        pd.DataFrame({"row_id": [1], "class": ["ham"], "sample": [0], "words": [[]], "kept": [[]], "p": [0.5]})
+        pd.DataFrame({"row_id": [1], "sample": [0], "words": [[]], "kept": [[]], "p_ham": [1.0], "p_phishing": [0.0], "p_spam": [0.0]})
     ).empty
 
 
