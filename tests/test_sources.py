@@ -96,7 +96,7 @@ def test_mbox_as_the_library_reads_it(spark, tmp_path):
     assert {r.label for r in parsed.collect()} == {"phishing"}
 
 
-def test_unparsable_mail_is_counted_not_fatal(spark, monkeypatch):
+def test_unparsable_mail_is_counted_not_fatal(spark):
     raw = spark.createDataFrame([("f/1", bytearray(b"\xff\xfe\x00")), ("f/2", bytearray(b""))], "source_file string, content binary")
     assert [r.status for r in mail.parse_mail(raw).collect()] == ["skipped", "skipped"]
 
