@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from msgsieve.llm.language_model import op1_language_model
+from msgsieve.llm.packing import op6_packing
 
-QUERIES = {"op1_language_model": op1_language_model}
+QUERIES = {f.__name__: f for f in (op1_language_model, op6_packing)}
 
 ORACLE: dict[str, str] = {}
