@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from msgsieve.llm.line_dedup import op10_line_dedup
 from msgsieve.llm.language_model import op1_language_model
 from msgsieve.llm.near_dedup import op3_near_dedup
 from msgsieve.llm.packing import op6_packing
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op3_near_dedup, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op3_near_dedup, op6_packing, op10_line_dedup)}
 
 ORACLE: dict[str, str] = {}
