@@ -30,16 +30,17 @@ def rank_within(df: DataFrame, key: str, order: list[str], name: str, buckets: i
     top of the counts before it, so one key may hold most rows. ``order`` must tell rows apart; rows
     alike in all of it are interchangeable. The input is read twice: pass a written table.
     """
-    marked = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = marked.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(key).orderBy("_bucket")) - F.col("_n")
-    base = counts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), before.alias("_base"))
-    here = F.row_number().over(W.partitionBy(key, "_bucket").orderBy(*order)) - 1
+    own_key = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    marked = df.withColumns({"_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"), "_key": own_key})
+    counts = marked.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_n")
+    base = counts.select("_key", "_bucket", before.alias("_base"))
+    here = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy(*order)) - 1
     return (
         marked.withColumn("_here", here)
-        .join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+        .join(base, ["_key", "_bucket"])
         .withColumn(name, (F.col("_base") + F.col("_here")).cast("long"))
-        .drop("_bucket", "_key", "_b", "_base", "_here")
+        .select(*df.columns, name)
     )
 
 

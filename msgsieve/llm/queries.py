@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from msgsieve.llm.line_dedup import op10_line_dedup
 from msgsieve.llm.language_model import op1_language_model
+from msgsieve.llm.mixing import op9_mixing
 from msgsieve.llm.near_dedup import op3_near_dedup
 from msgsieve.llm.packing import op6_packing
+from msgsieve.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op3_near_dedup, op6_packing, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_model, op3_near_dedup, op5_toxicity, op6_packing, op9_mixing, op10_line_dedup)
+}
 
 ORACLE: dict[str, str] = {}
