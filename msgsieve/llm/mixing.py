@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from msgsieve.llm.common import rank_within, read, written
+from msgsieve.llm.common import rank_within, read
 
 BLOCK_ROWS = 16
 #: Weights are whole shares of this number, at least 1; a round has about so many slots.
@@ -126,16 +126,15 @@ def mixed(
     block_rows: int = BLOCK_ROWS,
     resolution: int = RESOLUTION,
 ) -> DataFrame:
-    """``id_col, source, block, slot, position`` for every row: its source's block, the slot of this
-    block, and the row's place in the whole order, from 0 without a gap.
+    """``docs`` with ``block, slot, position``: its source's block, the slot of this block, and the row's
+    place in the whole order, from 0 without a gap.
 
     ``weights`` has a positive number for each source; by default the square root of its rows. A null source
-    is a source (key None). Rows that repeat an id each get a place. An empty table gives none.
+    is a source (key None). The order within a source is a fixed random one, by the hash of id and, where
+    there is one, text; rows alike in both are interchangeable and get a place each. An empty table gives none.
+    ``docs`` is read twice: pass a stored table.
     """
-    keyed = docs.select(F.col(id_col), F.col(source)).withColumn(
-        "_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    )
-    rows = written(keyed, "mix-rows")
+    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     counts = rows.groupBy("_source", source).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -148,23 +147,25 @@ def mixed(
     )
     short_slot = np.array([s for s, _ in short], dtype=np.int64)
     lacking = np.concatenate([[0], np.cumsum([k for _, k in short], dtype=np.int64)])
-    ranked = rank_within(rows, "_source", [id_col], "_rank").select(id_col, source, "_source", "_rank")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"`{id_col}` {kinds[id_col]}, `{source}` {kinds[source]}, block long, slot long, position long"
+    text = [c for c, kind in docs.dtypes if kind == "string" and c != id_col]
+    ranked = rank_within(rows.withColumn("_digest", F.xxhash64(*text)) if text else rows, "_source", [id_col, *(["_digest"] if text else [])], "_rank")
+    columns = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", block long, slot long, position long"
 
     def run(batches):
         for batch in batches:
-            rank = np.asarray(batch.column(3))
+            field = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            rank = np.asarray(field["_rank"])
             block = rank // block_rows
-            codes = batch.column(2).dictionary_encode()
-            names, own = codes.dictionary.to_pylist(), np.asarray(codes.indices)
+            codes = field["_source"].dictionary_encode()
+            own = np.asarray(codes.indices)
             slot = np.zeros(len(rank), dtype=np.int64)
-            for k, name in enumerate(names):
+            for k, name in enumerate(codes.dictionary.to_pylist()):
                 slot[own == k] = slots(tracks[name], block[own == k])
             position = slot * block_rows + rank % block_rows - lacking[np.searchsorted(short_slot, slot)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(block), pa.array(slot), pa.array(position)],
-                [id_col, source, "block", "slot", "position"],
+                [*(field[c] for c in columns), pa.array(block), pa.array(slot), pa.array(position)],
+                [*columns, "block", "slot", "position"],
             )
 
     return ranked.mapInArrow(run, schema)
