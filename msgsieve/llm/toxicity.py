@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: one linear model for each category, each fed with the probabilities of
 the categories before it.
 
-Features are the presence of telling words and a few shares of characters. Telling words are those whose document
-frequency differs most between a category and the rest, by its z-score, over the labelled sample. Every
+Features are the presence of telling terms and a few shares of characters. Terms are words and, so that a model
+knows a word's other forms, beginnings of words. Telling ones are those whose document frequency differs
+most between a category and the rest, by its z-score, over the labelled sample. Every
 model of the chain is a logistic regression. For training, the probability of an earlier category comes
 from a model that has not seen the row (out of fold); for prediction, from the model of all rows, so the
 later models learn how far the earlier ones can be trusted.
@@ -25,7 +26,9 @@ from msgsieve.llm import hashing as H
 from msgsieve.llm.common import read, written
 
 SAMPLE = 20_000
-WORDS_PER_CATEGORY = 128
+TERMS_PER_CATEGORY = 256
+#: Bytes of a word's beginning that make a term, for words that go on.
+BEGINNINGS = (4, 5, 6, 7)
 LEAST_Z = 4.0
 LEAST_TEXTS = 5
 FOLDS = 3
@@ -41,7 +44,7 @@ _SHARES[5, [ord(c) for c in "!?"]] = 1
 
 @dataclass(frozen=True)
 class Chain:
-    """Categories in order, the telling words, and for each category an intercept and weights of
+    """Categories in order, the telling terms, and for each category an intercept and weights of
     words, shares and earlier probabilities; a category that was never or always seen is a constant."""
 
     categories: tuple[str, ...]
@@ -51,10 +54,16 @@ class Chain:
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of letters and digits, lower-cased, and their number in each text."""
+    """Hashes of the terms of runs of letters and digits, lower-cased, and the row of each."""
     data, offsets = H.buffers(column)
     starts, ends, counts = H.runs(data, offsets, _TERM)
-    return H.run_hashes(data, starts, ends, H._BYTE), counts
+    rows = np.repeat(np.arange(len(counts)), counts)
+    found, of = [H.run_hashes(data, starts, ends, H._BYTE)], [rows]
+    for n in BEGINNINGS:
+        longer = ends - starts > n
+        found.append(H.mix64(H.run_hashes(data, starts[longer], starts[longer] + n, H._BYTE) + H.U64(n)))
+        of.append(rows[longer])
+    return np.concatenate(found), np.concatenate(of)
 
 
 def shares(column: pa.Array) -> np.ndarray:
@@ -70,24 +79,23 @@ def shares(column: pa.Array) -> np.ndarray:
 
 def features(column: pa.Array, words: np.ndarray) -> np.ndarray:
     """A row of 0/1 for each telling word and the shares, for each text."""
-    found, counts = terms(column)
+    found, rows = terms(column)
     out = np.zeros((len(column), len(words) + len(_SHARES)))
     if len(words) and len(found):
         at = np.minimum(np.searchsorted(words, found), len(words) - 1)
         hit = words[at] == found
-        out[np.repeat(np.arange(len(counts)), counts)[hit], at[hit]] = 1.0
+        out[rows[hit], at[hit]] = 1.0
     out[:, len(words) :] = shares(column)
     return out
 
 
-def telling_words(sample: DataFrame, categories: list[str]) -> np.ndarray:
-    """Sorted hashes of the words that tell each category best; at most WORDS_PER_CATEGORY for each."""
+def telling_terms(sample: DataFrame, categories: list[str]) -> np.ndarray:
+    """Sorted hashes of the terms that tell each category best; at most TERMS_PER_CATEGORY for each."""
 
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "_text"):
-                found, counts = terms(part.column(0))
-                rows = np.repeat(np.arange(len(counts)), counts)
+                found, rows = terms(part.column(0))
                 order = np.lexsort((found, rows))
                 found, rows = found[order], rows[order]
                 new = np.concatenate([[True], (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])]) if len(found) else np.zeros(0, bool)
@@ -106,7 +114,7 @@ def telling_words(sample: DataFrame, categories: list[str]) -> np.ndarray:
             continue
         share = F.lit(k / n)
         z = F.abs(F.col(c) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS_PER_CATEGORY)
+        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(TERMS_PER_CATEGORY)
         chosen |= {r["word"] for r in best.collect()}
     return np.sort(np.array(sorted(chosen), dtype=np.int64).view(H.U64))
 
@@ -140,7 +148,7 @@ def fit_chain(
     without any labelled row every category is 0.
     """
     rows = labelled_sample(docs, labels, categories, id_col, text, sample)
-    words = telling_words(rows, categories)
+    words = telling_terms(rows, categories)
 
     def run(batches):
         for batch in batches:
@@ -182,7 +190,7 @@ def _logistic(vectors: DataFrame) -> tuple[float, np.ndarray]:
     low, high = vectors.agg(F.min("label"), F.max("label")).first()
     if low is None or low == high:
         return (float("inf") if high else float("-inf")), np.zeros(len(vectors.first()["features"]) if low is not None else 0)
-    model = LogisticRegression(maxIter=40, regParam=2e-3).fit(vectors)
+    model = LogisticRegression(maxIter=40, regParam=5e-4).fit(vectors)
     return float(model.intercept), model.coefficients.toArray()
 
 
