@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from msgsieve.llm.line_dedup import op10_line_dedup
+from msgsieve.llm.ann import op8_nearest
 from msgsieve.llm.language_id import op2_language_id
 from msgsieve.llm.language_model import op1_language_model
 from msgsieve.llm.mixing import op9_mixing
@@ -13,7 +14,7 @@ from msgsieve.llm.toxicity import op5_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_model, op2_language_id, op3_near_dedup, op5_toxicity, op6_packing, op7_quality_rules, op9_mixing, op10_line_dedup)
+    for f in (op1_language_model, op2_language_id, op3_near_dedup, op5_toxicity, op6_packing, op7_quality_rules, op8_nearest, op9_mixing, op10_line_dedup)
 }
 
 ORACLE: dict[str, str] = {}
