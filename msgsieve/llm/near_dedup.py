@@ -12,11 +12,15 @@ similarity a pair misses all ``BANDS`` bands with probability (1 - J**ROWS)**BAN
 and 3e-6 at 0.8.
 
 Verification takes whole sets and integer arithmetic. Texts with equal sets are one class from the
-start. In a bucket the first class is compared with all others; buckets whose classes are all in
-one component are finished, as nothing in them could add to a component. Of the others, small ones
-have all remaining pairs of different components compared, and large ones the next leader, until no
-bucket is left. So no pair that could change a component goes unverified, and a bucket of thousands of
-alike texts costs one comparison for each.
+start. In a bucket the first class is compared with all others, so a bucket of thousands of alike texts costs
+one comparison for each. Buckets whose classes are all in one component are finished then, as nothing in
+them could add to a component. In the others every pair of classes from different components
+is compared by its sketches, block by block where a bucket is large and in the first bucket that the two
+share, and pairs whose sketches agree as often as those of linked texts do are verified in their block. What
+leaves a block is which components are linked and no list of pairs. A linked pair agrees less often with a probability under
+1e-9 (Chernoff's bound), so no link between components is lost. Before that, shingles that only one of these
+classes has are counted: they are in no intersection, which bounds the similarity of a class to any other,
+exactly, and keeps a group of thousands of texts that are alike but not enough from being compared in pairs.
 """
 
 from __future__ import annotations
@@ -26,14 +30,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
 from msgsieve.llm.common import components, read, written
 
 BANDS, ROWS = 32, 5
-#: Buckets with at most so many classes left have all their open pairs verified in one round.
-SMALL = 48
+#: Classes of a bucket whose sketches are compared in one task.
+BLOCK = 1024
+LOST = 1e-9
 
 
 def sketch(elements: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
@@ -63,35 +68,136 @@ def sketch(elements: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def bands_of(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """A hash of each band's number and coordinates."""
-    parts = values.reshape(bands, -1)
-    made = np.arange(bands, dtype=H.U64)
-    for j in range(parts.shape[1]):
-        made = H.pair_hash(made, parts[:, j])
-    return made
+def least_agreeing(percent: int, t: int = BANDS * ROWS) -> int:
+    """How many coordinates of a linked pair agree at least, but for a probability of LOST."""
+    j, least = percent / 100, 0
+    for k in range(1, t):
+        q = k / t
+        if q >= j or t * (q * math.log(q / j) + (1 - q) * math.log((1 - q) / (1 - j))) < -math.log(LOST):
+            break
+        least = k
+    return least
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """``id, n, key, bands`` for every row: set size, digest of the set, band hashes (none for an empty set)."""
+    """``id, n, key, coords`` for every row: set size, digest of the set, 32 bits of each coordinate."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text"):
                 sets = H.shingles(*H.words(part.column(1)), shingle)
-                bands = [bands_of(sketch(s)).view(np.int64) if len(s) else [] for s in sets]
+                coords = [(sketch(s) >> H.U64(32)).astype(np.uint32).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(coords, pa.binary()),
                     ],
-                    ["id", "n", "key", "bands"],
+                    ["id", "n", "key", "coords"],
                 )
 
-    return source.mapInArrow(run, "id long, n long, key binary, bands array<long>")
+    return source.mapInArrow(run, "id long, n long, key binary, coords binary")
+
+
+def band_hashes(coords: Column) -> Column:
+    """A hash of the number and the coordinates of each band."""
+    size = 4 * ROWS
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(coords, i * size + 1, size)) for i in range(BANDS)])
+
+
+def dealt(open_rows: DataFrame) -> DataFrame:
+    """Rows of ``open_rows(number, band, node, n, s, c, m)`` in blocks ``(band, x, y)``.
+
+    A bucket of more than BLOCK classes is dealt by hash into parts, and each pair of parts is a block.
+    """
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    both = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return both.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "m")
+
+
+def block_pairs(table: pa.Table, x: int, y: int, percent: int):
+    """Rows of a block that may be linked to each row of its first part: ``(row, rows)``.
+
+    They are of different components, may be similar enough by size, share no bucket of a smaller number, and
+    their sketches agree often enough.
+    """
+    least, columns = least_agreeing(percent), ("number", "node", "n", "s", "c", "own")
+    number, node, n, s, c, own = (table.column(k).to_numpy() for k in columns)
+    coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    for i in left.tolist():
+        most = np.minimum(s[right], s[i])
+        fits = 100 * most >= percent * (n[right] + n[i] - most)
+        to = right[fits & (c[right] != c[i]) & ((node[right] > node[i]) | (x != y))]
+        agree = coords[to] == coords[i]
+        to, agree = to[agree.sum(axis=1) >= least], agree[agree.sum(axis=1) >= least]
+        first = agree.reshape(len(to), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(to) else to
+        to = to[first == number[i]]
+        if len(to):
+            yield i, to
+
+
+def with_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``dealt`` rows, by ``band, x, y, node``, that have a pair to be verified."""
+
+    def run(key, table):
+        x, y = key[1].as_py(), key[2].as_py()
+        taken = np.zeros(table.num_rows, dtype=bool)
+        for i, to in block_pairs(table, x, y, percent):
+            taken[i] = taken[to] = True
+        return table.select(["band", "x", "y", "node"]).filter(pa.array(taken))
+
+    return rows.groupBy("band", "x", "y").applyInArrow(run, "band long, x int, y int, node long")
+
+
+def linked_components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of components that a verified pair links; ``rows`` are dealt and have a ``text``."""
+
+    def run(key, table):
+        x, y = key[1].as_py(), key[2].as_py()
+        sets = []
+        for batch in table.select(["text"]).to_batches():
+            for part in H.pieces(batch, "text"):
+                sets += H.shingles(*H.words(part.column(0)), shingle)
+        sizes = np.array([len(e) for e in sets])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        names, number = np.unique(np.concatenate([*sets, np.zeros(0, H.U64)]), return_inverse=True)
+        c, held, links = table.column("c").to_numpy(), np.zeros(len(names), dtype=np.int64), set()
+        for i, to in block_pairs(table, x, y, percent):
+            own = number[first[i] : first[i + 1]]
+            held[own] = 1
+            for start in range(0, len(to), 1000):
+                part = to[start : start + 1000]
+                upto = np.cumsum(sizes[part])
+                at = np.arange(int(upto[-1])) + np.repeat(first[part] - (upto - sizes[part]), sizes[part])
+                common = np.add.reduceat(held[number[at]], upto - sizes[part])
+                linked = 100 * common >= percent * (sizes[part] + sizes[i] - common)
+                links |= {(min(int(c[i]), k), max(int(c[i]), k)) for k in np.unique(c[part[linked]]).tolist()}
+            held[own] = 0
+        ordered = sorted(links)
+        return pa.Table.from_arrays([pa.array([e[k] for e in ordered], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+def shared_sizes(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, own``: how many shingles of a class no other of ``texts(node, text)`` has, where there are any."""
+
+    def run(batches):
+        for batch in batches:
+            for part in H.pieces(batch, "text", 2_000_000):
+                sets = H.shingles(*H.words(part.column(1)), shingle)
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"]
+                )
+
+    held = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -132,54 +238,45 @@ def near_duplicates(
     class_of = with_set.groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"))
     classes = written(class_of, "classes")
     owners = with_set.join(classes.selectExpr("key", "node AS id"), ["key", "id"]).dropDuplicates(["key"])
-    nodes = written(owners.selectExpr("id AS node", "n", "bands"), "nodes")
-    member = nodes.select("node", "n", F.explode("bands").alias("band"))
-    several = member.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_rows = written(
-        member.join(several.select("band", "leader"), "band").select("band", "leader", "node", "n"), "buckets"
+    nodes = written(owners.selectExpr("id AS node", "n", "coords"), "nodes")
+    member = nodes.select("node", "n", F.posexplode(band_hashes(F.col("coords"))).alias("number", "band"))
+    several = member.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+    rows_of = written(
+        member.join(several.select("band", "leader"), "band").select("number", "band", "leader", "node", "n"), "buckets"
     )
-    wanted = open_rows.select(F.col("node").alias("id")).distinct()
+    wanted = rows_of.select(F.col("node").alias("id")).distinct()
     texts = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
         .join(wanted, "id")
         .select(F.col("id").alias("node"), "text"),
         "texts",
     )
-    links = None
-    sizes = open_rows.select(F.col("node").alias("leader"), F.col("n").alias("n_leader")).distinct()
-    candidates = (
-        open_rows.where("leader <> node")
+    sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"))
+    led = (
+        rows_of.where("leader <> node")
         .select("leader", "node", "n")
         .distinct()
         .join(sizes, "leader")
         .where(f"100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)")
         .selectExpr("leader AS a", "node AS b")
     )
-    while True:
-        found = written(verified(candidates, texts, shingle, percent), "links")
-        links = found if links is None else links.union(found)
-        component = written(components(links), "components")
-        placed = open_rows.join(component.select("node", "component"), "node", "left").select(
-            "band", "leader", "node", "n", F.coalesce("component", "node").alias("c")
-        )
-        # The leader has met all others of its bucket: it leaves. Left are buckets of several components.
-        rest = placed.where("leader <> node")
-        mixed = rest.groupBy("band").agg(
-            F.min("node").alias("next"), F.count(F.lit(1)).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")
-        ).where("c1 <> c2")
-        open_now = written(
-            rest.drop("leader").join(mixed.select("band", "next", "m"), "band").withColumnRenamed("next", "leader"), "open"
-        )
-        if open_now.isEmpty():
-            break
-        small, large = open_now.where(F.col("m") <= SMALL), open_now.where(F.col("m") > SMALL)
-        other = small.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-        fits = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND c <> c_b"
-        within = small.join(other, "band").where(f"node < b AND {fits}").selectExpr("node AS a", "b")
-        leaders = large.where("leader = node").select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-        led = large.where("leader <> node").join(leaders, "band").where(fits).selectExpr("node AS a", "b")
-        candidates = written(within.union(led).distinct(), "candidates")
-        open_rows = large.select("band", "leader", "node", "n")
+    links = written(verified(led, texts, shingle, percent), "links")
+    component = written(components(links), "components")
+    placed = rows_of.join(component, "node", "left").select(
+        "number", "band", "leader", "node", "n", F.coalesce("component", "node").alias("c")
+    )
+    # The leader has met all others of its bucket: it leaves. Left are buckets of several components.
+    rest = written(placed.where("leader <> node").drop("leader"), "open")
+    mixed = rest.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
+    open_rows = written(rest.join(mixed, "band"), "open-buckets")
+    own = shared_sizes(texts.join(open_rows.select("node").distinct(), "node"), shingle)
+    alike = open_rows.join(own, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+    alike = written(alike.where(f"100 * s >= {percent} * n").select("number", "band", "node", "n", "s", "c"), "open-alike")
+    many = alike.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    blocks = dealt(alike.join(many.where("c1 <> c2").select("band", "m"), "band")).join(nodes.select("node", "coords"), "node")
+    chosen = written(with_pairs(blocks, percent), "candidates")
+    more = written(linked_components(blocks.join(chosen, ["band", "x", "y", "node"]).join(texts, "node"), shingle, percent), "links")
+    component = written(components(links.union(more)), "components")
     named = classes.join(component, "node", "left").select(
         "key", F.coalesce("component", "node").alias("component_id")
     )
