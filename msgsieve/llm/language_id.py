@@ -148,7 +148,8 @@ def identify(model: Identifier, data: np.ndarray) -> tuple[str, float]:
 
 def identified(docs: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); ``und`` and 0 if a text is null or has no letter,
-    or if nothing was learnt."""
+    or if nothing was learnt. Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
 

@@ -231,23 +231,23 @@ def cut(text: Column, spans: Column) -> Column:
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, spare: float | None = None
 ) -> DataFrame:
-    """``docs`` with blocks that an earlier document holds deleted from ``text``, and ``words_before``.
+    """``docs`` with blocks that an earlier document holds deleted from ``text``, and ``words_before`` (a
+    column of this name is replaced).
 
     The earlier document is the one with the smaller id. ``words_before`` is the number of words a changed text
     had, null for texts left as they are, among them null and empty ones and rows without an id. Rows
     that repeat an id and a text are one document and are not cut because of each other.
     """
     blocks = written(repeated_blocks(docs, id_col, text, min_words, spare), "line-blocks")
-    marked = docs.withColumn("_digest", F.xxhash64(text)).join(
-        blocks.selectExpr("id AS _id", "digest AS _d", "spans AS _spans"),
-        (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_digest") == F.col("_d")),
-        "left",
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest")
     )
-    changed = F.col("_spans").isNotNull()
-    words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return marked.withColumns(
-        {"words_before": F.when(changed, words), text: F.when(changed, cut(F.col(text), F.col("_spans"))).otherwise(F.col(text))}
-    ).select(*docs.columns, "words_before")
+    marked = own.join(blocks.select("id", "digest", "spans"), ["id", "digest"], "left")
+    changed, before = F.col("spans").isNotNull(), F.col("row").getField(text)
+    words = F.size(F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    after = F.when(changed, cut(before, F.col("spans"))).otherwise(before)
+    kept = [after.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != "words_before"]
+    return marked.select(*kept, F.when(changed, words).alias("words_before"))
 
 
 def op10_line_dedup(spark, sf_dir):

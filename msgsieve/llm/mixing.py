@@ -127,19 +127,26 @@ def mixed(
     resolution: int = RESOLUTION,
 ) -> DataFrame:
     """``docs`` with ``block, slot, position``: its source's block, the slot of this block, and the row's
-    place in the whole order, from 0 without a gap.
+    place in the whole order, from 0 without a gap. Columns of these names are replaced.
 
     ``weights`` has a positive number for each source; by default the square root of its rows. A null source
     is a source (key None). The order within a source is a fixed random one, by the hash of id and, where
     there is one, text; rows alike in both are interchangeable and get a place each. An empty table gives none.
     ``docs`` is read twice: pass a stored table.
     """
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    counts = rows.groupBy("_source", source).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    text = [c for c, kind in docs.dtypes if kind == "string" and c != id_col]
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),  # so that no column can clash with those below
+        F.col(id_col).alias("id"),
+        F.col(source).alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("of"),
+        F.xxhash64(*text).alias("digest") if text else F.lit(0).alias("digest"),
+    )
+    counts = rows.groupBy("of", "source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    target = {r["_source"]: weights[r[source]] if weights else r["n"] ** 0.5 for r in counts}
-    sizes = {r["_source"]: r["n"] for r in counts}
+    target = {r["of"]: weights[r["source"]] if weights else r["n"] ** 0.5 for r in counts}
+    sizes = {r["of"]: r["n"] for r in counts}
     tracks = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, whole_weights(target, resolution))
     # The last block of a source may be short: later rows move up by what it lacks.
     short = sorted(
@@ -147,25 +154,25 @@ def mixed(
     )
     short_slot = np.array([s for s, _ in short], dtype=np.int64)
     lacking = np.concatenate([[0], np.cumsum([k for _, k in short], dtype=np.int64)])
-    text = [c for c, kind in docs.dtypes if kind == "string" and c != id_col]
-    ranked = rank_within(rows.withColumn("_digest", F.xxhash64(*text)) if text else rows, "_source", [id_col, *(["_digest"] if text else [])], "_rank")
-    columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", block long, slot long, position long"
+    ranked = rank_within(rows.drop("source"), "of", ["id", "digest"], "rank")
+    made = ["block", "slot", "position"]
+    columns = [c for c in docs.columns if c not in made]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", block long, slot long, position long"
 
     def run(batches):
         for batch in batches:
             field = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            rank = np.asarray(field["_rank"])
+            rank = np.asarray(field["rank"])
             block = rank // block_rows
-            codes = field["_source"].dictionary_encode()
+            codes = field["of"].dictionary_encode()
             own = np.asarray(codes.indices)
             slot = np.zeros(len(rank), dtype=np.int64)
             for k, name in enumerate(codes.dictionary.to_pylist()):
                 slot[own == k] = slots(tracks[name], block[own == k])
             position = slot * block_rows + rank % block_rows - lacking[np.searchsorted(short_slot, slot)]
             yield pa.RecordBatch.from_arrays(
-                [*(field[c] for c in columns), pa.array(block), pa.array(slot), pa.array(position)],
-                [*columns, "block", "slot", "position"],
+                [*(field["row"].field(c) for c in columns), pa.array(block), pa.array(slot), pa.array(position)],
+                [*columns, *made],
             )
 
     return ranked.mapInArrow(run, schema)

@@ -205,8 +205,10 @@ def probabilities(chain: Chain, column: pa.Array) -> np.ndarray:
 
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability for each category; a null or empty text has probability 0 of all."""
+    """``docs`` with a probability for each category; a null or empty text has probability 0 of all.
+    Columns of the new names are replaced."""
     names = [prefix + c for c in chain.categories]
+    docs = docs.drop(*names)
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{n}` double" for n in names)
 
