@@ -36,6 +36,8 @@ from msgsieve.llm import hashing as H
 from msgsieve.llm.common import components, read, written
 
 BANDS, ROWS = 32, 5
+#: A power of two, so many numbers of bands fit into the last bits of a band's hash.
+NUMBERS = 32
 #: Classes of a bucket whose sketches are compared in one task.
 BLOCK = 1024
 LOST = 1e-9
@@ -102,13 +104,14 @@ def sketched(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame
 
 
 def band_hashes(coords: Column) -> Column:
-    """A hash of the number and the coordinates of each band."""
+    """A hash of the number and the coordinates of each band, with the number in its last bits."""
     size = 4 * ROWS
-    return F.array(*[F.xxhash64(F.lit(i), F.substring(coords, i * size + 1, size)) for i in range(BANDS)])
+    hashes = [F.xxhash64(F.lit(i), F.substring(coords, i * size + 1, size)) for i in range(BANDS)]
+    return F.array(*[h.bitwiseAND(~(NUMBERS - 1)).bitwiseOR(i) for i, h in enumerate(hashes)])
 
 
 def dealt(open_rows: DataFrame) -> DataFrame:
-    """Rows of ``open_rows(number, band, node, n, s, c, m)`` in blocks ``(band, x, y)``.
+    """Rows of ``open_rows(band, node, n, s, c, m)`` in blocks ``(band, x, y)``.
 
     A bucket of more than BLOCK classes is dealt by hash into parts, and each pair of parts is a block.
     """
@@ -124,8 +127,8 @@ def block_pairs(table: pa.Table, x: int, y: int, percent: int):
     They are of different components, may be similar enough by size, share no bucket of a smaller number, and
     their sketches agree often enough.
     """
-    least, columns = least_agreeing(percent), ("number", "node", "n", "s", "c", "own")
-    number, node, n, s, c, own = (table.column(k).to_numpy() for k in columns)
+    least, columns = least_agreeing(percent), ("band", "node", "n", "s", "c", "own")
+    band, node, n, s, c, own = (table.column(k).to_numpy() for k in columns)
     coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
     for i in left.tolist():
@@ -135,7 +138,7 @@ def block_pairs(table: pa.Table, x: int, y: int, percent: int):
         agree = coords[to] == coords[i]
         to, agree = to[agree.sum(axis=1) >= least], agree[agree.sum(axis=1) >= least]
         first = agree.reshape(len(to), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(to) else to
-        to = to[first == number[i]]
+        to = to[first == band[i] % NUMBERS]
         if len(to):
             yield i, to
 
@@ -239,10 +242,10 @@ def near_duplicates(
     classes = written(class_of, "classes")
     owners = with_set.join(classes.selectExpr("key", "node AS id"), ["key", "id"]).dropDuplicates(["key"])
     nodes = written(owners.selectExpr("id AS node", "n", "coords"), "nodes")
-    member = nodes.select("node", "n", F.posexplode(band_hashes(F.col("coords"))).alias("number", "band"))
+    member = nodes.select("node", F.explode(band_hashes(F.col("coords"))).alias("band"))
     several = member.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     rows_of = written(
-        member.join(several.select("band", "leader"), "band").select("number", "band", "leader", "node", "n"), "buckets"
+        member.join(several.select("band", "leader"), "band").select("band", "leader", "node"), "buckets"
     )
     wanted = rows_of.select(F.col("node").alias("id")).distinct()
     texts = written(
@@ -254,8 +257,9 @@ def near_duplicates(
     sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"))
     led = (
         rows_of.where("leader <> node")
-        .select("leader", "node", "n")
+        .select("leader", "node")
         .distinct()
+        .join(nodes.select("node", "n"), "node")
         .join(sizes, "leader")
         .where(f"100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)")
         .selectExpr("leader AS a", "node AS b")
@@ -263,15 +267,16 @@ def near_duplicates(
     links = written(verified(led, texts, shingle, percent), "links")
     component = written(components(links), "components")
     placed = rows_of.join(component, "node", "left").select(
-        "number", "band", "leader", "node", "n", F.coalesce("component", "node").alias("c")
+        "band", "leader", "node", F.coalesce("component", "node").alias("c")
     )
     # The leader has met all others of its bucket: it leaves. Left are buckets of several components.
     rest = written(placed.where("leader <> node").drop("leader"), "open")
     mixed = rest.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
     open_rows = written(rest.join(mixed, "band"), "open-buckets")
     own = shared_sizes(texts.join(open_rows.select("node").distinct(), "node"), shingle)
-    alike = open_rows.join(own, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-    alike = written(alike.where(f"100 * s >= {percent} * n").select("number", "band", "node", "n", "s", "c"), "open-alike")
+    alike = open_rows.join(nodes.select("node", "n"), "node").join(own, "node", "left")
+    alike = alike.withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * s >= {percent} * n")
+    alike = written(alike.select("band", "node", "n", "s", "c"), "open-alike")
     many = alike.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     blocks = dealt(alike.join(many.where("c1 <> c2").select("band", "m"), "band")).join(nodes.select("node", "coords"), "node")
     chosen = written(with_pairs(blocks, percent), "candidates")
