@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,10 +28,27 @@ MOJIBAKE = {
     "â€”": "—",
     "â‚¬": "€",
 }
-# The accented letters á to ÿ read as two Latin-1 characters each, by rule.
-MOJIBAKE.update(
-    {lead + chr(point - 0x40): chr(point) for lead in "Ãã" for point in range(0xE1, 0x100)}
-)
+# Marks that follow a word in sound text, so they prove nothing after a lower-case letter.
+AFTER_WORDS = "ª«´·¸¹²³º»¡¿¨¯"
+
+
+def _two_bytes(lead: str, read_as: str) -> dict[str, str]:
+    """Characters of two UTF-8 bytes with this first byte, as they look when read in Windows-1252."""
+    out = {}
+    for second in range(0x80, 0xC0):
+        try:
+            mark = bytes([second]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+        if read_as.isupper() or mark not in AFTER_WORDS and not mark.isspace():
+            out[read_as + mark] = (lead.encode("cp1252") + bytes([second])).decode("utf-8")
+    return out
+
+
+# By rule: accented letters and Latin-1 signs read as two characters, as they are and lower-cased.
+for _lead in "ÃÂ":
+    MOJIBAKE.update(_two_bytes(_lead, _lead) | MOJIBAKE)
+MOJIBAKE.update(_two_bytes("Ã", "ã"))
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -110,20 +128,34 @@ def fix_encoding(col: Column) -> Column:
     return _replace_found(col, pattern, 0, lambda bad: (bad, F.element_at(table, bad)))
 
 
+# Numeric references to the Windows-1252 control range mean the characters of that code page.
+_CONTROLS = {str(p): bytes([p]).decode("cp1252") for p in range(0x80, 0xA0) if p not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _map(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def _character(digits: Column, base: int) -> Column:
-    point = F.conv(digits, base, 10).cast("int")
-    valid = (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    """The character of a number of any length without leading zeros."""
+    point = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("int"))
+    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
     utf32 = F.unhex(F.lpad(F.hex(point), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("\ufffd"))
+    plain = F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("\ufffd"))
+    return F.coalesce(F.try_element_at(_map(_CONTROLS), F.coalesce(point.cast("string"), F.lit(""))), plain)
 
 
 def decode_entities(col: Column) -> Column:
-    """HTML character references to characters; the ampersand last, so nothing decodes twice."""
-    table = _lookup({k: chr(v) for k, v in sorted(name2codepoint.items()) if k != "amp"})
+    """HTML character references to characters; the ampersand last, so nothing decodes twice.
+
+    Names are those of HTML 5; the older ones among them also count without a semicolon, and so do numbers.
+    """
+    names = _map({k: v for k, v in html5.items() if k not in ("amp", "amp;", "AMP", "AMP;")})
+    older = sorted((k for k in html5 if not k.endswith(";") and k.lower() != "amp"), key=lambda k: (-len(k), k))
 
     def named(name):
-        ref = F.concat(F.lit("&"), name, F.lit(";"))
-        return ref, F.coalesce(F.element_at(table, name), ref)
+        ref = F.concat(F.lit("&"), name)
+        return ref, F.coalesce(F.try_element_at(names, name), ref)
 
     def decimal(digits):
         return F.concat(F.lit("&#"), digits, F.lit(";")), _character(digits, 10)
@@ -131,15 +163,21 @@ def decode_entities(col: Column) -> Column:
     def hexadecimal(digits):
         return F.concat(F.lit("&#x"), digits, F.lit(";")), _character(digits, 16)
 
-    out = F.regexp_replace(F.replace(col, F.lit("&#X"), F.lit("&#x")), "&#0*38;|&#x0*26;", "&amp;")
-    out = _replace_found(out, "&([A-Za-z][A-Za-z0-9]+);", 1, named)
-    out = _replace_found(out, "&#([0-9]{1,8});", 1, decimal)
-    out = _replace_found(out, "&#x([0-9a-fA-F]{1,6});", 1, hexadecimal)
+    out = F.regexp_replace(F.regexp_replace(col, "&#0*([0-9]+);?", "&#$1;"), "&#[xX]0*([0-9a-fA-F]+);?", "&#x$1;")
+    out = F.regexp_replace(out, "&#38;|&#x26;|&(?:amp|AMP);?", "&amp;")
+    out = _replace_found(out, "&([A-Za-z][A-Za-z0-9]*;)", 1, named)
+    out = _replace_found(out, f"&({'|'.join(older)})", 1, named)
+    out = _replace_found(out, "&#([0-9]+);", 1, decimal)
+    out = _replace_found(out, "&#x([0-9a-fA-F]+);", 1, hexadecimal)
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-# Comments, script and style content, and tags.
-MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]+>"
+# Comments, script and style content, each up to the end if it is not closed, and tags. A tag starts with a
+# letter or one of / ! ?, and its quoted values may hold the closing sign.
+MARKUP = (
+    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+    r"""|<[a-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
+)
 
 
 def html_to_text(col: Column) -> Column:

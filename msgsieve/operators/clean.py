@@ -43,6 +43,15 @@ def length_band(df: DataFrame) -> DataFrame:
     return df.where(F.length("text").between(MIN_CHARS, MAX_CHARS))
 
 
+def for_scoring(df: DataFrame) -> DataFrame:
+    """The text as ``clean_text`` leaves it, with its capital ratio, for every row: a message to be scored is
+    never dropped. A missing text counts as an empty one."""
+    collapsed = X.computed_once(df, text=X.collapse_spaces(F.coalesce("text", F.lit(""))))
+    rest = [c for c in df.columns if c not in ("text", "capital_ratio")]
+    ratio = X.capital_ratio(F.col("text")).alias("capital_ratio")
+    return collapsed.select(*rest, F.lower("text").alias("text"), ratio)
+
+
 def clean_text(df: DataFrame) -> DataFrame:
     """Drop missing texts, collapse whitespace, drop emptied texts, apply the length band,
     save the capital ratio, lower-case. One narrow stage, no shuffle."""

@@ -21,9 +21,6 @@ MAX_ITER = 1000
 # The hinge has no curvature for the solver to use; past this many steps it only oscillates.
 MAX_ITER_HINGE = 100
 TOLERANCE = 1e-4
-# A solver step costs one job, so a small training set should not be spread over many tasks; a
-# large one gets as many as it needs.
-ROWS_PER_TASK = 1_000
 # Independent fits that run side by side.
 PARALLELISM = 6
 
@@ -57,18 +54,15 @@ def weight_column(weights: dict[str, float], only: str | None = None) -> Column:
 
 
 def place_vectors(vectors: DataFrame) -> DataFrame:
-    """``(row_id, label, features)`` placed by row id in tasks of even size and persisted.
+    """``(row_id, label, features)`` placed by row id in tasks of even size in bytes and persisted.
 
     Lost blocks are recomputed from the input; hashing the id puts every row back where it was. The
     caller unpersists.
     """
-    rows = sum(label_counts(vectors).values())
     # The vectoriser names every feature in the column's metadata, which each task would carry.
     bare = F.col("features").alias("features", metadata={})
     placed = vectors.select("row_id", "label", bare)
-    return placed.repartition(max(1, -(-rows // ROWS_PER_TASK)), "row_id").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    return placed.hint("rebalance", "row_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def training_vectors(pipeline, train: DataFrame) -> DataFrame:
@@ -90,8 +84,9 @@ class Fitted:
     def _predict_margins(self, df: DataFrame) -> DataFrame:
         out = df
         for label, model in self.model.items():
-            model.setRawPredictionCol(f"_raw_{label}").setPredictionCol(f"_pred_{label}")
-            out = model.transform(out)
+            # Several threads may predict with this model: the columns are set on a copy.
+            own = model.copy().setRawPredictionCol(f"_raw_{label}").setPredictionCol(f"_pred_{label}")
+            out = own.transform(out)
         out = out.withColumns({f"{c}_margin": vector_to_array(f"_raw_{c}")[1] for c in self.model})
         # The first largest margin in label order.
         best = F.array_max(F.array(*[f"{c}_margin" for c in self.model]))
@@ -227,7 +222,7 @@ def run_experiments(
             # Three labels x three predictions x two channels.
             return E.counts((predict or fit_and_predict)(*pair)).collect(), None
         except Exception as error:  # noqa: BLE001 - the run must go on
-            return [], f"{type(error).__name__}: {error}"[:500]
+            return [], f"{type(error).__name__}: {error}"
 
     pairs = list(dict.fromkeys((spec, m) for _, spec, models in plan for m in models))
     with ThreadPoolExecutor(parallelism) as pool:

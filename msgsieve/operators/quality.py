@@ -92,7 +92,7 @@ def labels_per_source(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, col: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def describe(df: DataFrame, col: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles as ``(statistic, value)``."""
     moments = df.agg(
         F.count(col).cast("double").alias("count"),

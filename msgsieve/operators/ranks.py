@@ -15,6 +15,8 @@ from msgsieve.schema import FOLDS, SEED, TEST_SHARE
 
 # Four hex digits of the hash: at most 65,536 count rows per stratum.
 BUCKET_DIGITS = 4
+# Up to so many strata the cut keys are broadcast; beyond, they are joined like any table.
+FEW_STRATA = 10_000
 
 
 def shuffled_order(id_col: str, seed: int) -> Column:
@@ -29,46 +31,52 @@ def assign_blocks(
 
     ``cuts_of(totals)`` takes ``(strata..., n)`` and returns ``(strata..., cut, upto)``: block ``cut``
     ends after the ``upto``-th row. The rows themselves are not shuffled: each meets the cut keys of
-    its stratum in a broadcast join whose size is strata x cuts.
+    its stratum in a join whose small side, of strata x cuts rows, is broadcast if there are few strata. A missing value is a stratum like any
+    other.
     """
+    # Strata as one text that is never missing, so that every join is an equality.
+    key = F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})
     keys = df.select(
-        *strata, F.col(id_col).alias("_id"), shuffled_order(id_col, seed).alias("_hash")
+        *strata, key.alias("_key"), F.col(id_col).alias("_id"), shuffled_order(id_col, seed).alias("_hash")
     ).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    counts = keys.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*strata).agg(F.sum("_n").alias("n"))
-    cuts = cuts_of(totals)
+    totals = keys.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    cuts = cuts_of(totals).withColumn("_key", key).drop(*strata)
+    small = F.broadcast if totals.limit(FEW_STRATA + 1).count() <= FEW_STRATA else lambda table: table
+    keys = keys.drop(*strata)
+    counts = keys.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
 
-    upto = F.sum("_n").over(W.partitionBy(*strata).orderBy("_bucket"))
+    upto = F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket"))
     prefix = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
     # A cut at 0 or beyond the last row has no bucket; it is handled below by its own key.
     cut_buckets = (
-        prefix.join(F.broadcast(cuts), strata)
+        prefix.join(small(cuts), "_key")
         .where((F.col("upto") > F.col("_before")) & (F.col("upto") <= F.col("_upto")))
-        .select(*strata, "_bucket", "cut", (F.col("upto") - F.col("_before")).alias("_rank"))
+        .select("_key", "_bucket", "cut", (F.col("upto") - F.col("_before")).alias("_rank"))
     )
-    wanted = cut_buckets.groupBy(*strata, "_bucket").agg(
+    wanted = cut_buckets.groupBy("_key", "_bucket").agg(
         F.collect_list(F.struct("_rank", "cut")).alias("_wanted")
     )
-    in_bucket = W.partitionBy(*strata, "_bucket").orderBy("_hash", "_id")
+    in_bucket = W.partitionBy("_key", "_bucket").orderBy("_hash", "_id")
     cut_keys = (
-        keys.join(F.broadcast(wanted), [*strata, "_bucket"])
+        keys.join(small(wanted), ["_key", "_bucket"])
         .withColumn("_row", F.row_number().over(in_bucket))
-        .select(*strata, "_hash", "_id", "_row", F.inline("_wanted"))
+        .select("_key", "_hash", "_id", "_row", F.inline("_wanted"))
         .where(F.col("_row") == F.col("_rank"))
-        .select(*strata, "_hash", "_id")
+        .select("_key", "_hash", "_id")
     )
     empty_cuts = cuts.where(F.col("upto") <= 0).select(
-        *strata, F.lit("").alias("_hash"), F.lit(None).cast(df.schema[id_col].dataType).alias("_id")
+        "_key", F.lit("").alias("_hash"), F.lit(None).cast(df.schema[id_col].dataType).alias("_id")
     )
     thresholds = (
         cut_keys.unionByName(empty_cuts)
-        .groupBy(*strata)
+        .groupBy("_key")
         .agg(F.collect_list(F.struct("_hash", "_id")).alias("_cuts"))
     )
     here = F.struct(shuffled_order(id_col, seed).alias("_hash"), F.col(id_col).alias("_id"))
     passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < here))
     return (
-        df.join(F.broadcast(thresholds), strata, "left")
+        df.withColumn("_key", key)
+        .join(small(thresholds), "_key", "left")
         .withColumn(block_col, passed)
         .select(*df.columns, block_col)
     )
@@ -83,10 +91,10 @@ def train_quotas(totals: DataFrame, strata: list[str], test_share: float = TEST_
     everything = W.partitionBy(F.lit(1))
     with_n = totals.withColumn("_total", F.sum("n").over(everything)).withColumn(
         "_train", F.col("_total") - F.ceil(F.lit(float(test_share)) * F.col("_total"))
-    )
+    ).withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("_total", "_train")})
     shares = with_n.withColumn(
-        "_floor", F.floor((F.col("n") * F.col("_train")).cast("decimal(38,0)") / F.col("_total")).cast("long")
-    ).withColumn("_rest", F.col("n") * F.col("_train") - F.col("_floor") * F.col("_total"))
+        "_floor", F.expr("(CAST(n AS decimal(38,0)) * _train) DIV _total")
+    ).withColumn("_rest", F.expr("CAST(n AS decimal(38,0)) * _train - CAST(_floor AS decimal(38,0)) * _total"))
     by_rest = everything.orderBy(F.col("_rest").desc(), *strata)
     return (
         shares.withColumn("_missing", F.col("_train") - F.sum("_floor").over(everything))
@@ -94,7 +102,7 @@ def train_quotas(totals: DataFrame, strata: list[str], test_share: float = TEST_
         .select(
             *strata,
             "n",
-            (F.col("_floor") + (F.col("_place") <= F.col("_missing")).cast("long")).alias("train_rows"),
+            (F.col("_floor") + (F.col("_place") <= F.col("_missing")).cast("long")).cast("long").alias("train_rows"),
         )
     )
 
@@ -143,14 +151,17 @@ def kfold(
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, probs, low: float, high: float, buckets: int = 4096
+    df: DataFrame, col: str, probs, low: float | None = None, high: float | None = None, buckets: int = 4096
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``(prob, value)``.
 
     Rows are first counted per distinct value, so a value held by a third of all rows becomes one
-    row. ``low`` and ``high`` only size the buckets; values outside go to the first or last one.
+    row. ``low`` and ``high`` only size the buckets, by default to the range of the data; values outside go
+    to the first or last one.
     """
-    width = (high - low) / buckets
+    if low is None or high is None:
+        low, high = (float(x) if x is not None else 0.0 for x in df.agg(F.min(col), F.max(col)).first())
+    width = (high - low) / buckets or 1.0
     bucket = F.greatest(
         F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.col("_v") - low) / width).cast("int"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from msgsieve.functions import signals as G
 from msgsieve.functions.signals import SIGNALS_8, SIGNALS_13
-from msgsieve.functions.text import MARKUP, MOJIBAKE, SOURCE_PATTERN, YEAR_PATTERN
+from msgsieve.functions.text import MOJIBAKE, SOURCE_PATTERN, YEAR_PATTERN
 from msgsieve.functions.tokens import STOP_WORDS, WORD_PATTERN
 from msgsieve.plans.probes import probe_rows
 from msgsieve.schema import LABELS, MAX_DF, MAX_FEATURES, MIN_DF, SEED, TEST_SHARE
@@ -499,7 +499,9 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT row_id, source, {replace_all(years, SOURCE_PATTERN, ' ')} AS text FROM shimmed"
     )
     out["fix_encoding"] = with_(SIGNAL_INPUT) + f"SELECT row_id, source, {repaired('text')} AS text FROM shimmed"
-    bare = replace_all("html", MARKUP, " ")
+    tag = r"""<[a-zA-Z/!?]([^>"']|"[^"]*"|'[^']*')*>"""
+    markup = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|" + tag
+    bare = replace_all("html", markup, " ")
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
         bare = f"replace({bare}, '&{name};', {q(char)})"
     out["html_to_text"] = f"SELECT page_id, {collapse(bare)} AS text FROM pages"

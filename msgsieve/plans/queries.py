@@ -19,7 +19,7 @@ from msgsieve.operators import (
 )
 from msgsieve.plans import stages as S
 from msgsieve.plans.probes import with_probes
-from msgsieve.schema import messages, table, texts
+from msgsieve.schema import messages, table
 from msgsieve.session import scratch_path, stage
 from msgsieve.sources import corpora, mail, sinks
 
@@ -110,7 +110,7 @@ def conform_mail(spark, sf):
 
 @query
 def min_body(spark, sf):
-    kept = C.min_body(texts(spark, sf, "documents").select("doc_id", "source", "text"))
+    kept = C.min_body(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return kept.select("doc_id", "source", "text")
 
 
@@ -152,7 +152,7 @@ def _raw_mail(spark, sf):
         .otherwise(F.concat(multi, F.lit(open_), part("text/html", html), F.lit(end)))
     )
     folder = F.when(F.col("lang") == "en", "easy_ham").when(F.col("lang") == "de", "hard_ham").otherwise("spam")
-    return texts(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("source_file"),
         F.encode(F.concat(head, body), "UTF-8").alias("content"),
     )
@@ -181,7 +181,7 @@ def ingest_mbox(spark, sf):
     """Write all documents as mboxes, one per task, and ingest them."""
     path = scratch_path(spark, "mbox")
     escaped = F.regexp_replace("text", "(?m)^From ", ">From ")
-    mails = texts(spark, sf, "documents").select(
+    mails = table(spark, sf, "documents").select(
         F.concat(
             F.lit("From sender@example.com Mon Jan  1 00:00:00 2024\nMessage-ID: <"),
             F.col("doc_id").cast("string"),
@@ -256,7 +256,7 @@ def validate_domain(spark, sf):
 
 @query
 def source_overlap(spark, sf):
-    docs = texts(spark, sf, "documents").withColumn("text", F.lower(X.collapse_spaces(F.col("text"))))
+    docs = table(spark, sf, "documents").withColumn("text", F.lower(X.collapse_spaces(F.col("text"))))
     return Q.source_overlap(docs.select("text", "source"))
 
 
@@ -337,7 +337,7 @@ def kfold_assign(spark, sf):
 
 def _signal_input(spark, sf):
     """Messages, raw pages and probes, cleaned and lower-cased, with the ratio saved before."""
-    pages = texts(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages").select(
         F.col("page_id").alias("row_id"),
         F.col("html").alias("text"),
         F.lit("page").alias("source"),
@@ -394,7 +394,7 @@ def fix_encoding(spark, sf):
 
 @query
 def html_to_text(spark, sf):
-    return texts(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -668,13 +668,9 @@ def explain_messages_full(spark, sf):
 @query
 def score_messages(spark, sf):
     """Prediction and confidences for a table of new messages: all conversation turns."""
-    turns = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
-        F.lower(X.collapse_spaces(F.col("text"))).alias("text"),
-        X.capital_ratio(F.col("text")).alias("capital_ratio"),
-    )
-    scored = S.scorer(spark, sf, M.FULL_8)(turns)
-    return scored.select("row_id", "prediction", "p_ham", "p_phishing", "p_spam")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    scored = S.scorer(spark, sf, M.FULL_8)(C.repair(C.for_scoring(turns)))
+    return scored.select("conv_id", "turn", "prediction", "p_ham", "p_phishing", "p_spam")
 
 
 @query

@@ -7,7 +7,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.operators import bayes as B, clean as C, evaluate as E, models as M, ranks as R, vectorize as V
-from msgsieve.schema import messages, spread
+from msgsieve.schema import messages
 from msgsieve.session import scratch_path, stage
 from msgsieve.sources import sinks
 
@@ -32,7 +32,7 @@ def _once(spark: SparkSession, scope: str, name, build):
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned, repaired, deduplicated messages with their split."""
     base = stage(spark, sf, "messages", lambda: C.prepare(messages(spark, sf)))
-    return spread(stage(spark, sf, "split", lambda: R.stratified_split(base)), "row_id")
+    return stage(spark, sf, "split", lambda: R.stratified_split(base))
 
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,9 +65,7 @@ def bayes_weights(spark: SparkSession, sf: str, complement: bool) -> DataFrame:
 
 def bayes_scores(spark: SparkSession, sf: str, complement: bool) -> DataFrame:
     """Test rows with class scores and prediction."""
-    rows = test_rows(spark, sf).select(
-        "row_id", "channel", "label", F.substring("text", 1, 200).alias("text")
-    )
+    rows = test_rows(spark, sf).select("row_id", "channel", "label", "text")
     priors = None if complement else B.log_priors(train_rows(spark, sf))
     weights = bayes_weights(spark, sf, complement)
     terms = tfidf(spark, sf, "word").where(F.col("split") == "test")

@@ -21,12 +21,16 @@ def position() -> Column:
 
 
 def scan_tsv(spark: SparkSession, path: str, source="uci_sms", channel="sms") -> DataFrame:
-    """Headerless ``label<TAB>text`` lines. Quoting is off, so an odd quote cannot join lines."""
-    raw = spark.read.csv(
-        path, sep="\t", quote="", schema=LABELLED_TEXT, ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
-    return conform(raw.withColumn("position", position()), source, channel, "position")
+    """Headerless ``label<TAB>text`` lines, split at the first tab: all that follows it is text.
+
+    A line without a tab has no text. Blank lines are skipped.
+    """
+    lines = spark.read.text(path).withColumn("position", position()).where(F.length("value") > 0)
+    tab = F.instr("value", "\t")
+    text = F.when(tab > 0, F.nullif(F.col("value").substr(tab + 1, F.length("value")), F.lit("")))
+    label = F.nullif(F.substring_index("value", "\t", 1), F.lit(""))
+    raw = lines.select(label.alias("label"), text.alias("text"), "position")
+    return conform(raw, source, channel, "position")
 
 
 def scan_flagged_csv(spark: SparkSession, path: str, source="mishra_sms", channel="sms") -> DataFrame:

@@ -83,10 +83,11 @@ def parse_mail(raw: DataFrame) -> DataFrame:
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:
     """One row per mail file below ``path/<folder>/``; names not starting with a digit are ignored."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # The pattern is applied to the listing, so other files are never opened.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
-    return files.where(name.rlike("^[0-9]")).select(
+    return files.select(
         F.concat_ws("/", folder, name).alias("source_file"), "content"
     )
 
@@ -99,7 +100,10 @@ def folder_labels(df: DataFrame) -> DataFrame:
 
 
 def load_folders(spark: SparkSession, path: str) -> DataFrame:
-    return folder_labels(parse_mail(read_folders(spark, path)))
+    files = read_folders(spark, path)
+    folder = F.substring_index("source_file", "/", 1)
+    # Mails of other folders are dropped before they are parsed.
+    return folder_labels(parse_mail(files.where(folder.isin(list(FOLDER_LABELS)))))
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:

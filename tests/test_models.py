@@ -157,6 +157,8 @@ def test_reloaded_model_scores_alike_and_streams(spark, halves, full_model, tmp_
     assert got.count() == test.count()
     key = lambda df: sorted((r.row_id, r.prediction, round(r.p_ham, 9)) for r in df.collect())
     assert key(got) == key(batch)
+    odd = spark.createDataFrame([(1, "yes"), (2, "x" * 20_000), (3, None)], "row_id long, text string")
+    assert {r.row_id for r in score_messages(odd, loaded, "row_id").collect()} == {1, 2, 3}
 
 
 def test_explanations(spark, halves, full_model):
@@ -196,8 +198,9 @@ def test_perturbed_copies(spark):
         kept = {w for w, k in zip(rows[0].words, r.kept) if k}
         assert r.text == "".join(p if p not in "abc" or p in kept else "" for p in "a b, a c!")
     left_out = [3 - sum(r.kept) for r in rows[1:]]
-    for n in range(4):
-        assert 0.15 < np.mean([x == n for x in left_out]) < 0.35
+    assert min(left_out) == 1
+    for n in (1, 2, 3):
+        assert 0.25 < np.mean([x == n for x in left_out]) < 0.42
 
 
 def test_ridge_spaces_agree():

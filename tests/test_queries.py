@@ -8,8 +8,6 @@ from msgsieve.plans.oracle import oracle_sql
 from msgsieve.plans.queries import QUERIES
 
 ORACLE = oracle_sql()
-# The character vocabulary is the slow part; these run at the smaller scale here.
-HEAVY = {n for n in ORACLE if "char" in n} | {"features_full", "feature_names"}
 # Queries that write and read files, or are fully covered elsewhere, need no second partitioning.
 INVARIANT = [
     "dedup_exact", "dedup_template", "dedup_conflicts", "stratified_split", "kfold_assign",
@@ -24,8 +22,7 @@ def engines():
 
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query_equals_sql(spark, engines, name):
-    sf = SF_SMALL if name in HEAVY else SF
-    assert compare(spark, engines[sf], sf, name, QUERIES[name], ORACLE[name]) == ""
+    assert compare(spark, engines[SF], SF, name, QUERIES[name], ORACLE[name]) == ""
 
 
 @pytest.mark.parametrize("name", INVARIANT)
@@ -39,7 +36,7 @@ def test_result_does_not_depend_on_partitions(spark, engines, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLE if n not in HEAVY])
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_plans_have_no_cross_join(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)

@@ -81,3 +81,22 @@ def test_no_text_is_shuffled_by_the_split(spark):
     plan = R.stratified_split(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_missing_strata_are_strata(spark):
+    rows = [(i, None if i % 2 else "ham", "sms") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, label string, channel string")
+    got = R.stratified_split(df).groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in got} == {
+        ("ham", "train"): 16, ("ham", "test"): 4, (None, "train"): 16, (None, "test"): 4,
+    }
+
+
+def test_quotas_of_eleven_billion_rows(spark):
+    sizes = {"a": 8_000_000_001, "b": 2_000_000_000, "c": 1_000_000_000}
+    totals = spark.createDataFrame([(k, n) for k, n in sizes.items()], "label string, n long")
+    got = {r.label: r.train_rows for r in R.train_quotas(totals, ["label"]).collect()}
+    n = sum(sizes.values())
+    train = n - math.ceil(0.2 * n)
+    assert sum(got.values()) == train
+    assert all(abs(got[k] - sizes[k] * train / n) <= 1 for k in sizes)

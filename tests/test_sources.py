@@ -14,6 +14,12 @@ def test_tsv_with_an_odd_quote(spark, tmp_path):
     assert {(r.source, r.channel) for r in rows} == {("uci_sms", "sms")}
 
 
+def test_tsv_text_holds_tabs(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("ham\thello there\tand the rest\n\nspam\n", encoding="utf-8")
+    rows = corpora.scan_tsv(spark, str(tmp_path / "a.tsv")).orderBy("position").collect()
+    assert [(r.label, r.text) for r in rows] == [("ham", "hello there\tand the rest"), ("spam", None)]
+
+
 def test_flagged_csv(spark, tmp_path):
     text = 'LABEL,TEXT,URL,EMAIL,PHONE\nSmishing,"two\nlines, ""quoted""",Yes,No,No\nham, padded ,No,No,No\n'
     (tmp_path / "b.csv").write_text(text, encoding="utf-8")
