@@ -8,8 +8,8 @@ model of the chain is a logistic regression. For training, the probability of an
 from a model that has not seen the row (out of fold); for prediction, from the model of all rows, so the
 later models learn how far the earlier ones can be trusted.
 
-The sample of labelled rows is bounded by ``SAMPLE``, drawn by the hash of the id. Every text is scored
-whole.
+The sample of labelled rows is bounded by ``SAMPLE``, drawn by the hash of the id; its features, a few dozen
+numbers a row, are all that reaches the driver, where the models are fitted. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
+from msgsieve.llm import linear
 from msgsieve.llm.common import read, written
 
 SAMPLE = 20_000
@@ -32,8 +31,7 @@ BEGINNINGS = (4, 5, 6, 7)
 LEAST_Z = 4.0
 LEAST_TEXTS = 5
 FOLDS = 3
-#: The bounded sample is small: a solver step over few tasks costs least.
-TASKS = 4
+PENALTY = 5e-4
 THRESHOLD = 0.5
 
 _TERM = np.zeros(256, dtype=bool)
@@ -156,54 +154,42 @@ def fit_chain(
         for batch in batches:
             for part in H.pieces(batch, "_text"):
                 x = features(part.column(1), words)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat, *part.columns[2:]], ["_fold", "_x", *categories])
-
-    schema = ", ".join(["_fold long", "_x array<double>", *(f"`{c}` int" for c in categories)])
-    table = written(rows.mapInArrow(run, schema), "labelled-features")
-    width = len(words) + len(_SHARES)
+                at = [np.flatnonzero(row).astype(np.int32) for row in x]
+                value = [row[i].astype(np.float32) for row, i in zip(x, at)]
+                columns = [part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["_fold", "_at", "_value", *categories])
+
+    schema = ", ".join(["_fold long, _at array<int>, _value array<float>", *(f"`{c}` int" for c in categories)])
+    table = rows.mapInArrow(run, schema).toArrow()  # at most ``sample`` rows
+    x = np.zeros((table.num_rows, len(words) + len(_SHARES)), dtype=np.float32)
+    for i, (at, value) in enumerate(zip(table["_at"], table["_value"])):
+        x[i, at.values.to_numpy()] = value.values.to_numpy()
+    fold = table["_fold"].to_numpy()
     intercepts, weights = [], []
     for c in categories:
-        low, high = table.agg(F.min(c), F.max(c)).first()
-        if low is None or low == high:
-            intercepts.append(float("inf") if high else float("-inf"))
-            weights.append(np.zeros(width))
-            out_of_fold = F.lit(float(high or 0))
-        else:
-            vectors = table.select("_fold", array_to_vector("_x").alias("features"), F.col(c).cast("double").alias("label"))
-            vectors = vectors.coalesce(TASKS)
-            model = _logistic(vectors)
-            intercepts.append(model[0])
-            weights.append(model[1])
-            out_of_fold = F.lit(None).cast("double")
-            for fold in range(FOLDS) if c != categories[-1] else ():
-                b, w = _logistic(vectors.where(F.col("_fold") != fold))
-                margin = F.aggregate(
-                    F.zip_with("_x", F.array(*[F.lit(float(v)) for v in w]), lambda x, y: x * y), F.lit(b), lambda s, v: s + v
-                )
-                out_of_fold = F.when(F.col("_fold") == fold, 1 / (1 + F.exp(-margin))).otherwise(out_of_fold)
-        width += 1
+        positive = table[c].to_numpy() > 0
+        b, w = linear.fit(x, positive, "logistic", PENALTY)
+        intercepts.append(b)
+        weights.append(w)
         if c != categories[-1]:
-            table = written(table.withColumn("_x", F.concat("_x", F.array(out_of_fold))), "labelled-features")
+            seen = np.zeros(len(x), dtype=np.float32)
+            for k in range(FOLDS):
+                b, w = linear.fit(x[fold != k], positive[fold != k], "logistic", PENALTY)
+                seen[fold == k] = _share(x[fold == k] @ w + b)
+            x = np.column_stack([x, seen])
     return Chain(tuple(categories), words, tuple(intercepts), tuple(weights))
 
 
-def _logistic(vectors: DataFrame) -> tuple[float, np.ndarray]:
-    """Intercept and weights; of one label only, a constant."""
-    low, high = vectors.agg(F.min("label"), F.max("label")).first()
-    if low is None or low == high:
-        return (float("inf") if high else float("-inf")), np.zeros(len(vectors.first()["features"]) if low is not None else 0)
-    model = LogisticRegression(maxIter=30, regParam=5e-4).fit(vectors)
-    return float(model.intercept), model.coefficients.toArray()
+def _share(margin: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-margin))
 
 
 def probabilities(chain: Chain, column: pa.Array) -> np.ndarray:
     """A row for each text and a column for each category."""
     x = features(column, chain.words)
     for b, w in zip(chain.intercepts, chain.weights):
-        with np.errstate(over="ignore"):
-            p = 1 / (1 + np.exp(-(x @ w + b)))
-        x = np.column_stack([x, p])
+        x = np.column_stack([x, _share(x @ w + b)])
     return x[:, x.shape[1] - len(chain.categories) :]
 
 
