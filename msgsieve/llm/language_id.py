@@ -2,12 +2,13 @@
 machines between the languages of that family.
 
 A text is a histogram of hashed runs of one to four bytes over its letters (lower-cased ASCII, all else but
-letters a space), square-rooted and of unit length. The family comes from a multinomial logistic model, whose
-probability is also part of the score. Within a family every pair of languages has a linear SVM; the
+letters a space), square-rooted and of unit length. The family comes from one logistic model each, whose
+share among all is also part of the score. Within a family every pair of languages has a linear SVM; the
 language with most votes wins, ties by the sum of margins, then by name. Related languages are thus told
 apart by models that see nothing but them.
 
-Learning takes at most ``PER_LANGUAGE`` rows of a language, drawn by the hash of the id. Every text is read whole.
+Learning takes at most ``PER_LANGUAGE`` rows of a language and ``MOST_ROWS`` in all, drawn by the hash of the id;
+their vectors are fitted on the driver. Every text is read whole.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from msgsieve.llm import hashing as H
+from msgsieve.llm import linear
 from msgsieve.llm.common import crc_part, read, written
 
-BITS = 13
+BITS = 12
 RUNS = (1, 2, 3, 4)
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
+#: Rows of all languages together; each language gets its part.
+MOST_ROWS = 8000
+PENALTY = 1e-5
 UNKNOWN = "und"
 
 #: Families of ISO 639-1 languages; a language that is not listed is a family of its own.
@@ -77,15 +80,11 @@ def family_of(language: str, families: dict = FAMILIES) -> str:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Identifier:
     """Learn from the rows that have a text, a language and an id. Without any, nothing can be told."""
-    place = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64("_id"), "_id"))
-    drawn = written(
-        docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(lang).alias(lang))
-        .withColumn("_place", place)
-        .where(F.col("_place") <= per_language)
-        .select("_id"),
-        "languages-drawn",
-    ).distinct()
+    known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"))
+    place = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    first = known.withColumn("_place", place).where(F.col("_place") <= per_language)
+    # Place by place over all languages: a language with few rows leaves its part to the others.
+    drawn = written(first.orderBy("_place", "_lang").limit(MOST_ROWS).select("_id").distinct(), "languages-drawn")
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).join(drawn, F.col(id_col) == F.col("_id"))
 
     def run(batches):
@@ -93,45 +92,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
             for part in H.pieces(batch, "text"):
                 data, offsets = H.buffers(part.column(1))
                 vectors = [histogram(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                at = [np.flatnonzero(v) for v in vectors]
+                at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
+                value = [v[i].astype(np.float32) for v, i in zip(vectors, at)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(vectors, at)], pa.list_(pa.float64()))],
-                    ["lang", "at", "value"],
+                    [part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"]
                 )
 
-    to_vector = F.udf(lambda at, value: Vectors.sparse(1 << BITS, at, value), VectorUDT())
-    table = written(
-        rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, at array<int>, value array<double>"),
-        "language-rows",
-    ).select("lang", to_vector("at", "value").alias("features")).coalesce(4).cache()
-    languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    source = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    table = source.mapInArrow(run, "lang string, at array<int>, value array<float>").toArrow().slice(0, MOST_ROWS)
+    x = np.zeros((table.num_rows, 1 << BITS), dtype=np.float32)
+    for i, (at, value) in enumerate(zip(table["at"], table["value"])):
+        x[i, at.values.to_numpy()] = value.values.to_numpy()
+    name = np.array(table["lang"].to_pylist(), dtype=object)
     members: dict = {}
-    for name in languages:
-        members.setdefault(family_of(name), []).append(name)
+    for one in sorted(set(name)):
+        members.setdefault(family_of(one), []).append(one)
     families = tuple((f, tuple(m)) for f, m in sorted(members.items()))
-    weights, bias = np.zeros((len(families), 1 << BITS)), np.zeros(len(families))
-    try:
-        if len(families) > 1:
-            number = {name: k for k, (_, m) in enumerate(families) for name in m}
-            label = F.create_map(*[x for name, k in number.items() for x in (F.lit(name), F.lit(float(k)))])[F.col("lang")]
-            model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-5, standardization=False).fit(table.withColumn("label", label))
-            weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        pairs = {}
-        for _, names in families:
-            for a, b in combinations(names, 2):
-                own = table.where(F.col("lang").isin(a, b)).withColumn("label", (F.col("lang") == a).cast("double"))
-                svm = LinearSVC(maxIter=40, regParam=1e-5, standardization=False).fit(own)
-                pairs[a, b] = svm.coefficients.toArray(), float(svm.intercept)
-    finally:
-        table.unpersist()
-    return Identifier(families, weights, bias, pairs)
+    of = np.array([family_of(n) for n in name], dtype=object)
+    fits = [linear.fit(x, of == f, "logistic", PENALTY) if len(families) > 1 else (0.0, np.zeros(1 << BITS)) for f, _ in families]
+    pairs = {}
+    for _, names in families:
+        for a, b in combinations(names, 2):
+            own = (name == a) | (name == b)
+            bias, weights = linear.fit(x[own], name[own] == a, "svm", PENALTY)
+            pairs[a, b] = weights, bias
+    return Identifier(families, np.array([w for _, w in fits]).reshape(len(fits), 1 << BITS), np.array([b for b, _ in fits]), pairs)
 
 
 def identify(model: Identifier, data: np.ndarray) -> tuple[str, float]:
     """Language and score of a text with a letter."""
     x = histogram(data)
-    z = model.family_weights @ x + model.family_bias
-    p = np.exp(z - z.max())
+    p = 1 / (1 + np.exp(-np.clip(model.family_weights @ x + model.family_bias, -50, 50)))
     k = int(np.argmax(p))
     share, names = float(p[k] / p.sum()), model.families[k][1]
     votes, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
