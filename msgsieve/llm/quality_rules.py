@@ -168,3 +168,68 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("classes_distance", 6).alias("classes_distance"), F.round("words_distance", 6).alias("words_distance"),
     )
+
+
+def _oracle() -> str:
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in words)}]" for k, words in COMMON.items())
+    steps, before = [], "t0"
+    for i, pattern in enumerate(CLASSES.values(), 1):
+        steps.append(f"regexp_replace({before}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i}")
+        before = f"t{i}"
+    n = len(CLASSES)
+    taken = ", ".join([*(f"length(t{i}) - length(t{i + 1})" for i in range(n)), f"length(t{n})"])
+    sums = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {f}))"
+    share = "({a}[i] / list_sum({a}))"
+
+    def distance(a: str, b: str) -> str:
+        p, q = share.format(a=a), share.format(a=b)
+        middle = f"(({p} + {q}) / 2)"
+        term = f"(CASE WHEN {a}[i] > 0 THEN {p} * log2({p} / {middle}) ELSE 0 END + CASE WHEN {b}[i] > 0 THEN {q} * log2({q} / {middle}) ELSE 0 END)"
+        return f"sqrt(greatest({sums.format(a=a, f=term)} / 2, 0))"
+
+    def reference(column: str) -> str:
+        return (
+            f"SELECT lang, list(s ORDER BY i) AS r FROM (SELECT lang, i, sum({column}[i])::BIGINT AS s FROM "
+            f"(SELECT lang, {column}, unnest(range(1, len({column}) + 1)) AS i FROM counted WHERE NOT base_failed) GROUP BY 1, 2) GROUP BY 1"
+        )
+
+    guard = {k: f"list_sum({k}) >= {LEAST[k]}" for k in LEAST}
+    far = {k: f"CASE WHEN {guard[k]} AND list_sum({k[0]}.r) > 0 THEN {distance(k, k[0] + '.r')} END" for k in LEAST}
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t0,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CASE lang {lists} ELSE [] END AS common
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS key
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM texts))),
+repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM windows WHERE n > 1) GROUP BY 1),
+stripped AS (SELECT *, {", ".join(steps)} FROM texts),
+based AS (
+  SELECT s.doc_id, lang, len(ws) AS n_words, length(t1) AS word_chars,
+    length(t0) - length(regexp_replace(t0, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    [{taken}] AS classes, list_transform(common, lambda w: len(list_filter(ws, lambda x: x = w))) AS hits
+  FROM stripped s LEFT JOIN repeats USING (doc_id)),
+counted AS (
+  SELECT *, list_append(hits, n_words - coalesce(list_sum(hits), 0)::BIGINT) AS words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM based),
+class_references AS ({reference("classes")}),
+word_references AS ({reference("words")}),
+judged AS (
+  SELECT d.*, {far["classes"]} AS classes_distance, {far["words"]} AS words_distance
+  FROM counted d LEFT JOIN class_references c ON c.lang = d.lang LEFT JOIN word_references w ON w.lang = d.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(classes_distance > {MOST["classes"]}, false) OR coalesce(words_distance > {MOST["words"]}, false)) AS kept,
+  round(classes_distance, 6) AS classes_distance, round(words_distance, 6) AS words_distance
+FROM judged
+"""
+
+
+#: For tables whose documents all have a language.
+ORACLE_SQL = _oracle()

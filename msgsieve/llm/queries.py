@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from msgsieve.llm.line_dedup import op10_line_dedup
+from msgsieve.llm import quality_rules, tool_calls
 from msgsieve.llm.ann import op8_nearest
 from msgsieve.llm.language_id import op2_language_id
 from msgsieve.llm.language_model import op1_language_model
+from msgsieve.llm.line_dedup import op10_line_dedup
 from msgsieve.llm.mixing import op9_mixing
 from msgsieve.llm.near_dedup import op3_near_dedup
 from msgsieve.llm.packing import op6_packing
 from msgsieve.llm.quality_rules import op7_quality_rules
-from msgsieve.llm import tool_calls
 from msgsieve.llm.tool_calls import op4_tool_calls
 from msgsieve.llm.toxicity import op5_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_model, op2_language_id, op3_near_dedup, op4_tool_calls, op5_toxicity, op6_packing, op7_quality_rules, op8_nearest, op9_mixing, op10_line_dedup)
+    for f in (
+        op1_language_model, op2_language_id, op3_near_dedup, op4_tool_calls, op5_toxicity, op6_packing,
+        op7_quality_rules, op8_nearest, op9_mixing, op10_line_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {"op4_tool_calls": tool_calls.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_tool_calls": tool_calls.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from compare import compare, connect
+from conftest import SF, SF_SMALL
 from msgsieve.llm import quality_rules as Q
 
 
@@ -61,6 +62,10 @@ def test_query_equals_brute_force(spark):
         assert g.kept == (not failed[r.doc_id] and all(far[k] is None or far[k] <= Q.MOST[k] for k in far))
 
 
+def test_query_equals_sql(spark):
+    assert compare(spark, connect(SF), SF, "op7_quality_rules", Q.op7_quality_rules, Q.ORACLE_SQL) == ""
+
+
 def test_query_runs_no_python(spark):
     plan = Q.op7_quality_rules(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
