@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgsieve.operators import evaluate as E
 from msgsieve.operators.vectorize import FeatureSpec, MessageFeatures
 from msgsieve.schema import FOLDS, LABELS
+from msgsieve.sources.sinks import append_metrics
 
 MAX_ITER = 1000
 # The hinge has no curvature for the solver to use; past this many steps it only oscillates.
@@ -193,9 +194,13 @@ def run_experiments(
     plan: list[tuple[str, FeatureSpec, list[str]]],
     predict: Callable[[FeatureSpec, str], DataFrame] | None = None,
     parallelism: int = PARALLELISM,
+    sink: str | None = None,
 ) -> DataFrame:
     """Tidy metric rows of every (experiment, model) in ``plan``.
 
+    With ``sink``, the rows of each pair are appended there as soon as it is done, so a lost driver loses
+    only what was still running.
+
     Experiments are isolated: one that fails becomes an ``error`` row and the rest go on. Equal
     (spec, model) pairs are fitted once, and models on the same spec share its vectors. ``predict``
     may supply stored predictions of the test rows instead.
@@ -217,21 +222,34 @@ def run_experiments(
         model = SOLVERS[solver](vectors)
         return model.predict(pipeline.transform(test).select("label", "channel", "features"))
 
+    pairs = list(dict.fromkeys((spec, m) for _, spec, models in plan for m in models))
+
+    def runs_of(pair, outcome):
+        return [(name, m, outcome) for name, spec, models in plan for m in models if (spec, m) == pair]
+
     def one(pair):
         try:
             # Three labels x three predictions x two channels.
-            return E.counts((predict or fit_and_predict)(*pair)).collect(), None
+            outcome = E.counts((predict or fit_and_predict)(*pair)).collect(), None
         except Exception as error:  # noqa: BLE001 - the run must go on
-            return [], f"{type(error).__name__}: {error}"
-
-    pairs = list(dict.fromkeys((spec, m) for _, spec, models in plan for m in models))
-    with ThreadPoolExecutor(parallelism) as pool:
-        outcome = dict(zip(pairs, pool.map(one, pairs)))
-    for gate in shared.values():
-        if "vectors" in gate:
-            gate["vectors"].unpersist()
-
-    runs = [(name, m, outcome[spec, m]) for name, spec, models in plan for m in models]
+            outcome = [], f"{type(error).__name__}: {error}"
+        if sink:
+            with lock:
+                append_metrics(_run_rows(spark, runs_of(pair, outcome)), sink)
+        return outcome
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            outcomes = list(pool.map(one, pairs))
+    finally:
+        for gate in shared.values():
+            if "vectors" in gate:
+                gate["vectors"].unpersist()
+    return _run_rows(spark, [run for pair, outcome in zip(pairs, outcomes) for run in runs_of(pair, outcome)])
+
+
+def _run_rows(spark, runs: list[tuple]) -> DataFrame:
+    """Metric rows of ``(experiment, model, (count cells, error))``; a failed run is one ``error`` row."""
     cells = spark.createDataFrame(
         [(name, m, *row) for name, m, (rows, _) in runs for row in rows],
         "experiment string, model string, channel string, label string, prediction string, n long",

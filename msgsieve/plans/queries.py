@@ -541,7 +541,7 @@ def _stored(spark, sf):
 @query
 def experiment_matrix(spark, sf):
     train, test = S.train_rows(spark, sf), S.test_rows(spark, sf)
-    return M.run_experiments(train, test, M.RUN_2, _stored(spark, sf))
+    return M.run_experiments(train, test, M.RUN_2, _stored(spark, sf), sink=scratch_path(spark, "experiments"))
 
 
 @query

@@ -8,6 +8,7 @@ from conftest import SF_SMALL
 from msgsieve.operators import bayes as B, explain as L, models as M, ranks as R, vectorize as V
 from msgsieve.plans import stages as S
 from msgsieve.schema import LABELS
+from msgsieve.sources import sinks
 from msgsieve.streaming.scoring import score_messages, score_stream
 
 WORDS = {
@@ -123,6 +124,25 @@ def test_a_failing_experiment_becomes_an_error_row(halves):
     assert good[("all", "macro_f1")] == 1.0
 
 
+def test_finished_experiments_survive_a_killed_run(spark, halves, tmp_path):
+    train, test = halves
+
+    class Killed(BaseException):
+        pass
+
+    def predict(spec, solver):
+        if solver == "second":
+            raise Killed
+        return test.select("label", "channel", F.col("label").alias("prediction"))
+
+    sink = str(tmp_path / "metrics")
+    plan = [("E0", M.WORD, ["first"]), ("E1", M.WORD, ["second"])]
+    with pytest.raises(Killed):
+        M.run_experiments(train, test, plan, predict, parallelism=1, sink=sink)
+    rows = sinks.read_metrics(spark, sink).where("metric = 'macro_f1' AND slice = 'all'").collect()
+    assert [(r.experiment, r.model, r.value) for r in rows] == [("E0", "first", 1.0)]
+
+
 def test_cross_validation(spark, halves):
     train, _ = halves
     scores = M.cross_validate(R.kfold(train), V.FeatureSpec(), grid=[0.1, 10.0], folds=2).persist()
