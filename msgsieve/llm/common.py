@@ -23,6 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of short rows, to be broadcast if it has at most ``rows`` of them; beyond, it is joined
+    like any other. Meant for lists of ids that select texts: the texts then stay where they are."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def rank_within(df: DataFrame, key: str, order: list[str], name: str, buckets: int = 1024) -> DataFrame:
     """Add ``name``: the row's place (from 0) within its key, in any fixed order of hash buckets.
 

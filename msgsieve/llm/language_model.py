@@ -4,7 +4,7 @@ into memory by the workers that score.
 Counting. Every task turns its texts into word hashes and counts pairs (previous word, word) in
 blocks. A block's counts are sent as one compressed binary value per shard; the shard is set by the previous
 word, so a shard can count its followers. Words so frequent that their followers would unbalance a shard
-(``hot_words``, from a bounded sample: it decides where rows go and never what is counted) are dealt over
+(seen in the first texts of every task: that decides where rows go and never what is counted) are dealt over
 all shards by the follower. Each shard merges its blocks into ``pair-<shard>.npy`` (sorted hash of the
 pair, count) and sends per-word statistics on, by ranges of the word hash, to ``word-<range>.npy``.
 
@@ -35,9 +35,9 @@ from msgsieve.llm import hashing as H
 from msgsieve.llm.common import read, crc_part
 from msgsieve.session import scratch_path
 
-#: Words of a block that is counted at once, texts looked at for hot words.
-BLOCK_WORDS = 3_000_000
-HOT_SAMPLE = 2_000
+#: Words of a block that is counted at once; bytes of text that are scored at once.
+BLOCK_WORDS = 2_500_000
+SCORE_BYTES = 2_000_000
 STATS = "n_words long, tokens double, pairs double, pair_1 double, pair_2 double, pair_3 double, pair_4 double, next_1 double, next_2 double, next_3 double, next_4 double"
 
 
@@ -166,14 +166,19 @@ def fit(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model
     docs = docs.select(F.col(text).alias("text"))
 
     def usual(batches):
+        """Of the first texts of a task the words that make up a good part, at most 8 x shards rows."""
         for batch in batches:
-            for part in H.pieces(batch, "text"):
-                words, n = np.unique(sequences(part.column(0))[1], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n})
-
-    sample = docs.limit(HOT_SAMPLE).mapInArrow(usual, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    seen = sample.agg(F.sum("n")).first()[0] or 0
-    frequent = sample.where(F.col("n") * 4 * shards > seen).select("word").collect()  # at most 4 x shards
+            for part in H.pieces(batch, "text", 500_000):
+                token = sequences(part.column(0))[1]
+                words, n = np.unique(token, return_counts=True)
+                large = n * 8 * shards > len(token)
+                yield pa.RecordBatch.from_pydict({"word": words[large].view(np.int64), "share": n[large] / len(token)})
+                break
+            break
+
+    tasks = docs.mapInArrow(usual, "word long, share double")
+    mean = tasks.groupBy("word").agg(F.sum("share").alias("sum")).where(F.col("sum") * 4 * shards > docs.rdd.getNumPartitions())
+    frequent = mean.select("word").collect()  # words of a mean share over 1 / (4 x shards): at most 4 x shards
     hot = np.array([r[0] for r in frequent], dtype=np.int64).view(H.U64)
 
     def count(batches):
@@ -334,7 +339,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] = (
     def run(batches):
         arrays = Arrays(model)
         for batch in batches:
-            for part in H.pieces(batch, "_text"):
+            for part in H.pieces(batch, "_text", SCORE_BYTES):
                 before, token, n = sequences(part.column(len(keep)))
                 count, p = probabilities(model, arrays, before, token)
                 first = np.cumsum(n) - n

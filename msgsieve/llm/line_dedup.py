@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
-from msgsieve.llm.common import read, written
+from msgsieve.llm.common import broadcast_if_few, read, written
 
 MIN_LINE = 4
 MIN_SHARED = 20
@@ -172,10 +172,9 @@ def repeated_blocks(
     removal, which drops them in one piece.
     """
     pairs = written(linked(docs, id_col, text), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id"), "line-texts"
-    )
+    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = written(all_texts.join(broadcast_if_few(wanted), "id"), "line-texts")
     both = (
         pairs.join(texts.selectExpr("id AS a", "text AS text_a"), "a")
         .join(texts.selectExpr("id AS b", "text AS text_b", "xxhash64(text) AS digest"), "b")
@@ -242,7 +241,7 @@ def without_repeats(
     own = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest")
     )
-    marked = own.join(blocks.select("id", "digest", "spans"), ["id", "digest"], "left")
+    marked = own.join(broadcast_if_few(blocks, 50_000).select("id", "digest", "spans"), ["id", "digest"], "left")
     changed, before = F.col("spans").isNotNull(), F.col("row").getField(text)
     words = F.size(F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     after = F.when(changed, cut(before, F.col("spans"))).otherwise(before)

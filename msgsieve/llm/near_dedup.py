@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
-from msgsieve.llm.common import components, read, written
+from msgsieve.llm.common import broadcast_if_few, components, read, written
 
 BANDS, ROWS = 32, 5
 #: A power of two, so many numbers of bands fit into the last bits of a band's hash.
@@ -247,13 +247,9 @@ def near_duplicates(
     rows_of = written(
         member.join(several.select("band", "leader"), "band").select("band", "leader", "node"), "buckets"
     )
-    wanted = rows_of.select(F.col("node").alias("id")).distinct()
-    texts = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-        .join(wanted, "id")
-        .select(F.col("id").alias("node"), "text"),
-        "texts",
-    )
+    wanted = written(rows_of.select(F.col("node").alias("id")).distinct(), "wanted")
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = written(all_texts.join(broadcast_if_few(wanted), "id").select(F.col("id").alias("node"), "text"), "texts")
     sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"))
     led = (
         rows_of.where("leader <> node")
