@@ -7,8 +7,8 @@ size, so are the posting lists. The centroids form an in-memory graph (each with
 ones) which every worker searches with a beam.
 
 Every vector goes to its nearest list and, if it lies on a boundary, also to lists that are at most
-``NEAR`` times as far; a list is left out if a chosen centroid is closer to its centroid than the vector is, as
-it would be searched along with that one. A query takes the lists that are at most ``REACH`` times as far as the
+``NEAR`` times as far; a list is left out if a chosen centroid is much closer to its centroid than the vector is
+(``APART``), as it would be searched along with that one. A query takes the lists that are at most ``REACH`` times as far as the
 nearest, and in any case lists with several times as many vectors as it is to return. Scores are computed on the original vectors in double precision.
 
 Equal vectors are one until the end, with the smallest ids that a result can hold, so copies of one vector, be
@@ -32,7 +32,8 @@ SMALLEST_PART = 16
 DEGREE = 12
 REPLICAS = 4
 NEAR = 1.12
-REACH = 1.21
+APART = 0.5
+REACH = 1.19
 #: Up to so many centroids are simply all looked at.
 FEW = 48
 POSTING_BLOCK = 4096
@@ -135,7 +136,7 @@ def posting_lists(lists: Lists, x: np.ndarray) -> list[np.ndarray]:
             if len(chosen) == REPLICAS or distance > NEAR * far[0]:
                 break
             between = np.sqrt(((lists.centroids[chosen] - lists.centroids[number]) ** 2).sum(axis=1))
-            if (between >= distance).all():
+            if (between >= APART * distance).all():
                 chosen.append(number)
         out.append(np.array(chosen))
     return out
@@ -144,7 +145,7 @@ def posting_lists(lists: Lists, x: np.ndarray) -> list[np.ndarray]:
 def query_lists(lists: Lists, q: np.ndarray, reach: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
     """The lists of each query: those within ``reach``, and the nearest that hold ``least`` vectors."""
     n = len(lists.centroids)
-    at, d = search_graph(lists, q, n if n <= FEW else max(FEW, n // 2))
+    at, d = search_graph(lists, q, n if n <= FEW else max(FEW, 3 * n // 4))
     far = np.sqrt(d)
     before = np.cumsum(sizes[at], axis=1) - sizes[at]
     return [numbers[(row <= reach * row[0]) | (held < least)] for numbers, row, held in zip(at, far, before)]
@@ -268,10 +269,15 @@ def nearest(
 
     found = left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInArrow(search, "q long, ids array<long>, scores array<double>")
 
-    pairs = F.arrays_zip("ids", "scores")
-    one = found.select("q", F.explode(pairs).alias("p")).groupBy("q", F.col("p.ids").alias("vec_id")).agg(F.max("p.scores").alias("score"))
-    top = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    kept = written(one.withColumn("_place", F.row_number().over(top)).where(F.col("_place") <= k + 1).drop("_place"), "found")
+    def merge(key, table):
+        """The best of what the lists of a query gave, each id once."""
+        ids, score = (np.concatenate([x.values.to_numpy() for x in table.column(c)]) for c in ("ids", "scores"))
+        ids, first = np.unique(ids, return_index=True)
+        at = best(score[first], ids, k + 1)
+        return pa.Table.from_arrays([pa.array(np.full(len(at), key[0].as_py())), pa.array(ids[at]), pa.array(score[first][at])], ["q", "vec_id", "score"])
+
+    # A group has k + 1 rows for each list of one query.
+    kept = written(found.where(F.size("ids") > 0).groupBy("q").applyInArrow(merge, "q long, vec_id long, score double"), "found")
     of_query = W.partitionBy("query_id", "rep").orderBy(F.desc("score"), "vec_id")
     return (
         asking.select(F.col("id").alias("query_id"), "rep")
