@@ -1,18 +1,21 @@
-"""Line deduplication by pairwise alignment: shared lines link documents, patience diff aligns them, and
-the aligned common blocks of the later document are deleted.
+"""Line deduplication: blocks of words that an earlier document holds are deleted from the later ones.
 
-A line is a run of words closed by a line break or by a word that ends in ``.``, ``!`` or ``?``, so a passage
-that was pasted into the middle of a paragraph still brings whole lines along.
+A block is a run of ``min_words`` words or more, wherever it begins and ends: stops, line breaks, short lines and
+the order of the blocks do not matter. Words are compared without regard to the case of A-Z.
 
-Linking. Every line of ``MIN_LINE`` words or more links the first document that holds it (the smallest id)
-with each later one, so a line held by a third of all documents gives one link for each of them and not one
-for each pair; as the first holder also stands for every other holder, no shared line is lost. Pairs whose
-links add up to fewer than ``MIN_SHARED`` words are too little for a block and are left out: that keeps lines
-that are everywhere from pairing documents which share nothing else.
+Windows. A text is the set of its windows, the runs of exactly ``min_words`` words. A word goes if a window over it
+stands in a document with a smaller id. So nothing depends on which pairs of documents are looked at: a passage
+held twice, in another order, or in parts by several earlier documents is found window by window, and each
+window names the first document that holds it.
 
-Alignment. Lines found once on either side are anchors; their longest increasing sequence is kept, and the
-gaps between anchors are aligned in the same way. Runs of aligned lines are blocks; a block grows over
-equal words on both sides and counts from ``min_words`` words on.
+Links. Not every window is sent. The least hash of the half as long runs in a window is its link; equal windows
+have equal links, so windows whose link only one document has are in no other. Links are sent first, one row for each
+different one of a document, and then only the windows with a link that several documents have.
+
+Ends. Of a block that begins or ends with fewer than ``MIN_LINE`` words that only a later holder adds, these
+words stay: the first holder says where a passage ends.
+
+A window is known by 64 bits of hash; among n windows sent two different ones are alike with a probability of n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from msgsieve.llm import hashing as H
 from msgsieve.llm.common import broadcast_if_few, read, written
 
 MIN_LINE = 4
-MIN_SHARED = 20
 MIN_WORDS = 40
 
 _CLOSES = np.zeros(256, dtype=bool)
@@ -102,111 +104,212 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: Lines, x: int, b: Lines, y: int, min_words: int) -> list[tuple[int, int]]:
-    """Word ranges of text ``y`` of ``b`` that are aligned with text ``x`` of ``a``, as places in the text."""
-    la, lb = slice(a.text_lines[x], a.text_lines[x + 1]), slice(b.text_lines[y], b.text_lines[y + 1])
-    pairs = patience(a.hash[la].tolist(), b.hash[lb].tolist())
-    wa, wb = a.words[a.text_words[x] : a.text_words[x + 1]], b.words[b.text_words[y] : b.text_words[y + 1]]
-    fa, fb = a.first[la] - a.text_words[x], b.first[lb] - b.text_words[y]
-    size = b.size[lb]
-    blocks: list[list[int]] = []
-    for i, j in pairs:
-        sa, sb, n = int(fa[i]), int(fb[j]), int(size[j])
-        if blocks and blocks[-1][1] == sa and blocks[-1][3] == sb:
-            blocks[-1][1], blocks[-1][3] = sa + n, sb + n
-        else:
-            blocks.append([sa, sa + n, sb, sb + n])
-    for k, block in enumerate(blocks):
-        low = (blocks[k - 1][1], blocks[k - 1][3]) if k else (0, 0)
-        high = (blocks[k + 1][0], blocks[k + 1][2]) if k + 1 < len(blocks) else (len(wa), len(wb))
-        while block[0] > low[0] and block[2] > low[1] and wa[block[0] - 1] == wb[block[2] - 1]:
-            block[0], block[2] = block[0] - 1, block[2] - 1
-        while block[1] < high[0] and block[3] < high[1] and wa[block[1]] == wb[block[3]]:
-            block[1], block[3] = block[1] + 1, block[3] + 1
-    out: list[list[int]] = []
-    for a0, a1, b0, b1 in blocks:
-        if out and out[-1][1] == b0 and out[-1][3] == a0:  # grown until they met
-            out[-1][1], out[-1][3] = b1, a1
-        else:
-            out.append([b0, b1, a0, a1])
-    return [(o[0], o[1]) for o in out if o[1] - o[0] >= min_words]
-
-
-def linked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of documents whose first-holder links reach MIN_SHARED words."""
+def window_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        done += step
+    return out
+
+
+class Windows:
+    """All runs of ``size`` words within the texts of a column: their hashes, places and links.
+
+    The link of a window is the least hash of the runs of ``size // 2`` words in it. Equal windows have equal links,
+    and as neighbouring windows mostly share theirs, there are some five links for a hundred words at ``size`` 40.
+    """
+
+    def __init__(self, column: pa.Array, size: int):
+        data, offsets = H.buffers(column)
+        starts, ends, counts = H.runs(data, offsets, H._IS_WORD)
+        words = H.run_hashes(data, starts, ends, H._BYTE)
+        n = len(words)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        self.of = np.zeros(0, np.int64)
+        self.hash = self.link = np.zeros(0, H.U64)
+        self.start = self.stop = np.zeros(0, np.int64)
+        if n < size:
+            return
+        sums = np.concatenate([np.zeros(1, H.U64), np.cumsum(words * H.powers(n)[:n], dtype=H.U64)])
+        scale = np.full(n, H.U64(pow(int(H.powers(2)[1]), -1, 2**64)), dtype=H.U64)
+        scale[0] = 1
+        scale = np.multiply.accumulate(scale)
+
+        def hashes(k):
+            return H.mix64((sums[k:] - sums[:-k]) * scale[: n - k + 1] + H.U64(k))
+
+        text = np.repeat(np.arange(len(counts)), counts)
+        half = size // 2
+        inside = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
+        self.of = text[inside]
+        self.hash = hashes(size)[inside]
+        self.link = window_min(hashes(half), size - half + 1)[inside]
+        base = offsets[:-1][self.of]
+        self.start = starts[inside] - base
+        after = inside + size
+        # up to the next word, or to the end of the text
+        last = after == upto[1:][self.of]
+        self.stop = np.where(last, offsets[1:][self.of], starts[np.minimum(after, n - 1)]) - base
+
+
+def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
+    """``id, links``: the links of each id of ``docs(id, text)`` that another id has too."""
 
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text"):
-                lines = Lines(part.column(1))
-                of = np.repeat(np.arange(part.num_rows), np.diff(lines.text_lines))
-                use = lines.size >= MIN_LINE
-                words = np.minimum(lines.size[use], 255).astype(H.U64)
-                # the number of words in the last byte, so that a row is two numbers
-                key = (lines.hash[use] & ~H.U64(255)) | words
-                ids = np.asarray(part.column(0))[of[use]]
-                order = np.lexsort((key, ids))
-                key, ids = key[order], ids[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(key) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[new])], ["line", "id"])
+                w = Windows(part.column(1), min_words)
+                new = np.ones(len(w.of), bool)
+                new[1:] = (w.link[1:] != w.link[:-1]) | (w.of[1:] != w.of[:-1])
+                ids = part.column(0).take(pa.array(w.of[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(w.link[new].view(np.int64)), ids], ["link", "id"])
+
+    links = docs.select("id", "text").mapInArrow(run, "link long, id long")
+    several = links.groupBy("link").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("link")
+    return links.join(several, "link").groupBy("id").agg(F.collect_set("link").alias("links"))
+
+
+def without_edges(place: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
+    """Marks the windows that count, of those at ``place`` (sorted) that ``a`` hold first.
 
+    A block ends where its earlier holder's does: fewer than MIN_LINE words that only a later holder adds to
+    one of its ends are no line and stay.
+    """
+    keep = np.ones(len(place), bool)
+    begins = np.flatnonzero(np.concatenate([[True], place[1:] - place[:-1] > size]))
+    for first, last in zip(begins.tolist(), [*(begins[1:] - 1).tolist(), len(place) - 1]):
+        for i, step in ((first, 1), (last, -1)):
+            for j in range(i + step, i + MIN_LINE * step, step):
+                if not first <= j <= last or abs(place[j] - place[i]) >= MIN_LINE:
+                    break
+                if a[j] < a[i]:
+                    keep[i:j:step] = False
+                    break
+    return keep
+
+
+def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``id, digest, a, spans, size``: the byte ranges of a text that are windows ``a`` is the first to hold, a < id."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    lines = source.mapInArrow(run, "line long, id long")
-    first = lines.groupBy("line").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("line", "a")
-    shared = lines.join(first, "line").where("a < id")
-    return (
-        shared.groupBy("a", F.col("id").alias("b"))
-        .agg(F.sum(F.col("line").bitwiseAND(255)).alias("words"))
-        .where(F.col("words") >= MIN_SHARED)
-        .select("a", "b")
-    )
+    links = written(shared_links(source, min_words), "line-links")
+    own = source.join(broadcast_if_few(links.select("id")), "id", "left_semi") if links.count() <= 500_000 else source
+    both = own.join(links, "id").select("id", F.xxhash64("text").alias("digest"), "text", "links")
+
+    def run(batches):
+        for batch in batches:
+            for part in H.pieces(batch, "text"):
+                w = Windows(part.column(2), min_words)
+                first = np.searchsorted(w.of, np.arange(part.num_rows + 1))
+                keep = np.zeros(len(w.of), bool)
+                for k in range(part.num_rows):
+                    mine = slice(first[k], first[k + 1])
+                    shared = part.column(3)[k].values.to_numpy(zero_copy_only=False).view(H.U64)
+                    keep[mine] = np.isin(w.link[mine], shared)
+                at = pa.array(w.of[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(w.hash[keep].view(np.int64)), part.column(0).take(at), part.column(1).take(at),
+                        pa.array((np.flatnonzero(keep) - first[w.of[keep]]).astype(np.int32)),
+                        pa.array(w.start[keep].astype(np.int32)), pa.array(w.stop[keep].astype(np.int32)),
+                    ],
+                    ["window", "id", "digest", "place", "start", "stop"],
+                )
+
+    windows = written(both.mapInArrow(run, "window long, id long, digest long, place int, start int, stop int"), "line-windows")
+    first = windows.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("window", "a")
+    later = windows.join(first, "window").where("a < id")
+    grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "start", "stop", "a")).alias("held"))
+
+    def merged(batches):
+        for batch in batches:
+            rows, holders, spans, sizes = [], [], [], []
+            for k in range(batch.num_rows):
+                flat = batch.column(2)[k].values
+                place, start, stop, a = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+                order = np.argsort(place)
+                place, start, stop, a = place[order], start[order], stop[order], a[order]
+                keep = without_edges(place, a, min_words)
+                start, stop, a = start[keep], stop[keep], a[keep]
+                order = np.lexsort((start, a))
+                start, stop, a = start[order], stop[order], a[order]
+                new = np.flatnonzero(np.concatenate([[True], (start[1:] > stop[:-1]) | (a[1:] != a[:-1])]))
+                begin, end = start[new], stop[np.concatenate([new[1:] - 1, [len(stop) - 1]])]
+                by = np.flatnonzero(np.concatenate([[True], a[new][1:] != a[new][:-1]]))
+                for x, y in zip(by.tolist(), [*by[1:].tolist(), len(new)]):
+                    rows.append(k)
+                    holders.append(int(a[new[x]]))
+                    spans.append([{"start": s, "stop": e} for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())])
+                    sizes.append(int((end[x:y] - begin[x:y]).sum()))
+            at = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(holders, pa.int64())]
+            columns += [pa.array(spans, _SPANS), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "a", "spans", "size"])
 
+    return grouped.mapInArrow(merged, f"id long, digest long, a long, spans {_SPANS_SQL}, size long")
 
-def repeated_blocks(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, spare: float | None = None
-) -> DataFrame:
-    """``id, digest, spans``: for each document what is to be deleted, as byte ranges of its UTF-8 text.
 
-    ``digest`` is ``xxhash64`` of the text the spans belong to. With ``spare`` set, a pair is left alone
-    if its blocks make up that share of the later document or more: whole copies are then for near-duplicate
-    removal, which drops them in one piece.
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_SPANS_SQL = "array<struct<start: long, stop: long>>"
+
+
+def spared(held: DataFrame, docs: DataFrame, id_col: str, text: str, percent: int, shingle: int) -> DataFrame:
+    """``id, digest, a``: texts to be left whole as to ``a``, as near-duplicate removal drops them whole.
+
+    ``a`` is the earlier document that holds most of the text. Their similarity is taken exactly, on what line
+    deduplication leaves of both: ``a`` without all its repeats, the later text without what others than ``a`` hold. It
+    holds good only where ``a`` is not spared itself, so a text next to a spared one is cut.
     """
-    pairs = written(linked(docs, id_col, text), "line-pairs")
-    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
-    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = written(all_texts.join(broadcast_if_few(wanted), "id"), "line-texts")
-    both = (
-        pairs.join(texts.selectExpr("id AS a", "text AS text_a"), "a")
-        .join(texts.selectExpr("id AS b", "text AS text_b", "xxhash64(text) AS digest"), "b")
-        .select("b", "digest", "text_a", "text_b")
+    top = held.groupBy("id", "digest").agg(F.max_by("a", F.struct("size", -F.col("a"))).alias("top"))
+    parts = held.join(top, ["id", "digest"])
+    both = parts.groupBy("id", "digest", "top").agg(
+        F.flatten(F.collect_list("spans")).alias("every"),
+        F.flatten(F.collect_list(F.when(F.col("a") != F.col("top"), F.col("spans")))).alias("others"),
     )
+    both = written(both, "line-tops")
+    wanted = both.select("id").union(both.select(F.col("top").alias("id"))).distinct()
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = source.join(broadcast_if_few(written(wanted, "line-ids")), "id", "left_semi").withColumn("digest", F.xxhash64("text")).distinct()
+    texts = texts.join(both, ["id", "digest"], "left")
+    nothing = F.array().cast(_SPANS_SQL)
+    left = texts.select(
+        "id", "digest", "top", cut(F.col("text"), F.coalesce("every", nothing)).alias("text_a"),
+        F.when(F.col("top").isNotNull(), cut(F.col("text"), F.coalesce("others", nothing))).alias("text_b"),
+    )
+    left = written(left, "line-texts")
+    later = left.where("top IS NOT NULL").select("id", "digest", F.col("top").alias("a"), "text_b")
+    pairs = later.join(left.select(F.col("id").alias("a"), "text_a"), "a").select("id", "digest", "a", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text_a", 1_000_000):
-                a, b = Lines(part.column(2)), Lines(part.column(3))
-                rows, spans = [], []
-                for k in range(part.num_rows):
-                    blocks = common_blocks(a, k, b, k, min_words)
-                    w0, w1 = int(b.text_words[k]), int(b.text_words[k + 1])
-                    if not blocks or spare is not None and sum(q - p for p, q in blocks) >= spare * (w1 - w0):
-                        continue
-                    base, end = int(b.offsets[k]), int(b.offsets[k + 1])
-                    cut = [
-                        (int(b.starts[w0 + p]) - base, (int(b.starts[w0 + q]) if w0 + q < w1 else end) - base)
-                        for p, q in blocks
-                    ]
-                    rows.append(k)
-                    spans.append([{"start": s, "stop": e} for s, e in cut])
-                at = pa.array(rows, pa.int64())
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(spans, kind)], ["id", "digest", "spans"]
-                )
+                one, two = (H.shingles(*H.words(part.column(i)), shingle) for i in (3, 4))
+                alike = []
+                for x, y in zip(one, two):
+                    union = len(np.unique(np.concatenate([x, y])))
+                    alike.append(bool(len(x) and len(y)) and 100 * (len(x) + len(y) - union) >= percent * union)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(alike, pa.bool_())], ["id", "digest", "a", "alike"])
+
+    tested = pairs.mapInArrow(run, "id long, digest long, a long, alike boolean")
+    # of an id with several texts each must be alike
+    alike = written(tested.groupBy("id", "digest", "a").agg(F.bool_and("alike").alias("alike")).where("alike"), "line-alike")
+    return alike.join(alike.select(F.col("id").alias("a")), "a", "left_anti").select("id", "digest", "a")
+
 
-    found = both.mapInArrow(run, "id long, digest long, spans array<struct<start: long, stop: long>>")
-    # One row for each earlier document that a text shares blocks with: at most one for each of its lines.
-    return found.groupBy("id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+def repeated_blocks(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, spare: float | None = None
+) -> DataFrame:
+    """``id, digest, spans``: for each document what is to be deleted, as byte ranges of its UTF-8 text.
+
+    ``digest`` is ``xxhash64`` of the text the spans belong to. With ``spare`` set, a pair is left alone if the
+    Jaccard similarity of its five-word shingles is ``spare`` or more: whole copies are then for near-duplicate
+    removal at that similarity, which drops them in one piece.
+    """
+    held = written(held_before(docs, id_col, text, min_words), "line-held")
+    if spare is not None:
+        held = held.join(spared(held, docs, id_col, text, round(100 * spare), 5), ["id", "digest", "a"], "left_anti")
+    return held.groupBy("id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut(text: Column, spans: Column) -> Column:

@@ -80,3 +80,72 @@ def test_query_keeps_every_document(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     rows = L.op10_line_dedup(spark, SF_SMALL).collect()
     assert len(rows) == n and any(r.words_deleted for r in rows) and all(r.words_deleted >= 0 for r in rows)
+
+
+def unstopped(seed, n):
+    rnd = random.Random(seed)
+    return " ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(n))
+
+
+def test_passages_without_whole_lines(spark):
+    p, shouts = unstopped("p", 50), " ".join(f"{w.upper()}!!" for w in unstopped("s", 60).split())
+    rows = [
+        (1, unstopped(1, 30) + " " + p + " " + unstopped(2, 30), "x"),
+        (2, unstopped(3, 30) + " " + p + " " + unstopped(4, 30) + ".", "x"),
+        (3, shouts, "x"),
+        (4, "one two " + shouts, "x"),
+        (5, unstopped(5, 20) + " " + " ".join(p.split()[5:45]), "x"),
+        (6, unstopped(6, 20) + " " + " ".join(p.split()[5:44]), "x"),
+    ]
+    got = run(spark, rows)
+    assert got[2].text == unstopped(3, 30) + " " + unstopped(4, 30) + "."
+    assert got[4].text == "one two" and got[5].text == unstopped(5, 20)
+    assert got[6].text == rows[5][1]
+
+
+def test_a_passage_whose_parts_have_other_first_holders(spark):
+    lines = sentences("parts", 8)
+    passage = " ".join(lines)
+    rows = [
+        (1, text(1) + " " + " ".join(lines[:4]), "x"),
+        (2, " ".join(lines[4:]) + " " + text(2), "x"),
+        (3, text(3) + " " + passage, "x"),
+        (4, passage + " " + text(4), "x"),
+    ]
+    got = run(spark, rows)
+    assert got[3].text == rows[2][1] and got[4].text == text(4)
+    scattered = [(i, text(20 + i) + " " + lines[i], "x") for i in range(8)]
+    got = run(spark, [*scattered, (8, text(3) + " " + passage, "x"), (9, passage + " " + text(4), "x")])
+    assert got[8].text.endswith(passage) and got[9].text == text(4)
+
+
+def test_repeated_and_swapped_passages(spark):
+    p, q = text("p", 7), text("q", 7)
+    rows = [
+        (1, text(1) + " " + p + " " + text(2) + " " + q, "x"),
+        (2, text(3) + " " + p + " " + text(4) + " " + p + " " + text(5), "x"),
+        (3, text(6) + " " + q + " " + text(7) + " " + p + " " + text(8), "x"),
+        (4, text("r", 7) + " " + text(9) + " " + text("r", 7), "x"),
+        (5, text(10) + " " + text("r", 7) + " " + text(11), "x"),
+    ]
+    got = run(spark, rows)
+    assert got[2].text == " ".join(text(i) for i in (3, 4, 5))
+    assert got[3].text == " ".join(text(i) for i in (6, 7, 8))
+    assert got[4].text == rows[3][1] and got[5].text == text(10) + " " + text(11)
+
+
+def test_no_block_is_left_twice(spark):
+    rnd = random.Random(11)
+    stock = [unstopped(f"stock{i}", rnd.randint(3, 30)).split() for i in range(25)]
+    runs = lambda i, k: [w for _ in range(rnd.randint(1, 3)) for w in rnd.choice(stock)] + [f"own{i}x{k}"]
+    rows = [(i, " ".join(w for k in range(6) for w in runs(i, k)), "x") for i in range(40)]
+    got = run(spark, rows, min_words=20)
+    seen: set = set()
+    for i, before, _ in rows:
+        own, left = before.split(), got[i].text.split()
+        windows = {tuple(own[k : k + 20]) for k in range(len(own) - 19)}
+        kept = {tuple(left[k : k + 20]) for k in range(len(left) - 19)}
+        assert not kept & windows & seen
+        if not windows & seen:
+            assert got[i].text == before
+        seen |= windows
