@@ -10,7 +10,9 @@ window names the first document that holds it.
 
 Links. Not every window is sent. The least hash of the half as long runs in a window is its link; equal windows
 have equal links, so windows whose link only one document has are in no other. Links are sent first, one row for each
-different one of a document, and then only the windows with a link that several documents have.
+different one of a document, and then only the windows with a link that several documents have. Neighbours with the
+same link are one stretch; equal stretches are compared as one, and single windows only where one link stands in
+different stretches, as at the ends of what two documents share.
 
 Ends. Of a block that begins or ends with fewer than ``MIN_LINE`` words that only a later holder adds, these
 words stay: the first holder says where a passage ends.
@@ -34,6 +36,8 @@ MIN_WORDS = 40
 
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[ord(c) for c in ".!?"]] = True
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_SPANS_SQL = "array<struct<start: long, stop: long>>"
 
 
 class Lines:
@@ -137,15 +141,16 @@ class Windows:
         scale[0] = 1
         scale = np.multiply.accumulate(scale)
 
-        def hashes(k):
-            return H.mix64((sums[k:] - sums[:-k]) * scale[: n - k + 1] + H.U64(k))
+        def hashes(first, after):
+            return H.mix64((sums[after] - sums[first]) * scale[first] + (after - first).astype(H.U64))
 
         text = np.repeat(np.arange(len(counts)), counts)
-        half = size // 2
+        half, every = size // 2, np.arange(n + 1)
         inside = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
         self.of = text[inside]
-        self.hash = hashes(size)[inside]
-        self.link = window_min(hashes(half), size - half + 1)[inside]
+        self.hashes, self.word = hashes, inside
+        self.hash = hashes(inside, inside + size)
+        self.link = window_min(hashes(every[: n - half + 1], every[half:]), size - half + 1)[inside]
         base = offsets[:-1][self.of]
         self.start = starts[inside] - base
         after = inside + size
@@ -171,6 +176,24 @@ def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
     return links.join(several, "link").groupBy("id").agg(F.collect_set("link").alias("links"))
 
 
+def expanded(held: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Place, start, stop and first holder of each window of stretches ``(place, starts, stops, a, better)``."""
+    steps = held.field("starts")
+    sizes = steps.value_lengths().to_numpy().astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    number = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    out = [np.repeat(held.field("place").to_numpy(), sizes) + number]
+    for name in ("starts", "stops"):
+        sums = np.cumsum(held.field(name).flatten().to_numpy().astype(np.int64))
+        out.append(sums - np.repeat(np.concatenate([[0], sums])[first], sizes))
+    a = np.repeat(held.field("a").to_numpy(), sizes)
+    better = held.field("better")
+    many = better.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = better.flatten()
+    a[np.repeat(first, many) + flat.field("number").to_numpy()] = flat.field("a").to_numpy()
+    return out[0].astype(np.int64), out[1], out[2], a
+
+
 def without_edges(place: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
     """Marks the windows that count, of those at ``place`` (sorted) that ``a`` hold first.
 
@@ -190,12 +213,10 @@ def without_edges(place: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
     return keep
 
 
-def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``id, digest, a, spans, size``: the byte ranges of a text that are windows ``a`` is the first to hold, a < id."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    links = written(shared_links(source, min_words), "line-links")
-    own = source.join(broadcast_if_few(links.select("id")), "id", "left_semi") if links.count() <= 500_000 else source
-    both = own.join(links, "id").select("id", F.xxhash64("text").alias("digest"), "text", "links")
+def stretches(texts: DataFrame, min_words: int) -> DataFrame:
+    """The windows of ``texts(id, digest, text, links)`` with one of the ``links``, a row for each stretch of neighbours with
+    the same link: ``stretch`` (a hash of its words), the place of the first window, how far the bytes at
+    which windows start and stop are from those of the window before, and the windows' hashes."""
 
     def run(batches):
         for batch in batches:
@@ -207,27 +228,73 @@ def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> Data
                     mine = slice(first[k], first[k + 1])
                     shared = part.column(3)[k].values.to_numpy(zero_copy_only=False).view(H.U64)
                     keep[mine] = np.isin(w.link[mine], shared)
-                at = pa.array(w.of[keep])
+                kept = np.flatnonzero(keep)
+                if not len(kept):
+                    continue
+                of, link = w.of[kept], w.link[kept]
+                new = np.ones(len(kept), bool)
+                new[1:] = (kept[1:] != kept[:-1] + 1) | (of[1:] != of[:-1]) | (link[1:] != link[:-1])
+                begin = np.flatnonzero(new)
+                end = np.concatenate([begin[1:], [len(kept)]])
+                offsets = pa.array(np.concatenate([begin, [len(kept)]]).astype(np.int32))
+
+                def steps(x):
+                    out = x.copy()
+                    out[1:] -= x[:-1]
+                    out[begin] = x[begin]
+                    return pa.ListArray.from_arrays(offsets, pa.array(out.astype(np.int32)))
+
+                at = pa.array(of[begin])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(w.hash[keep].view(np.int64)), part.column(0).take(at), part.column(1).take(at),
-                        pa.array((np.flatnonzero(keep) - first[w.of[keep]]).astype(np.int32)),
-                        pa.array(w.start[keep].astype(np.int32)), pa.array(w.stop[keep].astype(np.int32)),
+                        pa.array(w.hashes(w.word[kept[begin]], w.word[kept[end - 1]] + min_words).view(np.int64)),
+                        pa.array(link[begin].view(np.int64)), part.column(0).take(at), part.column(1).take(at),
+                        pa.array((kept[begin] - first[of[begin]]).astype(np.int32)), steps(w.start[kept]), steps(w.stop[kept]),
+                        pa.ListArray.from_arrays(offsets, pa.array(w.hash[kept].view(np.int64))),
                     ],
-                    ["window", "id", "digest", "place", "start", "stop"],
+                    ["stretch", "link", "id", "digest", "place", "starts", "stops", "windows"],
                 )
 
-    windows = written(both.mapInArrow(run, "window long, id long, digest long, place int, start int, stop int"), "line-windows")
-    first = windows.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("window", "a")
-    later = windows.join(first, "window").where("a < id")
-    grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "start", "stop", "a")).alias("held"))
+    kind = "stretch long, link long, id long, digest long, place int, starts array<int>, stops array<int>, windows array<long>"
+    return texts.mapInArrow(run, kind)
+
+
+def holders(rows: DataFrame) -> DataFrame:
+    """``stretch, a, better``: the first document ``a`` with each stretch that is held more than once, and the windows
+    of it, by number, that an even earlier one holds, with the first that does.
+
+    Who first holds a window first holds the stretch it stands in there. So only first holders of stretches are
+    compared window by window, and only under links of which there are several.
+    """
+    held = written(rows.groupBy("stretch").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("link").alias("link")), "line-stretches")
+    several = held.groupBy("link").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("link")
+    open_ = held.join(several, "link").select("stretch", F.col("a").alias("id"))
+    each = rows.join(open_, ["stretch", "id"]).select("stretch", "id", F.posexplode("windows").alias("number", "window"))
+    each = written(each, "line-windows")
+    first = each.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("window", "a")
+    better = each.join(first, "window").where("a < id").groupBy("stretch").agg(F.collect_set(F.struct("number", "a")).alias("better"))
+    return held.join(better, "stretch", "left").where("a < z OR better IS NOT NULL").select("stretch", "a", "better")
+
+
+def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``id, digest, a, spans, size``: the byte ranges of a text that are windows ``a`` is the first to hold, a < id."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    links = written(shared_links(source, min_words), "line-links")
+    own = source.join(broadcast_if_few(links.select("id")), "id", "left_semi") if links.count() <= 500_000 else source
+    rows = stretches(own.join(links, "id").select("id", F.xxhash64("text").alias("digest"), "text", "links"), min_words)
+    rows = written(rows, "line-rows")
+    later = rows.drop("windows", "link").join(written(holders(rows), "line-holders"), "stretch").where("a < id OR better IS NOT NULL")
+    grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "starts", "stops", "a", "better")).alias("held"))
 
     def merged(batches):
         for batch in batches:
             rows, holders, spans, sizes = [], [], [], []
             for k in range(batch.num_rows):
-                flat = batch.column(2)[k].values
-                place, start, stop, a = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+                place, start, stop, a = expanded(batch.column(2)[k].values)
+                earlier = a < batch.column(0)[k].as_py()
+                place, start, stop, a = place[earlier], start[earlier], stop[earlier], a[earlier]
+                if not len(place):
+                    continue
                 order = np.argsort(place)
                 place, start, stop, a = place[order], start[order], stop[order], a[order]
                 keep = without_edges(place, a, min_words)
@@ -250,10 +317,6 @@ def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> Data
     return grouped.mapInArrow(merged, f"id long, digest long, a long, spans {_SPANS_SQL}, size long")
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-_SPANS_SQL = "array<struct<start: long, stop: long>>"
-
-
 def spared(held: DataFrame, docs: DataFrame, id_col: str, text: str, percent: int, shingle: int) -> DataFrame:
     """``id, digest, a``: texts to be left whole as to ``a``, as near-duplicate removal drops them whole.
 
