@@ -407,7 +407,13 @@ def without_repeats(
     own = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest")
     )
-    marked = own.join(broadcast_if_few(blocks, 50_000).select("id", "digest", "spans"), ["id", "digest"], "left")
+    if blocks.count() <= 500_000:  # texts that stay as they are stay where they are
+        ids = F.broadcast(blocks.select("id", "digest"))
+        rest = own.join(ids, ["id", "digest"], "left_anti").withColumn("spans", F.lit(None).cast(_SPANS_SQL))
+        own = own.join(ids, ["id", "digest"], "left_semi")
+        marked = own.join(blocks, ["id", "digest"]).unionByName(rest)
+    else:
+        marked = own.join(blocks, ["id", "digest"], "left")
     changed, before = F.col("spans").isNotNull(), F.col("row").getField(text)
     words = F.size(F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     after = F.when(changed, cut(before, F.col("spans"))).otherwise(before)
