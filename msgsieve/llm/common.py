@@ -50,6 +50,25 @@ def rank_within(df: DataFrame, key: str, order: list[str], name: str, buckets: i
     )
 
 
+def ordered_rank(df: DataFrame, key: str, order: list[str], name: str, total: str) -> DataFrame:
+    """Add ``name``, the row's place (from 0) within its key in the order of ``order``, and ``total``, the rows of the key.
+
+    Rows are dealt by ranges of (key, order) and sorted there, so one key may hold most rows and fills several
+    ranges. One row for each (key, range) says how many rows of the key stand before it. Nulls come
+    first; rows alike in key and order are interchangeable. The input is read twice: pass a written table.
+    """
+    sort = [key, *order]
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed, "ranges").withColumn("_part", F.shiftright("_place", 33))
+    runs = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    own = W.partitionBy(key)
+    before = F.sum("_n").over(own.orderBy("_part")) - F.col("_n") - F.col("_first")
+    starts = written(runs.select(key, "_part", before.alias("_base"), F.sum("_n").over(own).alias("_total")), "starts")
+    return placed.join(broadcast_if_few(starts), [key, "_part"]).select(
+        *df.columns, (F.col("_base") + F.col("_place")).alias(name), F.col("_total").alias(total)
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, the component its smallest node.
 
