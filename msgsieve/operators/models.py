@@ -1,27 +1,27 @@
-"""Training and applying the solver-based models on a ``features`` vector column."""
+"""Training and applying linear models and naive Bayes on a ``features`` vector column."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
 from threading import Lock
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, NaiveBayes
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame, functions as F
 
-from msgsieve.operators import evaluate as E
+from msgsieve.operators import evaluate as E, solver as Z
 from msgsieve.operators.vectorize import FeatureSpec, MessageFeatures
 from msgsieve.schema import FOLDS, LABELS
-from msgsieve.sources.sinks import append_metrics
+from msgsieve.session import scratch_path
+from msgsieve.sources.sinks import STORED_VECTOR, append_metrics
 
-MAX_ITER = 1000
-# The hinge has no curvature for the solver to use; past this many steps it only oscillates.
-MAX_ITER_HINGE = 100
-TOLERANCE = 1e-4
 # Independent fits that run side by side.
 PARALLELISM = 6
 
@@ -45,29 +45,50 @@ def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
     return {label: n / (k * c) for label, c in counts.items()}
 
 
-def weight_column(weights: dict[str, float], only: str | None = None) -> Column:
-    """The class weight of a row; with ``only``, rows of other classes weigh 1."""
-    out = F.lit(1.0)
-    for label, w in weights.items():
-        if only is None or label == only:
-            out = F.when(F.col("label") == label, w).otherwise(out)
-    return out
+def class_index(label: str = "label") -> Column:
+    return F.array_position(F.array(*[F.lit(c) for c in LABELS]), F.col(label)) - 1
 
 
-def place_vectors(vectors: DataFrame) -> DataFrame:
-    """``(row_id, label, features)`` placed by row id in tasks of even size in bytes and persisted.
+class Training:
+    """Stored training rows ``label, features``: as vectors for stock estimators, and as plain columns, dealt evenly
+    and persisted at first use, for the solver."""
 
-    Lost blocks are recomputed from the input; hashing the id puts every row back where it was. The
-    caller unpersists.
-    """
-    # The vectoriser names every feature in the column's metadata, which each task would carry.
-    bare = F.col("features").alias("features", metadata={})
-    placed = vectors.select("row_id", "label", bare)
-    return placed.hint("rebalance", "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, stored: DataFrame, path: str, condition: Column | None = None):
+        self._path, self._condition = path, condition
+        self._spark, self._rows, self._lock = stored.sparkSession, None, Lock()
+        self.vectors = stored if condition is None else stored.where(condition)
+        counted = self._stored().groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(_vector_size()).alias("size")).collect()
+        self.counts = {r["label"]: r["n"] for r in counted}
+        self.size = max((r["size"] for r in counted), default=0)
+
+    def _stored(self) -> DataFrame:
+        plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in self._spark.read.parquet(self._path).schema if f.name != "features"]
+        rows = self._spark.read.schema(", ".join([*plain, f"features {STORED_VECTOR}"])).parquet(self._path)
+        return rows if self._condition is None else rows.where(self._condition)
+
+    @property
+    def rows(self) -> DataFrame:
+        with self._lock:
+            if self._rows is None:
+                self._rows = Z.even_rows(self._stored().select(F.lit(0).alias("space"), class_index().cast("int").alias("y"), "features"))
+        return self._rows
 
+    def unpersist(self) -> None:
+        if self._rows is not None:
+            self._rows.unpersist()
 
-def training_vectors(pipeline, train: DataFrame) -> DataFrame:
-    return place_vectors(pipeline.transform(train))
+
+def _vector_size() -> Column:
+    return F.coalesce("features.size", F.size("features.values"))
+
+
+def training_vectors(pipeline, train: DataFrame) -> Training:
+    """The vectors of ``train``, written once."""
+    path = scratch_path(train.sparkSession, "vectors")
+    # The vectoriser names every feature in the column's metadata, which each task would carry.
+    bare = F.col("features").alias("features", metadata={})
+    pipeline.transform(train).select("label", bare).write.parquet(path)
+    return Training(train.sparkSession.read.parquet(path), path)
 
 
 class Fitted:
@@ -96,67 +117,63 @@ class Fitted:
         return out.select(*df.columns, *[f"{c}_margin" for c in self.model], "prediction")
 
 
-def fit_logistic(df: DataFrame, c: float = 1.0, balanced: bool = False) -> Fitted:
-    """Multinomial logistic regression with an L2 penalty of 1/(C n) and no standardisation.
+def logistic_model(w: np.ndarray) -> LogisticRegressionModel:
+    """Coefficients ``(classes, features + 1)`` as a stock model: it predicts, saves, loads and streams."""
+    context = _context()
+    matrix = DenseMatrix(w.shape[0], w.shape[1] - 1, w[:, :-1].ravel(order="F"))
+    parts = _py2java(context, matrix), _py2java(context, Vectors.dense(w[:, -1]))
+    java = JavaWrapper._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel", LogisticRegressionModel._randomUID(), *parts, w.shape[0], True
+    )
+    return LogisticRegressionModel(java).setPredictionCol("label_prediction")
 
-    Balanced weights sum to n, so the penalty is the same with and without them.
-    """
-    counts = label_counts(df)
-    data = indexer().transform(df)
-    params = {}
-    if balanced:
-        data = data.withColumn("class_weight", weight_column(balanced_weights(counts)))
-        params["weightCol"] = "class_weight"
-    solver = LogisticRegression(
-        labelCol="label_index",
-        predictionCol="label_prediction",
-        family="multinomial",
-        regParam=1.0 / (c * sum(counts.values())),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=MAX_ITER,
-        tol=TOLERANCE,
-        **params,
+
+def margin_model(w: np.ndarray) -> LinearSVCModel:
+    """Coefficients ``(features + 1,)`` of one class against the rest as a stock model."""
+    java = JavaWrapper._new_java_obj(
+        "org.apache.spark.ml.classification.LinearSVCModel", LinearSVCModel._randomUID(), _py2java(_context(), Vectors.dense(w[:-1])), float(w[-1])
     )
-    return Fitted("lr", solver.fit(data))
+    return LinearSVCModel(java)
 
 
-def fit_svc(df: DataFrame, c: float = 1.0, balanced: bool = False) -> Fitted:
-    """One-vs-rest linear SVMs; balanced weights apply to the positive side of each problem.
+def _context():
+    from pyspark import SparkContext
 
-    Spark's loss is the hinge, not its square, so scores differ from a squared-hinge solver's.
-    """
-    counts = label_counts(df)
-    weights = balanced_weights(counts)
-    n = sum(counts.values())
-
-    def one(label):
-        positive = weights[label] if balanced else 1.0
-        total = n - counts[label] + positive * counts[label]
-        data = df.withColumn("_target", (F.col("label") == label).cast("double")).withColumn(
-            "class_weight", weight_column(weights, only=label) if balanced else F.lit(1.0)
-        )
-        solver = LinearSVC(
-            labelCol="_target",
-            weightCol="class_weight",
-            regParam=1.0 / (c * total),
-            standardization=False,
-            maxIter=MAX_ITER_HINGE,
-            tol=TOLERANCE,
-        )
-        return label, solver.fit(data)
+    return SparkContext._active_spark_context
 
-    with ThreadPoolExecutor(len(counts)) as pool:
-        return Fitted("svc", dict(pool.map(one, sorted(counts))))
 
+def _weights(counts: dict[str, int], balanced: bool, only: str | None = None) -> tuple[float, ...]:
+    """Weights by class index; with ``only``, other classes weigh 1."""
+    told = balanced_weights(counts) if balanced else {}
+    return tuple(told.get(c, 1.0) if only is None or c == only else 1.0 for c in LABELS)
 
-def fit_bayes(df: DataFrame, complement: bool = False) -> Fitted:
+
+def logistic_fit(counts: dict[str, int], size: int, c: float = 1.0, balanced: bool = False, space: int = 0) -> Z.Fit:
+    return Z.Fit("logistic", size, _weights(counts, balanced), c, space=space)
+
+
+def fit_logistic(data: Training, c: float = 1.0, balanced: bool = False) -> Fitted:
+    """Multinomial logistic regression: ``|w|**2 / 2 + c * sum(weight * loss)``, no standardisation, free intercepts."""
+    return Fitted("lr", logistic_model(Z.fit_all(data.rows, [logistic_fit(data.counts, data.size, c, balanced)])[0]))
+
+
+def fit_svc(data: Training, c: float = 1.0, balanced: bool = False) -> Fitted:
+    """One-vs-rest linear SVMs with the squared hinge; balanced weights apply to the positive side of each problem.
+
+    The three problems share their passes over the rows.
+    """
+    own = sorted(data.counts)
+    fits = [Z.Fit("squared_hinge", data.size, _weights(data.counts, balanced, label), c, LABELS.index(label)) for label in own]
+    return Fitted("svc", {label: margin_model(w[0]) for label, w in zip(own, Z.fit_all(data.rows, fits))})
+
+
+def fit_bayes(data: Training, complement: bool = False) -> Fitted:
     solver = NaiveBayes(
         labelCol="label_index",
         predictionCol="label_prediction",
         modelType="complement" if complement else "multinomial",
     )
-    return Fitted("nb", solver.fit(indexer().transform(df)))
+    return Fitted("nb", solver.fit(indexer().transform(data.vectors)))
 
 
 SOLVERS = {
@@ -270,6 +287,8 @@ def _run_rows(spark, runs: list[tuple]) -> DataFrame:
 
 
 WORD = FeatureSpec()
+#: The tuning run sees text only, so its ratio is that of the cleaned text.
+TUNED = FeatureSpec(char=True, signals=8, ratio_from_text=True)
 RUN_2 = [
     ("E0_baseline_word", WORD, ["LogisticRegression_balanced", "LinearSVC_balanced"]),
     (
@@ -327,37 +346,63 @@ def cross_validate(
 ) -> DataFrame:
     """``(c, fold, macro_f1)`` of balanced logistic regression; ``df`` has a ``fold`` column.
 
-    Vectorisers and scaler are refitted inside each fold, on its training rows only. The grid only
-    changes the solver, so each fold's vectors are computed once and shared by all settings, whose
-    fits run side by side.
+    Vectorisers and scaler are refitted inside each fold, on its training rows only, so each fold has a feature
+    space of its own. All settings of all folds are fitted together: a pass over the training rows of all folds adds to
+    the sums of every (fold, c). All held-out rows are scored in one more pass.
     """
     spark = df.sparkSession
+    path = scratch_path(spark, "folds")
+    df.write.parquet(f"{path}/messages")
+    df = spark.read.parquet(f"{path}/messages")
+    cells = {(r["fold"], r["label"]): r["n"] for r in df.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    inside = {k: {c: sum(n for (f, x), n in cells.items() if x == c and f != k) for c in LABELS} for k in range(folds)}
 
     def prepare(fold):
-        inside, outside = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        pipeline = features_of(inside, spec)
-        valid = pipeline.transform(outside).select("label", "channel", "features")
-        return fold, training_vectors(pipeline, inside), valid.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(setting):
-        (fold, train, valid), c = setting
-        model = fit_logistic(train, c=c, balanced=True)
-        return [(c, fold, *row) for row in E.counts(model.predict(valid)).collect()]
+        pipeline = features_of(df.where(F.col("fold") != fold), spec)
+        bare = F.col("features").alias("features", metadata={})
+        seen = pipeline.transform(df).select("label", "channel", (F.col("fold") == fold).alias("held_out"), bare)
+        seen.write.parquet(f"{path}/vectors/space={fold}")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        prepared = list(pool.map(prepare, range(folds)))
-        cells = [row for rows in pool.map(one, product(prepared, grid)) for row in rows]
-    for _, train, valid in prepared:
-        train.unpersist()
-        valid.unpersist()
-    table = spark.createDataFrame(
-        cells, "c double, fold int, channel string, label string, prediction string, n long"
-    )
+        list(pool.map(prepare, range(folds)))
+    kinds = f"label string, channel string, held_out boolean, features {STORED_VECTOR}, space int"
+    stored = spark.read.schema(kinds).parquet(f"{path}/vectors").withColumn("y", class_index().cast("int"))
+    sizes = {r["space"]: r["size"] for r in stored.groupBy("space").agg(F.max(_vector_size()).alias("size")).collect()}
+    settings = [(fold, float(c)) for fold in range(folds) for c in grid]
+    counts = {k: {c: n for c, n in inside[k].items() if n} for k in inside}
+    fits = [logistic_fit(counts[fold], sizes.get(fold, 0), c, True, fold) for fold, c in settings]
+    rows = Z.even_rows(stored.where("NOT held_out"))
+    found = Z.fit_all(rows, fits)
+    rows.unpersist()
+    told = _predicted(stored.where("held_out"), {n: (f, c, w) for n, ((f, c), w) in enumerate(zip(settings, found))})
     return (
-        E.summary(table, "c", "fold").where(F.col("slice") == E.ALL).select("c", "fold", "macro_f1")
+        E.summary(told, "c", "fold").where(F.col("slice") == E.ALL).select("c", "fold", "macro_f1")
     )
 
 
+def _predicted(stored: DataFrame, models: dict[int, tuple[int, float, np.ndarray]]) -> DataFrame:
+    """``c, fold, channel, label, prediction, n`` of the rows of each fold under its models ``(fold, c, coefficients)``."""
+    sent = stored.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for batch in batches:
+            space = batch.column(0).to_numpy()
+            for fold in np.unique(space).tolist():
+                part = batch.filter(pa.array(space == fold))
+                sizes = part.column(3).value_lengths().to_numpy()
+                block = Z.Rows(np.zeros(part.num_rows, int), part.column(3).flatten().to_numpy(), part.column(4).flatten().to_numpy(), sizes)
+                for own, c, w in sent.value.values():
+                    if own == fold:
+                        best = pa.array(np.array(LABELS)[block.margins(w).argmax(axis=1)], pa.string())
+                        n = part.num_rows
+                        columns = [pa.array(np.full(n, c)), pa.array(np.full(n, fold, np.int32)), part.column(2), part.column(1), best]
+                        yield pa.RecordBatch.from_arrays(columns, ["c", "fold", "channel", "label", "prediction"])
+
+    flat = stored.select("space", "label", "channel", *Z.entries())
+    each = flat.mapInArrow(run, "c double, fold int, channel string, label string, prediction string")
+    return each.groupBy("c", "fold", "channel", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """Mean and population deviation per setting, best first."""
     return (
@@ -371,12 +416,18 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def tune(df: DataFrame, spec: FeatureSpec, grid=GRID_C, folds: int = FOLDS):
-    """Cross-validate, then refit the best setting on all rows: (scores, pipeline, model)."""
-    scores = cross_validate(df, spec, grid, folds)
+def tune(df: DataFrame, spec: FeatureSpec, grid=GRID_C, folds: int = FOLDS, scores: DataFrame | None = None):
+    """Cross-validate, then refit the best setting on all rows: (scores, c, pipeline, model).
+
+    ``scores`` may supply those of an earlier run.
+    """
+    if scores is None:
+        path = scratch_path(df.sparkSession, "scores")
+        cross_validate(df, spec, grid, folds).write.parquet(path)
+        scores = df.sparkSession.read.parquet(path)
     best = cv_summary(scores).first()["c"]
     pipeline = features_of(df, spec)
-    vectors = training_vectors(pipeline, df)
-    model = fit_logistic(vectors, c=best, balanced=True)
-    vectors.unpersist()
-    return scores, pipeline, model
+    data = training_vectors(pipeline, df)
+    model = fit_logistic(data, c=best, balanced=True)
+    data.unpersist()
+    return scores, best, pipeline, model

@@ -519,9 +519,7 @@ def svc_balanced(spark, sf):
 
 
 def _cv(spark, sf):
-    return stage(
-        spark, sf, "cv", lambda: M.cross_validate(R.kfold(S.train_rows(spark, sf)), M.FULL_8)
-    )
+    return stage(spark, sf, "cv", lambda: M.cross_validate(R.kfold(S.train_rows(spark, sf)), M.TUNED))
 
 
 @query
@@ -534,6 +532,14 @@ def cv_summary(spark, sf):
     return M.cv_summary(_cv(spark, sf))
 
 
+@query
+def tune(spark, sf):
+    """Test predictions of the model that the best setting of the grid gives, refitted on the whole training split."""
+    _, c, pipeline, model = M.tune(R.kfold(S.train_rows(spark, sf)), M.TUNED, scores=_cv(spark, sf))
+    scored = model.predict(pipeline.transform(S.test_rows(spark, sf)).select("row_id", "channel", "label", "features"))
+    return M.with_probabilities(scored).drop("features").withColumn("c", F.lit(c))
+
+
 def _stored(spark, sf):
     return lambda spec, solver: S.test_predictions(spark, sf, spec, solver)
 

@@ -110,10 +110,10 @@ def fitted(spark: SparkSession, sf: str, spec: V.FeatureSpec, solver: str) -> M.
     """A model trained on the stored vectors of the training split."""
 
     def build():
-        data = features(spark, sf, spec).where(F.col("split") == "train")
-        vectors = M.place_vectors(data)
-        model = M.SOLVERS[solver](vectors)
-        vectors.unpersist()
+        path = feature_path(spark, sf, spec)
+        data = M.Training(spark.read.parquet(path), path, F.col("split") == "train")
+        model = M.SOLVERS[solver](data)
+        data.unpersist()
         return model
 
     return _once(spark, sf, (spec, solver), build)
