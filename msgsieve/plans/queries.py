@@ -655,32 +655,31 @@ def artefact_audit(spark, sf):
     return L.artefact_audit(S.weights(spark, sf, M.FULL_8), S.weights(spark, sf, stripped))
 
 
-def _to_explain(spark, sf):
-    return Q.cell(S.test_rows(spark, sf)).select("row_id", "text")
-
-
 @query
 def explain_messages(spark, sf):
-    """Why the word model says what it says, for every SMS phishing message of the test split."""
-    return L.explain(_to_explain(spark, sf), S.scorer(spark, sf, M.WORD))
+    """Why the word model says what it says, for every message of the test split."""
+    return L.explain(S.test_rows(spark, sf), S.text_model(spark, sf, M.WORD), ["row_id"])
 
 
 @query
 def explain_messages_full(spark, sf):
-    """The same for the full model: words, characters and signals are derived again per copy."""
-    return L.explain(_to_explain(spark, sf), S.scorer(spark, sf, M.FULL_8))
+    """The same for the full model: words, characters and signals of every copy."""
+    return L.explain(S.test_rows(spark, sf), S.text_model(spark, sf, M.FULL_8), ["row_id"])
 
 
-@query
-def score_messages(spark, sf):
+def _scored_turns(spark, sf):
     """Prediction and confidences for a table of new messages: all conversation turns."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    scored = S.scorer(spark, sf, M.FULL_8)(C.repair(C.for_scoring(turns)))
-    return scored.select("conv_id", "turn", "prediction", "p_ham", "p_phishing", "p_spam")
+    return S.scorer(spark, sf, M.FULL_8)(C.repair(C.for_scoring(turns)))
+
+
+@query
+def score_messages(spark, sf):
+    return _scored_turns(spark, sf).select("conv_id", "turn", "prediction", "p_ham", "p_phishing", "p_spam")
 
 
 @query
 def score_with_reasons(spark, sf):
-    """Prediction, confidences and the eight strongest words of every SMS in the test split."""
-    rows = S.test_rows(spark, sf).where(F.col("channel") == "sms").select("row_id", "text")
-    return L.score_with_reasons(rows, S.scorer(spark, sf, M.WORD))
+    """The same messages with the eight strongest words of each under the full model."""
+    scored = _scored_turns(spark, sf).select("conv_id", "turn", "text", "prediction", "p_ham", "p_phishing", "p_spam")
+    return L.score_with_reasons(scored, S.text_model(spark, sf, M.FULL_8), ["conv_id", "turn"])

@@ -7,6 +7,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.operators import bayes as B, clean as C, evaluate as E, models as M, ranks as R, vectorize as V
+from msgsieve.operators.textmodel import TextModel
 from msgsieve.schema import messages
 from msgsieve.session import scratch_path, stage
 from msgsieve.sources import sinks
@@ -149,6 +150,12 @@ def scorer(spark: SparkSession, sf: str, spec: V.FeatureSpec):
     return score
 
 
+def text_model(spark: SparkSession, sf: str, spec: V.FeatureSpec) -> TextModel:
+    """The fitted pipeline and balanced classifier as arrays, to score copies of messages."""
+    classifier = fitted(spark, sf, spec, "LogisticRegression_balanced").model
+    return _once(spark, sf, ("text", spec), lambda: TextModel.of(feature_model(spark, sf, spec), classifier, spec))
+
+
 def metrics_sink(spark: SparkSession, sf: str) -> str:
     """Metric rows of the stored predictions, written as the metrics sink and read back."""
     def build():

@@ -1,11 +1,11 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from msgsieve.operators import bayes as B, explain as L, models as M, ranks as R, vectorize as V
+from msgsieve.operators.textmodel import TextModel
 from msgsieve.plans import stages as S
 from msgsieve.schema import LABELS
 from msgsieve.sources import sinks
@@ -184,14 +184,9 @@ def test_reloaded_model_scores_alike_and_streams(spark, halves, full_model, tmp_
 def test_explanations(spark, halves, full_model):
     _, test = halves
     some = test.where("channel = 'sms'").orderBy("row_id").limit(4)
-
-    def score(df):
-        rows = df.withColumn("capital_ratio", F.lit(0.0))
-        return M.with_probabilities(full_model.transform(rows)).select(
-            *df.columns, "prediction", *[f"p_{c}" for c in LABELS]
-        )
-
-    rows = L.explain(some, score, num_features=3, n_samples=300).collect()
+    pipeline, classifier, _ = full_model.stages
+    model = TextModel.of(pipeline, classifier, M.FULL_8)
+    rows = L.explain(some, model, ["row_id"], num_features=3, n_samples=300).collect()
     texts = {r.row_id: r for r in some.collect()}
     assert {r.row_id for r in rows} == set(texts)
     for r in rows:
@@ -200,29 +195,16 @@ def test_explanations(spark, halves, full_model):
         assert r["class"] == message.label
         if r["rank"] == 1:
             assert r.weight > 0 and r.token in WORDS[message.label].split()
-    again = L.explain(some.repartition(3), score, num_features=3, n_samples=300).collect()
+    again = L.explain(some.repartition(3), model, ["row_id"], num_features=3, n_samples=300).collect()
     key = lambda rs: sorted((r.row_id, r["rank"], r.token, round(r.weight, 6)) for r in rs)
     assert key(rows) == key(again)
-    told = L.score_with_reasons(some, score, n_samples=100).collect()
+    scored = M.with_probabilities(full_model.transform(some)).select("row_id", "text", "prediction", "p_ham")
+    told = L.score_with_reasons(scored, model, ["row_id"], n_samples=100).collect()
     assert len(told) == 4
     for r in told:
         assert r.prediction == texts[r.row_id].label and len(r.reasons.split(", ")) >= 3
 
 
-def test_perturbed_copies(spark):
-    df = spark.createDataFrame([(1, "a b, a c!")], "row_id long, text string")
-    rows = L.perturb(df, 400).orderBy("sample").collect()
-    assert rows[0].text == "a b, a c!" and rows[0].kept == [1, 1, 1]
-    assert all(r.words is None for r in rows[1:])
-    for r in rows:
-        kept = {w for w, k in zip(rows[0].words, r.kept) if k}
-        assert r.text == "".join(p if p not in "abc" or p in kept else "" for p in "a b, a c!")
-    left_out = [3 - sum(r.kept) for r in rows[1:]]
-    assert min(left_out) == 1
-    for n in (1, 2, 3):
-        assert 0.25 < np.mean([x == n for x in left_out]) < 0.42
-
-
 def test_ridge_spaces_agree():
     rng = np.random.default_rng(1)
     x, y, w = rng.random((6, 9)), rng.random(6), rng.random(6)
@@ -230,9 +212,7 @@ def test_ridge_spaces_agree():
     c = x - (w @ x) / w.sum()
     direct = np.linalg.solve((c.T * w) @ c + 0.3 * np.eye(9), (c.T * w) @ (y - (w @ y) / w.sum()))
     assert np.allclose(wide, direct)
-    assert L._local_fit(3, 25.0)(
-        pd.DataFrame({"row_id": [1], "sample": [0], "words": [[]], "kept": [[]], "p_ham": [1.0], "p_phishing": [0.0], "p_spam": [0.0]})
-    ).empty
+    assert L.local_weights(np.ones(1), np.ones((1, 0), bool), [], 3, 25.0) == []
 
 
 def test_signal_weights_and_audit(spark):
