@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 # (text, source_rank, channel, label)
 PROBES = [
-    ("northbank notice 482915. to unlock your card open http://bit.do/kqzx-then sign in", 0, "sms", "phishing"),
-    ("you have a free cinema pass! text film to 70241 today. smsg.io/qwert", 0, "sms", "spam"),
-    ("hello, check your parcel account on http://parcelcheck.uk right away!", 0, "sms", "phishing"),
-    ("GET a £2500 voucher!!! ring 08712345670 today to collect your gift", 0, "sms", "spam"),
-    ("can you bring the blue folder to class on monday?", 0, "sms", "ham"),
-    ("Renew the card on file at http://netf1ix-renewals.com before friday", 0, "sms", "phishing"),
-    ("see the new statement here: bit.ly/view-statement", 0, "sms", "phishing"),
+    ("minutes of the gardening club are on https://ow.ly/9f2x today", 0, "email", "ham"),
+    ("roadworks map: www.cityroads.info, plan b www.detours.biz", 0, "sms", "ham"),
+    ("Bus 48213 leaves at nine, ticket 900417", 0, "sms", "ham"),
+    ("reach the vet on +49 30-1234 567!", 0, "sms", "spam"),
+    ("a kilo of plums is €3, of figs $4 and of dates £5", 0, "email", "spam"),
+    ("printer page at http://10.20.30.40:631/ jobs", 0, "email", "phishing"),
+    ("choir songs: notes.tk and score.ml", 0, "sms", "phishing"),
+    ("seed swap at garden.club, tools from shed.work", 0, "email", "spam"),
+    ("the b1rds sang at l0dge no 4", 0, "sms", "phishing"),
+    ("new opening hours on tinyurl.com/lib-hours", 0, "sms", "ham"),
+    ("NO RAIN tomorrow", 0, "sms", "ham"),
+    ("mail.example.net, a.b.org and docs.example.io!!", 0, "email", "ham"),
     ("login http://192.168.10.1/a.b?c=1 or www.foo.xyz now", 0, "sms", "phishing"),
     ("paypa1 g00gle amaz0n", 0, "sms", "phishing"),
     ("éle1ns tel +44 (0)20 7946 0958", 0, "sms", "spam"),

@@ -13,13 +13,18 @@ ORDER = [
     "longest_url_len", "max_url_dots",
 ]
 MICRO = [
-    ("northbank notice 482915. to unlock your card open http://bit.do/kqzx-then sign in", "1,1,1,0,1,0.0,0,0,0,0,0,23,1"),
-    ("you have a free cinema pass! text film to 70241 today. smsg.io/qwert", "1,1,1,0,1,0.0,1,0,0,0,0,7,1"),
-    ("hello, check your parcel account on http://parcelcheck.uk right away!", "1,1,0,0,0,0.0,1,0,0,0,0,21,1"),
-    ("GET a £2500 voucher!!! ring 08712345670 today to collect your gift", "0,0,0,1,0,0.0811,3,1,0,0,0,0,0"),
-    ("can you bring the blue folder to class on monday?", "0,0,0,0,0,0.0,0,0,0,0,0,0,0"),
-    ("Renew the card on file at http://netf1ix-renewals.com before friday", "1,1,0,0,0,0.0189,0,0,0,0,1,27,1"),
-    ("see the new statement here: bit.ly/view-statement", "0,0,1,0,0,0.0,0,0,0,0,0,0,0"),
+    ("minutes of the gardening club are on https://ow.ly/9f2x today", "1,1,1,0,0,0.0,0,0,0,0,0,18,1"),
+    ("roadworks map: www.cityroads.info, plan b www.detours.biz", "2,1,0,0,0,0.0,0,0,0,0,0,19,2"),
+    ("Bus 48213 leaves at nine, ticket 900417", "0,0,0,0,1,0.0476,0,0,0,0,0,0,0"),
+    ("reach the vet on +49 30-1234 567!", "0,0,0,1,0,0.0,1,0,0,0,0,0,0"),
+    ("a kilo of plums is €3, of figs $4 and of dates £5", "0,0,0,0,0,0.0,0,3,0,0,0,0,0"),
+    ("printer page at http://10.20.30.40:631/ jobs", "1,1,0,1,0,0.0,0,0,1,0,0,23,3"),
+    ("choir songs: notes.tk and score.ml", "0,0,0,0,0,0.0,0,0,0,1,0,8,1"),
+    ("seed swap at garden.club, tools from shed.work", "0,0,0,0,0,0.0,0,0,0,1,0,0,0"),
+    ("the b1rds sang at l0dge no 4", "0,0,0,0,0,0.0,0,0,0,0,1,0,0"),
+    ("new opening hours on tinyurl.com/lib-hours", "1,1,1,0,0,0.0,0,0,0,0,0,11,1"),
+    ("NO RAIN tomorrow", "0,0,0,0,0,0.4286,0,0,0,0,0,0,0"),
+    ("mail.example.net, a.b.org and docs.example.io!!", "3,1,0,0,0,0.0,2,0,0,0,0,16,2"),
     ("login http://192.168.10.1/a.b?c=1 or www.foo.xyz now", "2,1,0,1,0,0.0,0,0,1,1,0,27,4"),
     ("paypa1 g00gle amaz0n", "0,0,0,0,0,0.0,0,0,0,0,1,0,0"),
     ("éle1ns tel +44 (0)20 7946 0958", "0,0,0,1,0,0.0,0,0,0,0,0,0,0"),
