@@ -119,12 +119,43 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
+# Characters that Windows-1252 has where Latin-1 has controls, and those controls.
+_CP1252 = "".join(bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_LATIN1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+# Marks that follow a letter in sound text, so that they prove nothing by themselves.
+_SOUND = AFTER_WORDS + "\u00a0\u00ad’‘”“…–—™•"
+_ANY = _CP1252 + "\u0081\u008d\u008f\u0090\u009d" + "".join(map(chr, range(0xA0, 0xC0)))
+_ODD = "".join(c for c in _ANY if c not in _SOUND)
+
+
+def _sequences() -> tuple[str, str]:
+    """Patterns of UTF-8 as it looks in Windows-1252, a letter for a first byte and marks for the others: runs of two
+    characters or more, and single characters, of whose marks at least one does not follow letters in sound text.
+    Lower-cased text has the small letter in place of the mark for 9F, which begins most characters of four bytes."""
+    k, n = f"[{_ANY}]", f"[{_ODD}]"
+    run = f"(?:[Â-ß]{k}|[à-ï]{k}{k}|[ð-ô][{_ANY}ÿ]{k}{k}){{2,}}"
+    three = f"[à-ï](?:{n}{k}|{k}{n})"
+    four = f"[ð-ô](?:[{_ODD}ÿ]{k}{k}|{k}{n}{k}|{k}{k}{n})"
+    return run, f"[ÂÃ]{k}|[Ä-ß]{n}|{four}|{three}"
+
+
+SEQUENCES = _sequences()
+
+
+def _decoded(found: Column) -> Column:
+    """The characters whose bytes a sequence shows, or the sequence if they are no UTF-8."""
+    latin = F.translate(found, _CP1252 + "ÿ", _LATIN1 + "\u009f")
+    return F.coalesce(F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string")), found)
+
+
 def fix_encoding(col: Column) -> Column:
-    """Replace the known mis-decoded sequences."""
+    """Undo UTF-8 that was read as Windows-1252, by rule, then the known sequences of lower-cased text."""
     leads = "".join(sorted({bad[0] for bad in MOJIBAKE}))
     pattern = f"(?=[{leads}])(?:{'|'.join(MOJIBAKE)})"
     table = _lookup(MOJIBAKE)
     col = F.coalesce(col, F.lit(""))
+    for found in SEQUENCES:
+        col = _replace_found(col, f"(?=[Â-ô])(?:{found})", 0, lambda bad: (bad, _decoded(bad)))
     return _replace_found(col, pattern, 0, lambda bad: (bad, F.element_at(table, bad)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from msgsieve.functions import signals as G
 from msgsieve.functions.signals import SIGNALS_8, SIGNALS_13
-from msgsieve.functions.text import MOJIBAKE, SOURCE_PATTERN, YEAR_PATTERN
+from msgsieve.functions.text import _CP1252, _LATIN1, MOJIBAKE, SEQUENCES, SOURCE_PATTERN, YEAR_PATTERN
 from msgsieve.functions.tokens import STOP_WORDS, WORD_PATTERN
 from msgsieve.plans.probes import probe_rows
 from msgsieve.schema import LABELS, MAX_DF, MAX_FEATURES, MIN_DF, SEED, TEST_SHARE
@@ -41,6 +41,11 @@ def ratio(expr: str) -> str:
 
 
 def repaired(expr: str) -> str:
+    for found in SEQUENCES:
+        latin = f"string_split(translate(s, {q(_CP1252 + 'ÿ')}, {q(_LATIN1 + chr(0x9F))}), '')"
+        as_bytes = f"unhex(array_to_string(list_transform({latin}, lambda c: printf('%02x', ord(c))), ''))"
+        step = f"lambda acc, s: replace(acc, s, coalesce(TRY(decode({as_bytes})), s))"
+        expr = f"list_reduce([{expr}] || list_distinct(regexp_extract_all({expr}, {q(found)})), {step})"
     for bad, good in MOJIBAKE.items():
         expr = f"replace({expr}, {q(bad)}, {q(good)})"
     return expr

@@ -35,6 +35,7 @@ PROBES = [
     ("Same  text, two labels", 1, "sms", "phishing"),
     ("jose@monkey.org wrote utf in 2024, 1989 and 1994", 0, "email", "phishing"),
     ("pay Â£5 or â£5 or ï¿½5, cafÃ© and itâ€™s done", 0, "sms", "spam"),
+    ("Ã¼ber ðŸ˜€ ðŸŽ‰ and æ—¥æœ¬ at 5â‚¬, ÐŸÑ€Ð¸Ð²ÐµÑ‚; Strauß’ CAFÉ… stay", 0, "sms", "ham"),
     ("offer at pay.example.buzz, €20 or $30!", 0, "sms", "spam"),
 ]
 COLUMNS = "row_id long, text string, source string, source_rank int, channel string, label string"

@@ -74,6 +74,33 @@ def test_encoding(spark):
     assert one(spark, X.fix_encoding, None) == ""
 
 
+def misread(text):
+    """UTF-8 read as Windows-1252, its gaps as controls."""
+    gaps = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+    return "".join(chr(b) if b in gaps else bytes([b]).decode("cp1252") for b in text.encode())
+
+
+@pytest.mark.parametrize(
+    "text", ["é", "ñandú", "Łódka", "’", "™", "…", "日本語", "😀 🎉", "Привет", "שלום", "한글", "£5", "a’b — c", "x😀y"]
+)
+def test_misread_text_of_any_length_comes_back(spark, text):
+    assert one(spark, X.fix_encoding, misread(text)) == text
+    assert one(spark, X.fix_encoding, f"({misread(text)})") == f"({text})"
+    assert one(spark, X.fix_encoding, text) == text
+
+
+def test_lower_cased_four_bytes(spark):
+    assert one(spark, X.fix_encoding, misread("😀").lower()) == "😀"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Strauß’ Walzer", "groß« und »klein", "CAFÉ… É” À– Ñ™", "à\u00a0« mot", "né·e", "à €5", "naïve”", "prix: 5â", "få» ÿes", "Ã la", "ð and þ", "É”,"],
+)
+def test_sound_text_stays(spark, text):
+    assert one(spark, X.fix_encoding, text) == text
+
+
 def test_html(spark):
     page = (
         "<!DOCTYPE html><title>T</title><style>p{}</style><p>a <b>b</b>,c<!-- z --></p>"
