@@ -203,6 +203,57 @@ def decode_entities(col: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+ENCODED_WORD = r"=\?([^?*\s]+)(?:\*[^?\s]*)?\?([bBqQ])\?([^?\s]*)\?="
+
+
+def _word_bytes(kind: Column, body: Column) -> Column:
+    """The bytes of an encoded word's body; null if it is no base64."""
+    pieces = F.regexp_extract_all(F.translate(body, "_", " "), F.lit("=[0-9A-Fa-f]{2}|[^=]+|="), F.lit(0))
+    one = lambda p: F.when(p.rlike("^=[0-9A-Fa-f]{2}$"), F.unhex(F.substring(p, 2, 2))).otherwise(F.encode(p, "UTF-8"))
+    quoted = F.aggregate(pieces, F.lit(b""), lambda done, p: F.concat(done, one(p)))
+    bare = F.rtrim(body, F.lit("="))
+    padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
+    return F.when(F.lower(kind) == "q", quoted).otherwise(F.try_to_binary(padded, F.lit("base64")))
+
+
+def _charset(name: Column, raw: Column) -> Column:
+    """Bytes to text; null for a character set that is not known."""
+    latin = F.decode(raw, "ISO-8859-1")
+    return (
+        F.when(F.lower(name).isin("utf-8", "utf8", "us-ascii", "ascii"), F.make_valid_utf8(raw.cast("string")))
+        .when(F.lower(name).isin("iso-8859-1", "latin1", "latin-1"), latin)
+        .when(F.lower(name).isin("windows-1252", "cp1252"), F.translate(latin, _LATIN1, _CP1252))
+    )
+
+
+def decode_words(col: Column) -> Column:
+    """A mail header with its encoded words (RFC 2047) decoded.
+
+    White space between neighbours goes, and the bytes of neighbours in one character set are joined before they are
+    decoded, so a character may be split over two words. Words that are malformed or in an unknown character set stay.
+    """
+    near = F.regexp_replace(col, rf"(\?=)\s+(?={ENCODED_WORD})", "$1")
+
+    def run_text(run):
+        group = lambda text, n: F.regexp_extract(text, ENCODED_WORD, n)
+        words = F.transform(
+            F.regexp_extract_all(run, F.lit(ENCODED_WORD), F.lit(0)),
+            lambda w: F.struct(F.lower(group(w, 1)).alias("charset"), _word_bytes(group(w, 2), group(w, 3)).alias("raw"), w.alias("text")),
+        )
+        kind = "array<struct<charset: string, raw: binary, text: string>>"
+
+        def join(done, w):
+            last = F.try_element_at(done, F.lit(-1))
+            both = F.struct(w["charset"].alias("charset"), F.concat(last["raw"], w["raw"]).alias("raw"), F.concat(last["text"], w["text"]).alias("text"))
+            on = F.coalesce((last["charset"] == w["charset"]) & last["raw"].isNotNull() & w["raw"].isNotNull(), F.lit(False))
+            return F.when(on, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(w)))
+
+        joined = F.aggregate(words, F.array().cast(kind), join)
+        return F.array_join(F.transform(joined, lambda w: F.coalesce(_charset(w["charset"], w["raw"]), w["text"])), "")
+
+    return _replace_found(near, f"(?:{ENCODED_WORD})+", 0, lambda run: (run, run_text(run)))
+
+
 # Comments, script and style content, each up to the end if it is not closed, and tags. A tag starts with a
 # letter or one of / ! ?, and its quoted values may hold the closing sign.
 MARKUP = (

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, NaiveBayes
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.wrapper import JavaWrapper
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.operators import evaluate as E, solver as Z
 from msgsieve.operators.vectorize import FeatureSpec, MessageFeatures
 from msgsieve.schema import FOLDS, LABELS
 from msgsieve.session import scratch_path
-from msgsieve.sources.sinks import STORED_VECTOR, append_metrics
+from msgsieve.sources.sinks import STORED_VECTOR, append_metrics, read_metrics
 
 # Independent fits that run side by side.
 PARALLELISM = 6
@@ -109,11 +114,7 @@ class Fitted:
             # Several threads may predict with this model: the columns are set on a copy.
             own = model.copy().setRawPredictionCol(f"_raw_{label}").setPredictionCol(f"_pred_{label}")
             out = own.transform(out)
-        out = out.withColumns({f"{c}_margin": vector_to_array(f"_raw_{c}")[1] for c in self.model})
-        # The first largest margin in label order.
-        best = F.array_max(F.array(*[f"{c}_margin" for c in self.model]))
-        hits = [F.when(F.col(f"{c}_margin") == best, c) for c in self.model]
-        out = out.withColumn("prediction", F.coalesce(*hits))
+        out = LargestMargin(list(self.model)).transform(out)
         return out.select(*df.columns, *[f"{c}_margin" for c in self.model], "prediction")
 
 
@@ -176,6 +177,50 @@ def fit_bayes(data: Training, complement: bool = False) -> Fitted:
     return Fitted("nb", solver.fit(indexer().transform(data.vectors)))
 
 
+def bayes_model(weights: dict[str, list[float]], terms: list[str], priors: list[float] | None = None) -> Fitted:
+    """A closed-form naive Bayes model as a stock one: ``weights`` has what one unit of a term adds to each class's score.
+
+    Its scores are the sums of these and its prediction the largest, whichever way the weights were made.
+    """
+    matrix = np.array([weights[t] for t in terms], float).T
+    start = np.zeros(len(LABELS)) if priors is None else np.array(priors, float)
+    context = _context()
+    parts = [_py2java(context, x) for x in (Vectors.dense(start), DenseMatrix(*matrix.shape, matrix.ravel(order="F")), DenseMatrix(0, 0, []))]
+    java = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.NaiveBayesModel", NaiveBayesModel._randomUID(), *parts)
+    return Fitted("nb", NaiveBayesModel(java).setPredictionCol("label_prediction"))
+
+
+class LargestMargin(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``prediction``: the first label of the largest margin, and ``<label>_margin``, from one raw column a label."""
+
+    labels = Param(Params._dummy(), "labels", "labels that have a margin, in order", TypeConverters.toListString)
+
+    def __init__(self, labels: list[str] | None = None):
+        super().__init__()
+        if labels is not None:
+            self._set(labels=list(labels))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        labels = self.getOrDefault(self.labels)
+        out = dataset.withColumns({f"{c}_margin": vector_to_array(f"_raw_{c}")[1] for c in labels})
+        best = F.array_max(F.array(*[f"{c}_margin" for c in labels]))
+        out = out.withColumn("prediction", F.coalesce(*[F.when(F.col(f"{c}_margin") == best, c) for c in labels]))
+        return out.drop(*[f"_{kind}_{c}" for kind in ("raw", "pred") for c in labels])
+
+
+def as_pipeline(features: PipelineModel, fitted: Fitted) -> PipelineModel:
+    """Text to ``prediction`` in one model that saves, loads and streams, whatever was fitted."""
+    return PipelineModel([*features.stages, *classifier(fitted).stages])
+
+
+def classifier(fitted: Fitted) -> PipelineModel:
+    """The same from the ``features`` column on."""
+    if fitted.kind != "svc":
+        return PipelineModel([fitted.model, label_names()])
+    sides = [m.copy().setRawPredictionCol(f"_raw_{c}").setPredictionCol(f"_pred_{c}") for c, m in fitted.model.items()]
+    return PipelineModel([*sides, LargestMargin(list(fitted.model))])
+
+
 SOLVERS = {
     "MultinomialNB": lambda df: fit_bayes(df),
     "ComplementNB": lambda df: fit_bayes(df, complement=True),
@@ -215,8 +260,9 @@ def run_experiments(
 ) -> DataFrame:
     """Tidy metric rows of every (experiment, model) in ``plan``.
 
-    With ``sink``, the rows of each pair are appended there as soon as it is done, so a lost driver loses
-    only what was still running.
+    With ``sink``, the rows of each pair are appended there as soon as it is done, under a key of data, feature spec and
+    model. A run on a sink that has rows takes over what stands there under its keys and fits only the rest, so a
+    killed run goes on where it was; failed pairs are tried again.
 
     Experiments are isolated: one that fails becomes an ``error`` row and the rest go on. Equal
     (spec, model) pairs are fitted once, and models on the same spec share its vectors. ``predict``
@@ -239,10 +285,17 @@ def run_experiments(
         model = SOLVERS[solver](vectors)
         return model.predict(pipeline.transform(test).select("label", "channel", "features"))
 
-    pairs = list(dict.fromkeys((spec, m) for _, spec, models in plan for m in models))
+    keys, kept = {}, None
+    if sink:
+        data = data_digest(train) + data_digest(test)
+        keys = {(name, m): run_key(data, name, spec, m) for name, spec, models in plan for m in models}
+        kept = _kept_runs(spark, sink, keys)
+    done = {(r["experiment"], r["model"]) for r in kept.select("experiment", "model").distinct().collect()} if kept is not None else set()
+    todo = [(name, spec, [m for m in models if (name, m) not in done]) for name, spec, models in plan]
+    pairs = list(dict.fromkeys((spec, m) for _, spec, models in todo for m in models))
 
     def runs_of(pair, outcome):
-        return [(name, m, outcome) for name, spec, models in plan for m in models if (spec, m) == pair]
+        return [(name, m, outcome) for name, spec, models in todo for m in models if (spec, m) == pair]
 
     def one(pair):
         try:
@@ -252,7 +305,7 @@ def run_experiments(
             outcome = [], f"{type(error).__name__}: {error}"
         if sink:
             with lock:
-                append_metrics(_run_rows(spark, runs_of(pair, outcome)), sink)
+                append_metrics(_run_rows(spark, runs_of(pair, outcome)), sink, keys)
         return outcome
 
     try:
@@ -262,7 +315,32 @@ def run_experiments(
         for gate in shared.values():
             if "vectors" in gate:
                 gate["vectors"].unpersist()
-    return _run_rows(spark, [run for pair, outcome in zip(pairs, outcomes) for run in runs_of(pair, outcome)])
+    new = _run_rows(spark, [run for pair, outcome in zip(pairs, outcomes) for run in runs_of(pair, outcome)])
+    return new if kept is None else new.unionByName(kept.select(*new.columns))
+
+
+def data_digest(df: DataFrame) -> str:
+    """A digest of a table's rows that does not depend on their order."""
+    each = F.xxhash64(*sorted(c for c in df.columns)).cast("decimal(38,0)")
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("s")).first()
+    return f"{sorted(df.columns)}:{r['n']}:{r['s']};"
+
+
+def run_key(data: str, experiment: str, spec: FeatureSpec, model: str) -> str:
+    return hashlib.sha256(f"{data}{experiment}|{spec!r}|{model}".encode()).hexdigest()
+
+
+def _kept_runs(spark, sink: str, keys: dict[tuple[str, str], str]) -> DataFrame | None:
+    """Rows of the sink that belong to this plan; None if nothing was written yet."""
+    try:
+        stored = read_metrics(spark, sink)
+    except AnalysisException:
+        return None
+    wanted = spark.createDataFrame([(*pair, key) for pair, key in keys.items()], "experiment string, model string, run_key string")
+    mine = stored.join(F.broadcast(wanted), ["experiment", "model", "run_key"], "left_semi")  # as many rows as the plan has
+    path = scratch_path(spark, "kept-runs")
+    mine.where(F.col("metric") != "error").drop("run_key").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _run_rows(spark, runs: list[tuple]) -> DataFrame:

@@ -82,6 +82,24 @@ def assign_blocks(
     )
 
 
+def pick_position(df: DataFrame, group: list[str], block: str, order: str, position: int) -> DataFrame:
+    """The row at ``position`` (from 1) of each group, groups with fewer rows having none.
+
+    ``block`` cuts a group's order into contiguous parts, for example the splits of a file or the beginnings of names: rows
+    of a smaller block stand before those of a larger one. Blocks are counted, and only the one block that holds the
+    position is ranked by ``order``. A missing group is a group like any other.
+    """
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    keyed = df.withColumn("_key", key)
+    counts = keyed.groupBy("_key", block).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy("_key").orderBy(block))
+    placed = counts.withColumn("_upto", upto).withColumn("_rank", position - (F.col("_upto") - F.col("_n")))
+    holding = placed.where((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n"))).select("_key", F.col(block).alias("_block"), "_rank")
+    here = keyed.join(holding, (keyed["_key"] == holding["_key"]) & keyed[block].eqNullSafe(holding["_block"])).drop(holding["_key"])
+    ranked = here.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_block").orderBy(order)))
+    return ranked.where(F.col("_row") == F.col("_rank")).select(*df.columns)
+
+
 def train_quotas(totals: DataFrame, strata: list[str], test_share: float = TEST_SHARE) -> DataFrame:
     """Training rows per stratum by largest remainder, ties by stratum name.
 

@@ -13,13 +13,15 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.functions import tokens as K
 from msgsieve.functions.signals import SIGNALS_8, SIGNALS_13, signal_transformer
 from msgsieve.functions.sqltext import regex
 from msgsieve.functions.text import SOURCE_PATTERN, YEAR_PATTERN
 from msgsieve.schema import MAX_DF, MAX_FEATURES, MIN_DF
+from msgsieve.session import scratch_path
+from msgsieve.sources.sinks import feature_rows
 
 TOKENIZERS = {"word": K.word_ngrams, "char": K.char_ngrams}
 # Only the word vocabulary drops terms that almost every message has.
@@ -57,19 +59,31 @@ def idf() -> Column:
     return F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
 
 
+def tfidf_model(kind: str, fitted: DataFrame, text: str, out: str) -> PipelineModel:
+    """Stock stages from text to the normalised vector over the vocabulary ``fitted(term, idf)``."""
+    # At most max_features rows; alphabetical, so that the order of ties cannot show.
+    terms = sorted(fitted.select("term", "idf").collect(), key=lambda r: r.term)
+    if not terms:
+        raise ValueError(f"no {kind} term is frequent enough for a vocabulary")
+    tokens, counts, weighted = (f"_{kind}_{s}" for s in ("tokens", "counts", "weighted"))
+    counter = CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol=tokens, outputCol=counts)
+    weight = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in terms]), inputCol=counts, outputCol=weighted)
+    unit = Normalizer(p=2.0, inputCol=weighted, outputCol=out)
+    return PipelineModel([TOKENIZERS[kind](text, tokens), counter, weight, unit])
+
+
 def tfidf_rows(df: DataFrame, vocab: DataFrame, kind: str, *keep: str) -> DataFrame:
     """``(row_id, keep..., term, tfidf)`` with L2-normalised weights.
 
-    The vocabulary side of the join has at most ``MAX_FEATURES`` rows, hence the broadcast. Only
-    narrow (row, term, weight) rows are exchanged, for the norm.
+    Terms are looked up, weighted and normalised in the row; only then is the vector, stored once, taken apart. Nothing
+    is exchanged: the names of the terms are at most ``MAX_FEATURES`` rows, hence the broadcast.
     """
-    weighted = (
-        token_rows(df, kind, "row_id", *keep)
-        .join(F.broadcast(vocab.select("term", idf().alias("_idf"))), "term")
-        .withColumn("_w", F.col("tf") * F.col("_idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("row_id")))
-    return weighted.select("row_id", *keep, "term", (F.col("_w") / norm).alias("tfidf"))
+    model = tfidf_model(kind, vocab.select("term", idf().alias("idf")), "text", "features")
+    path = scratch_path(df.sparkSession, f"tfidf-{kind}")
+    bare = F.col("features").alias("features", metadata={})
+    model.transform(df.select("row_id", *keep, "text")).select("row_id", *keep, bare).write.parquet(path)
+    rows = feature_rows(df.sparkSession, path, model.stages[1].vocabulary, "row_id", *keep)
+    return rows.withColumnsRenamed({"feature": "term", "value": "tfidf"})
 
 
 class TfidfEstimator(Estimator):
@@ -84,19 +98,7 @@ class TfidfEstimator(Estimator):
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         train = dataset.select(F.col(self.inputCol).alias("text"))
         fitted = vocabulary(train, self.kind, self.max_features).withColumn("idf", idf())
-        # At most max_features rows; alphabetical, so that the order of ties cannot show.
-        terms = sorted(fitted.select("term", "idf").collect(), key=lambda r: r.term)
-        if not terms:
-            raise ValueError(f"no {self.kind} term is frequent enough for a vocabulary")
-        tokens, counts, weighted = (f"_{self.kind}_{s}" for s in ("tokens", "counts", "weighted"))
-        counter = CountVectorizerModel.from_vocabulary(
-            [r.term for r in terms], inputCol=tokens, outputCol=counts
-        )
-        weight = ElementwiseProduct(
-            scalingVec=Vectors.dense([r.idf for r in terms]), inputCol=counts, outputCol=weighted
-        )
-        unit = Normalizer(p=2.0, inputCol=weighted, outputCol=self.outputCol)
-        return PipelineModel([TOKENIZERS[self.kind](self.inputCol, tokens), counter, weight, unit])
+        return tfidf_model(self.kind, fitted, self.inputCol, self.outputCol)
 
 
 def scaling_bounds(train: DataFrame, names) -> DataFrame:

@@ -366,6 +366,12 @@ def oracle_sql() -> dict[str, str]:
       CASE folder {known} END AS label
       FROM (SELECT page_id, CASE page_id % {len(FOLDERS)} {cases} END AS folder FROM pages)
       WHERE folder <> 'unknown'"""
+    opening = "regexp_replace(substr(text, 1, 60), '[^\\p{L}\\p{N} ]', '', 'g')"
+    out["decode_subject"] = (
+        f"SELECT doc_id, CASE WHEN lang = 'fr' THEN 'Re: ' || {opening} || ' (fwd)' ELSE {opening} END AS subject FROM documents"
+    )
+    out["nth_mail"] = f"""SELECT {folder_of('lang')} AS folder, lpad(doc_id::VARCHAR, 12, '0') AS name, source AS subject
+        FROM documents QUALIFY row_number() OVER (PARTITION BY folder ORDER BY name) = 50"""
     out["ingest_mail"] = (
         with_(MAIL)
         + "SELECT folder || '/' || doc_id AS source_file, subject, text, label, status FROM parsed"

@@ -164,6 +164,35 @@ def ingest_mail(spark, sf):
     return parsed.select("source_file", "subject", "text", "label", "status")
 
 
+@query
+def decode_subject(spark, sf):
+    """Every document's opening words as a mail subject in encoded words, some Q, some B, some in several words."""
+    part = F.regexp_replace(F.substring("text", 1, 60), r"[^\p{L}\p{N} ]", "")
+    raw = F.hex(F.encode(part, "UTF-8"))
+    quoted = F.regexp_replace(raw, "(..)", "=$1")
+    third = (F.floor(F.length(raw) / 6) * 2).cast("int")  # splits characters, too
+    q = lambda c: F.concat(F.lit("=?utf-8?Q?"), F.regexp_replace(c, "(..)", "=$1"), F.lit("?="))
+    subject = (
+        F.when(F.col("lang") == "en", F.concat(F.lit("=?UTF-8?q?"), quoted, F.lit("?=")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("Re: =?utf-8?B?"), F.translate(F.base64(F.encode(part, "UTF-8")), "\r\n", ""), F.lit("?= (fwd)")))
+        .otherwise(F.concat(q(F.substring(raw, F.lit(1), third)), F.lit("\r\n "), q(F.substring(raw, third + 1, F.length(raw)))))
+    )
+    return table(spark, sf, "documents").select("doc_id", X.decode_words(subject).alias("subject"))
+
+
+def folder_mails(spark, sf):
+    folder = F.when(F.col("lang") == "en", "easy_ham").when(F.col("lang") == "de", "hard_ham").otherwise("spam")
+    return table(spark, sf, "documents").select("doc_id", folder.alias("folder"), F.col("source").alias("subject"))
+
+
+@query
+def nth_mail(spark, sf):
+    """The 50th mail of each folder, in the order of file names."""
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    mails = folder_mails(spark, sf).withColumn("name", name).withColumn("block", F.substring("name", 1, 10))
+    return R.pick_position(mails, ["folder"], "block", "name", 50).select("folder", "name", "subject")
+
+
 @query
 def ingest_counts(spark, sf):
     return mail.ingest_counts(mail.folder_labels(mail.parse_mail(_raw_mail(spark, sf))))
@@ -565,6 +594,23 @@ def score_reload(spark, sf):
     return M.with_probabilities(scored).select("row_id", "label", "prediction", "p_ham", "p_phishing", "p_spam")
 
 
+@query
+def models_reload(spark, sf):
+    """All five models with their feature pipeline, saved, loaded, and the test rows as the loaded ones predict them."""
+    return stage(spark, sf, "reloaded", lambda: S.reloaded_predictions(spark, sf))
+
+
+@query
+def leaderboard_all(spark, sf):
+    """The five models side by side, best first."""
+    return E.leaderboard(E.counts(models_reload(spark, sf), "model"))
+
+
+@query
+def best_of_all(spark, sf):
+    return E.best_model(E.counts(models_reload(spark, sf), "model"))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 

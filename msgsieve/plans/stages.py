@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.operators import bayes as B, clean as C, evaluate as E, models as M, ranks as R, vectorize as V
 from msgsieve.operators.textmodel import TextModel
-from msgsieve.schema import messages
+from msgsieve.schema import LABELS, messages
 from msgsieve.session import scratch_path, stage
 from msgsieve.sources import sinks
 
@@ -125,6 +126,37 @@ def test_predictions(spark: SparkSession, sf: str, spec: V.FeatureSpec, solver:
     return fitted(spark, sf, spec, solver).predict(data)
 
 
+def every_model(spark: SparkSession, sf: str) -> dict[str, tuple[V.FeatureSpec, M.Fitted]]:
+    """The five models of the comparison: two closed-form ones and three from the solver, on words."""
+    counter = next(s for s in feature_model(spark, sf, M.WORD).stages if hasattr(s, "vocabulary"))
+    out = {}
+    for name, complement in (("MultinomialNB", False), ("ComplementNB", True)):
+        # As many rows as the vocabulary, and one of priors.
+        told = {r["term"]: [r[c] for c in LABELS] for r in bayes_weights(spark, sf, complement).collect()}
+        priors = None if complement else list(B.log_priors(train_rows(spark, sf)).select(*LABELS).first())
+        out[name] = M.WORD, M.bayes_model(told, counter.vocabulary, priors)
+    for name in ("LogisticRegression_balanced", "LinearSVC", "LinearSVC_balanced"):
+        out[name] = M.WORD, fitted(spark, sf, M.WORD, name)
+    return out
+
+
+def reloaded_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """``(model, row_id, channel, label, prediction)`` of the test rows by the five models, each saved and loaded first."""
+    parts, vectors = [], {}
+    for name, (spec, model) in every_model(spark, sf).items():
+        if spec not in vectors:  # models on the same features share them
+            path = scratch_path(spark, "model-features")
+            sinks.save_model(feature_model(spark, sf, spec), path)
+            out = scratch_path(spark, "vectors")
+            V.transform_features(sinks.load_model(path), test_rows(spark, sf), "row_id", "channel", "label").write.parquet(out)
+            vectors[spec] = spark.read.parquet(out)
+        path = scratch_path(spark, f"model-{name}")
+        sinks.save_model(M.classifier(model), path)
+        scored = sinks.load_model(path).transform(vectors[spec])
+        parts.append(scored.select(F.lit(name).alias("model"), "row_id", "channel", "label", "prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def weights(spark: SparkSession, sf: str, spec: V.FeatureSpec) -> DataFrame:
     """Coefficients of the balanced logistic model by class and feature name."""
     names = V.feature_names(feature_model(spark, sf, spec))

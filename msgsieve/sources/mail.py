@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.functions import text as X
+from msgsieve.operators.ranks import pick_position
 from msgsieve.schema import MIN_BODY
 
 # Mail folders and their labels.
@@ -58,12 +59,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch.drop(columns="content"), parsed], axis=1)
 
 
-def parse_mail(raw: DataFrame) -> DataFrame:
+def parse_mail(raw: DataFrame, decode_subject: bool = False) -> DataFrame:
     """``(source_file, content)`` to ``(source_file, subject, text, is_multipart, status)``.
 
     Only MIME decoding runs in Python. A plain body wins over an HTML one even if it is blank; HTML
     is reduced to text by native expressions. Mails with less than ten characters of body, and mails
-    that cannot be parsed, keep their row with status ``skipped``.
+    that cannot be parsed, keep their row with status ``skipped``. Encoded words in a subject stay as they are
+    unless ``decode_subject`` is set.
     """
     parsed = raw.select("source_file", "content").mapInPandas(
         _parse,
@@ -73,6 +75,8 @@ def parse_mail(raw: DataFrame) -> DataFrame:
         F.nullif(F.col("plain"), F.lit("")), X.html_to_text(F.col("html")), F.lit("")
     )
     text = X.strip_spaces(body)
+    if decode_subject:
+        parsed = parsed.withColumn("subject", X.decode_words(F.col("subject")))
     usable = F.col("error").isNull() & (F.length("text") >= MIN_BODY)
     return (
         X.computed_once(parsed, text=text)
@@ -113,7 +117,10 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     marker itself is lost for all but a file's first record; it is put back, because the mail parser
     knows to skip a line that starts with it.
     """
-    lines = spark.read.option("lineSep", "\nFrom ").text(path)
+    lines = spark.read.option("lineSep", "\nFrom ").text(path).withColumns(
+        # Where a mail stands: the split it was read in, and its place in that.
+        {"block": F.col("_metadata.file_block_start"), "place": F.monotonically_increasing_id()}
+    )
     record = F.col("value").cast("binary")
     marked = F.when(F.col("value").startswith("From "), record).otherwise(
         F.concat(F.lit(b"From "), record)
@@ -121,9 +128,17 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.length(record) > 0).select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
         marked.alias("content"),
+        "block",
+        "place",
     )
 
 
+def nth_of_mbox(spark: SparkSession, path: str, position: int) -> DataFrame:
+    """``(source_file, content)`` of the mail at ``position`` (from 1) of each mbox, in the order of the file."""
+    mails = read_mbox(spark, path)
+    return pick_position(mails, ["source_file"], "block", "place", position).select("source_file", "content")
+
+
 def load_mbox(spark: SparkSession, path: str, label: str = "phishing") -> DataFrame:
     return parse_mail(read_mbox(spark, path)).withColumn("label", F.lit(label))
 

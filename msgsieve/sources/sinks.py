@@ -20,14 +20,22 @@ def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     )
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Metric rows, appended per experiment so that finished ones survive a later failure."""
-    rows.write.mode("append").partitionBy("experiment").json(path)
+def append_metrics(rows: DataFrame, path: str, keys: dict[tuple[str, str], str] | None = None) -> None:
+    """Metric rows, appended per experiment so that finished ones survive a later failure.
+
+    ``keys`` names what each (experiment, model) was run on. The rows of a call, some tens for a pair, are one file an
+    experiment, which is there as a whole or not at all.
+    """
+    if keys:
+        known = [(*pair, key) for pair, key in keys.items()]
+        named = rows.sparkSession.createDataFrame(known, "experiment string, model string, run_key string")
+        rows = rows.join(F.broadcast(named), ["experiment", "model"], "left")
+    rows.coalesce(1).write.mode("append").partitionBy("experiment").json(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
-        "model string, slice string, metric string, value double, error string, experiment string"
+        "model string, slice string, metric string, value double, error string, run_key string, experiment string"
     ).json(path)
 
 

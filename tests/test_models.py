@@ -143,6 +143,56 @@ def test_finished_experiments_survive_a_killed_run(spark, halves, tmp_path):
     assert [(r.experiment, r.model, r.value) for r in rows] == [("E0", "first", 1.0)]
 
 
+def test_a_killed_run_goes_on(spark, halves, tmp_path):
+    train, test = halves
+    fitted, stop = [], [True]
+
+    class Killed(BaseException):
+        pass
+
+    def predict(spec, solver):
+        if stop and len(fitted) == 3:
+            raise Killed
+        fitted.append(solver)
+        if fitted.count("second") == 1 and solver == "second":
+            raise ValueError("fails the first time")
+        return test.select("label", "channel", F.col("label").alias("prediction"))
+
+    sink = str(tmp_path / "metrics")
+    plan = [("E0", M.WORD, ["first", "second"]), ("E1", M.WORD, ["third", "fourth", "fifth"]), ("E2", M.FULL_8, ["third"])]
+    with pytest.raises(Killed):
+        M.run_experiments(train, test, plan, predict, parallelism=1, sink=sink)
+    assert fitted == ["first", "second", "third"]
+    stop.clear()
+    rows = M.run_experiments(train, test, plan, predict, parallelism=1, sink=sink).collect()
+    assert fitted[3:] == ["second", "fourth", "fifth", "third"]  # the failed one and those not reached
+    assert len({(r.experiment, r.model) for r in rows}) == 6 and not any(r.error for r in rows)
+    again = M.run_experiments(train, test, plan, predict, parallelism=1, sink=sink)
+    assert len(fitted) == 7 and again.count() == len(rows)
+    # Other data: nothing is taken over.
+    M.run_experiments(train.limit(3), test, plan[:1], predict, parallelism=1, sink=sink)
+    assert len(fitted) == 9
+
+
+def test_every_model_saves_loads_and_streams(spark, tmp_path):
+    for name, (spec, model) in S.every_model(spark, SF_SMALL).items():
+        path = str(tmp_path / name)
+        whole = M.as_pipeline(S.feature_model(spark, SF_SMALL, spec), model)
+        sinks.save_model(whole, path)
+        loaded = sinks.load_model(path)
+        rows = S.test_rows(spark, SF_SMALL)
+        key = lambda df: sorted((r.row_id, r.prediction) for r in df.select("row_id", "prediction").collect())
+        want = key(model.predict(S.features(spark, SF_SMALL, spec).where("split = 'test'")))
+        assert key(loaded.transform(rows)) == key(whole.transform(rows)) == want, name
+        if name.endswith("NB"):
+            assert want == key(S.bayes_scores(spark, SF_SMALL, name == "ComplementNB"))
+        stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+        scored = loaded.transform(stream.where("split = 'test'")).select("row_id", "prediction")
+        query = scored.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-ck")
+        assert query.trigger(availableNow=True).start().awaitTermination(120)
+        assert key(spark.read.parquet(f"{path}-out")) == want, name
+
+
 def test_cross_validation(spark, halves):
     train, _ = halves
     scores = M.cross_validate(R.kfold(train), V.FeatureSpec(), grid=[0.1, 10.0], folds=2).persist()

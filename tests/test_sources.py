@@ -116,3 +116,46 @@ def test_metrics_survive_per_experiment(spark, tmp_path):
     sinks.append_metrics(row("E0"), path)
     sinks.append_metrics(row("E1"), path)
     assert sorted(r.experiment for r in sinks.read_metrics(spark, path).collect()) == ["E0", "E1"]
+
+
+def test_encoded_subjects(spark):
+    from msgsieve.functions import text as X
+
+    cases = {
+        "=?utf-8?q?caf=C3=A9?=": "café",
+        "=?UTF-8?B?w6lww6ll?= tail": "épée tail",
+        "Re: =?iso-8859-1?Q?Gr=FC=DFe_an?=\r\n =?iso-8859-1?Q?_alle?=!": "Re: Grüße an alle!",
+        "=?windows-1252?Q?5=80_=93x=94?=": "5€ “x”",
+        "=?utf-8?Q?split_=C3?= =?utf-8?Q?=A9t=C3=A9?=": "split été",
+        "=?utf-8?B?w6k=?= =?iso-8859-1?Q?=E9?=": "éé",
+        "=?utf-8?B?w6k?=": "é",
+        "=?x-unknown?Q?a=20b?= =?utf-8?q?c?=": "=?x-unknown?Q?a=20b?=c",
+        "=?utf-8?B?!!!?= plain": "=?utf-8?B?!!!?= plain",
+        "=?utf-8*en?Q?lang?= a = b ?=": "lang a = b ?=",
+        "no words here": "no words here",
+        "": "",
+        "=?utf-8?Q?bad_=FF?=": "bad �",
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "s string")
+    got = {r.s: r.d for r in df.select("s", X.decode_words(F.col("s")).alias("d")).collect()}
+    assert got == {**cases, None: None}
+    raw = b"Subject: =?utf-8?q?caf=C3=A9?=\n\nlong enough a body\n"
+    mails = spark.createDataFrame([("a/1", bytearray(raw))], "source_file string, content binary")
+    assert mail.parse_mail(mails).first().subject == "=?utf-8?q?caf=C3=A9?="
+    assert mail.parse_mail(mails, decode_subject=True).first().subject == "café"
+
+
+def test_position_in_an_mbox(spark, tmp_path):
+    for name, n in (("a.mbox", 400), ("b.mbox", 49)):
+        text = "".join(f"From x Mon Jan  1 00:00:00 2024\nSubject: {name} {k}\n\nbody number {k} of this file\n\n" for k in range(1, n + 1))
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # many splits
+    try:
+        for position in (1, 50, 399, 400):
+            rows = mail.nth_of_mbox(spark, str(tmp_path), position).collect()
+            told = sorted(bytes(r.content).decode().split("Subject: ")[1].split("\n")[0] for r in rows)
+            assert told == [f"{name} {position}" for name, n in (("a.mbox", 400), ("b.mbox", 49)) if position <= n]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert mail.nth_of_mbox(spark, str(tmp_path), 401).collect() == []
