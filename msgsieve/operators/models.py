@@ -155,7 +155,7 @@ def logistic_fit(counts: dict[str, int], size: int, c: float = 1.0, balanced: bo
 
 def fit_logistic(data: Training, c: float = 1.0, balanced: bool = False) -> Fitted:
     """Multinomial logistic regression: ``|w|**2 / 2 + c * sum(weight * loss)``, no standardisation, free intercepts."""
-    return Fitted("lr", logistic_model(Z.fit_all(data.rows, [logistic_fit(data.counts, data.size, c, balanced)])[0]))
+    return _logistic_of(Z.fit_all(data.rows, [logistic_fit(data.counts, data.size, c, balanced)]))
 
 
 def fit_svc(data: Training, c: float = 1.0, balanced: bool = False) -> Fitted:
@@ -163,9 +163,31 @@ def fit_svc(data: Training, c: float = 1.0, balanced: bool = False) -> Fitted:
 
     The three problems share their passes over the rows.
     """
-    own = sorted(data.counts)
-    fits = [Z.Fit("squared_hinge", data.size, _weights(data.counts, balanced, label), c, LABELS.index(label)) for label in own]
-    return Fitted("svc", {label: margin_model(w[0]) for label, w in zip(own, Z.fit_all(data.rows, fits))})
+    return _svc_of(data, Z.fit_all(data.rows, _svc_fits(data, c, balanced)))
+
+
+def _logistic_of(found: list[np.ndarray]) -> Fitted:
+    return Fitted("lr", logistic_model(found[0]))
+
+
+def _svc_fits(data: Training, c: float, balanced: bool) -> list[Z.Fit]:
+    weights = {label: _weights(data.counts, balanced, label) for label in data.counts}
+    return [Z.Fit("squared_hinge", data.size, weights[label], c, LABELS.index(label)) for label in sorted(data.counts)]
+
+
+def _svc_of(data: Training, found: list[np.ndarray]) -> Fitted:
+    return Fitted("svc", {label: margin_model(w[0]) for label, w in zip(sorted(data.counts), found)})
+
+
+def fit_together(data: Training, solvers: list[str], c: float = 1.0) -> dict[str, Fitted]:
+    """The named logistic models and SVMs from one sequence of passes."""
+    fits = {
+        name: _svc_fits(data, c, name.endswith("balanced")) if name.startswith("LinearSVC") else [logistic_fit(data.counts, data.size, c, name.endswith("balanced"))]
+        for name in solvers
+    }
+    found = iter(Z.fit_all(data.rows, [fit for own in fits.values() for fit in own]))
+    parts = {name: [next(found) for _ in own] for name, own in fits.items()}
+    return {name: _svc_of(data, w) if name.startswith("LinearSVC") else _logistic_of(w) for name, w in parts.items()}
 
 
 def fit_bayes(data: Training, complement: bool = False) -> Fitted:

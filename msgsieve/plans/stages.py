@@ -121,6 +121,20 @@ def fitted(spark: SparkSession, sf: str, spec: V.FeatureSpec, solver: str) -> M.
     return _once(spark, sf, (spec, solver), build)
 
 
+def fitted_together(spark: SparkSession, sf: str, spec: V.FeatureSpec, solvers: list[str]) -> dict[str, M.Fitted]:
+    """Several models of one spec from shared passes over its rows."""
+
+    def build():
+        path = feature_path(spark, sf, spec)
+        data = M.Training(spark.read.parquet(path), path, F.col("split") == "train")
+        models = M.fit_together(data, solvers)
+        data.unpersist()
+        return models
+
+    models = _once(spark, sf, ("together", spec, tuple(solvers)), build)
+    return {name: _once(spark, sf, (spec, name), lambda m=model: m) for name, model in models.items()}
+
+
 def test_predictions(spark: SparkSession, sf: str, spec: V.FeatureSpec, solver: str) -> DataFrame:
     data = features(spark, sf, spec).where(F.col("split") == "test")
     return fitted(spark, sf, spec, solver).predict(data)
@@ -135,9 +149,8 @@ def every_model(spark: SparkSession, sf: str) -> dict[str, tuple[V.FeatureSpec,
         told = {r["term"]: [r[c] for c in LABELS] for r in bayes_weights(spark, sf, complement).collect()}
         priors = None if complement else list(B.log_priors(train_rows(spark, sf)).select(*LABELS).first())
         out[name] = M.WORD, M.bayes_model(told, counter.vocabulary, priors)
-    for name in ("LogisticRegression_balanced", "LinearSVC", "LinearSVC_balanced"):
-        out[name] = M.WORD, fitted(spark, sf, M.WORD, name)
-    return out
+    solved = fitted_together(spark, sf, M.WORD, ["LogisticRegression_balanced", "LinearSVC", "LinearSVC_balanced"])
+    return out | {name: (M.WORD, model) for name, model in solved.items()}
 
 
 def reloaded_predictions(spark: SparkSession, sf: str) -> DataFrame:

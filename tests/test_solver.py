@@ -125,3 +125,16 @@ def test_tuning_equals_single_fits(spark):
     shouted = df.limit(1).withColumns({"text": F.lit("ABC def"), "capital_ratio": F.lit(0.9)})
     ratio = pipeline.transform(shouted).select("sig_capital_ratio").first()[0]
     assert ratio == 0.5
+
+
+def test_models_fitted_together_equal_those_fitted_alone(spark):
+    rows = [(i, f"{w} note {w} thing{i % 5}", c, "sms", 0.1) for i, (w, c) in enumerate([("lunch", "ham"), ("login", "phishing"), ("prize", "spam")] * 12)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label string, channel string, capital_ratio double")
+    data = M.training_vectors(M.features_of(df, V.FeatureSpec()), df)
+    names = ["LogisticRegression", "LogisticRegression_balanced", "LinearSVC", "LinearSVC_balanced"]
+    for name, model in M.fit_together(data, names).items():
+        alone = M.SOLVERS[name](data)
+        if model.kind == "lr":
+            assert np.allclose(model.model.coefficientMatrix.toArray(), alone.model.coefficientMatrix.toArray(), atol=1e-6)
+        else:
+            assert all(np.allclose(model.model[c].coefficients.toArray(), alone.model[c].coefficients.toArray(), atol=1e-6) for c in LABELS)
