@@ -135,19 +135,27 @@ def _newton(fit: Fit, tolerance: float) -> Generator:
         step, rest, met = np.zeros_like(w), -gradient, []
         toward = _scaled(rest, diagonal, known)
         along = (rest * toward).sum()
+        gained = 0.0
         while np.linalg.norm(rest) > bound:
             bent = kept * toward + fit.c * np.stack((yield ("curve", w, toward)))
             curvature = (toward * bent).sum()
-            if curvature <= 0:  # rounding only: the objective is convex
+            if curvature <= 0 or along <= 0:  # rounding only: the objective is convex
                 break
             met.append((toward, bent))
             step += along / curvature * toward
             rest -= along / curvature * bent
+            # Directions that hardly lower the quadratic model any more are not worth a pass (Nash and Sofer, 1990).
+            gain = 0.5 * along**2 / curvature
+            gained += gain
+            if len(met) * gain < 0.1 * gained:
+                break
             scaled = _scaled(rest, diagonal, known)
             before, along = along, (rest * scaled).sum()
             toward = scaled + along / before * toward
-        known = (known + met)[-PAIRS:]
+        known = met[-PAIRS:]
         slope = (gradient * step).sum()
+        if not slope < 0:
+            break
         parts = yield ("line", w, step)
         penalty = np.array([0.5 * (kept * (w + t * step) ** 2).sum() for t in STEPS])
         lower = np.flatnonzero(penalty + fit.c * parts[0] < now + 1e-4 * STEPS * slope)
