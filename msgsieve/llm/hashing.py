@@ -35,7 +35,9 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _IS_LINE = np.ones(256, dtype=bool)
 _IS_LINE[10] = False
-_powers = np.ones(1, dtype=U64)
+#: Bytes whose words are hashed at a time; a longer word is taken whole.
+STRETCH = 1 << 18
+_powers = _inverses = np.ones(1, dtype=U64)
 
 #: Stand for the start of a text, its end, and the filling of a text shorter than a shingle. Hashes of
 #: words are finalised with their length, so these three fixed values are as unlikely as any collision.
@@ -53,6 +55,16 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """The inverses of ``powers(n)`` modulo 2**64."""
+    global _inverses
+    if len(_inverses) < n:
+        grown = np.full(len(powers(n)), U64(pow(int(powers(2)[1]), -1, 2**64)), dtype=U64)
+        grown[0] = 1
+        _inverses = np.multiply.accumulate(grown)
+    return _inverses
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,13 +115,16 @@ def run_hashes(data, starts, ends, table) -> np.ndarray:
     """A hash of the bytes of each run."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
-    sizes = ends - starts
-    total = int(sizes.sum())
-    first = np.cumsum(sizes) - sizes
-    within = np.arange(total) - np.repeat(first, sizes)
-    at = within + np.repeat(starts, sizes)
-    r = powers(int(sizes.max()))
-    return mix64(np.add.reduceat(table[data[at]] * r[within], first) + sizes.astype(U64))
+    # sums up to each byte under growing powers; what a run adds is brought back to power 0 by its start's inverse
+    out = np.empty(len(starts), dtype=U64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(starts[0], starts[-1] + 1, STRETCH)))
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)]):
+        base, size = starts[i], int(ends[j - 1] - starts[i])
+        sums = np.zeros(size + 1, dtype=U64)
+        np.cumsum(table[data[base : base + size]] * powers(size)[:size], out=sums[1:])
+        first, after = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[after] - sums[first]) * inverse_powers(size)[first]
+    return mix64(out + (ends - starts).astype(U64))
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +134,11 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(data, starts, ends, _BYTE), counts
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """The number of words of each text."""
+    return runs(*buffers(column), _IS_WORD)[2].astype(np.int64)
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each text; a shorter text is one shingle, no word none."""
     out, at = [], 0

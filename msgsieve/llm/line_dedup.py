@@ -1,18 +1,22 @@
-"""Line deduplication: blocks of words that an earlier document holds are deleted from the later ones.
+"""Line deduplication: blocks that a later document shares with an earlier one are deleted from the later one.
 
 A block is a run of ``min_words`` words or more, wherever it begins and ends: stops, line breaks, short lines and
 the order of the blocks do not matter. Words are compared without regard to the case of A-Z.
 
-Windows. A text is the set of its windows, the runs of exactly ``min_words`` words. A word goes if a window over it
-stands in a document with a smaller id. So nothing depends on which pairs of documents are looked at: a passage
-held twice, in another order, or in parts by several earlier documents is found window by window, and each
-window names the first document that holds it.
+Lines. Texts need not have stops or line breaks, so lines are cut by their content: of each run of ``min_words`` words the
+half as long run with the least hash is a line. Equal runs have equal lines, so every block holds a whole one, and there are
+some five lines for a hundred words. Lines that one document alone holds go first. A line
+that very many share is not dropped for it, as it links each of them with its first holder only, not all with all.
 
-Links. Not every window is sent. The least hash of the half as long runs in a window is its link; equal windows
-have equal links, so windows whose link only one document has are in no other. Links are sent first, one row for each
-different one of a document, and then only the windows with a link that several documents have. Neighbours with the
-same link are one stretch; equal stretches are compared as one, and single windows only where one link stands in
-different stretches, as at the ends of what two documents share.
+Pairs. A line with the words around it that have no other line is a stretch. A later holder of a stretch is paired
+with its first holder. Where one line stands in different stretches, as at the ends of a block, it is paired by the
+single windows (runs of ``min_words`` words) of them. So every window of a text is paired with the document that first holds
+it: also a passage whose parts are held by others even earlier is found.
+
+Alignment. For each pair the places of what both hold, in the later and in the earlier text, are joined to blocks, and
+the blocks are aligned by patience diff: those that occur once are anchors, the longest chain of anchors that
+runs forward in both texts is one alignment. What it leaves, as repeated and swapped blocks, is aligned again
+until no block is left. Aligned blocks are deleted from the later text.
 
 Ends. Of a block that begins or ends with fewer than ``MIN_LINE`` words that only a later holder adds, these
 words stay: the first holder says where a passage ends.
@@ -22,90 +26,76 @@ A window is known by 64 bits of hash; among n windows sent two different ones ar
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from msgsieve.llm import hashing as H
 from msgsieve.llm.common import broadcast_if_few, read, written
 
 MIN_LINE = 4
 MIN_WORDS = 40
+#: Groups of keys whose rows are counted to find hot ones: a table of at most so many rows.
+CELLS = 1 << 16
+#: Bytes of text whose windows are taken at a time.
+PIECE = 1_000_000
 
-_CLOSES = np.zeros(256, dtype=bool)
-_CLOSES[[ord(c) for c in ".!?"]] = True
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _SPANS_SQL = "array<struct<start: long, stop: long>>"
 
 
-class Lines:
-    """Words and lines of the texts of a column."""
-
-    def __init__(self, column: pa.Array):
-        data, self.offsets = H.buffers(column)
-        self.starts, self.ends, counts = H.runs(data, self.offsets, H._IS_WORD)
-        self.words = H.run_hashes(data, self.starts, self.ends, H._BYTE)
-        self.text_words = np.concatenate([[0], np.cumsum(counts)])
-        n = len(self.words)
-        closes = _CLOSES[data[self.ends - 1]] if n else np.zeros(0, bool)
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
-        if n:
-            closes[:-1] |= breaks[self.starts[1:]] > breaks[self.ends[:-1]]
-            closes[self.text_words[1:][counts > 0] - 1] = True
-        last = np.flatnonzero(closes)
-        self.first = np.concatenate([[0], last[:-1] + 1]) if len(last) else np.zeros(0, int)
-        self.size = last - self.first + 1 if len(last) else np.zeros(0, int)
-        within = np.arange(n) - np.repeat(self.first, self.size)
-        r = H.powers(int(self.size.max()) if len(last) else 1)
-        self.hash = H.mix64(np.add.reduceat(self.words * r[within], self.first) + self.size.astype(H.U64)) if n else np.zeros(0, H.U64)
-        self.text_lines = np.searchsorted(self.first, self.text_words)
-
-
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences, increasing on both sides."""
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+def longest_chain(there: list[int]) -> list[int]:
+    """The numbers of the longest increasing sequence of ``there``, found by patience sorting."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(there)
+    for k, place in enumerate(there):
+        p = bisect_left(tops, place)
+        before[k] = ends[p - 1] if p else -1
+        tops[p : p + 1] = [place]
+        ends[p : p + 1] = [k]
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(k)
+        k = before[k]
+    return chain[::-1]
+
+
+def patience(there: list[int]) -> list[list[int]]:
+    """Alignments of the common blocks of a pair, as lists of their numbers: every block is in one of them.
+
+    ``there`` are their places in the earlier text, in the order of the later one. The first alignment is that of
+    patience diff, the longest chain of blocks that occur once. Others (repeated, swapped) are
+    aligned in one sweep: each continues the alignment that ends nearest before it, or begins one.
+    """
+    often = Counter(there)
+    anchors = [k for k, place in enumerate(there) if often[place] == 1]
+    first = [anchors[k] for k in longest_chain([there[k] for k in anchors])]
+    out, aligned = ([first] if first else []), set(first)
+    later: list[list[int]] = []
+    tops: list[int] = []  # minus the places at which these end, which keeps them ascending
+    for k, place in enumerate(there):
+        if k in aligned:
             continue
-        at: dict = {}
-        for i in range(a0, a1):
-            at[a[i]] = -1 if a[i] in at else i
-        there: dict = {}
-        for j in range(b0, b1):
-            there[b[j]] = -1 if b[j] in there else j
-        anchors = [(at[h], j) for h, j in there.items() if j >= 0 and at.get(h, -1) >= 0]
-        # longest increasing sequence of the positions in a, anchors being ordered by those in b
-        tops: list[int] = []
-        ends: list[int] = []
-        before = [-1] * len(anchors)
-        for k, (i, _) in enumerate(anchors):
-            p = bisect_left(tops, i)
-            before[k] = ends[p - 1] if p else -1
-            if p == len(tops):
-                tops.append(i)
-                ends.append(k)
-            else:
-                tops[p], ends[p] = i, k
-        chain, k = [], ends[-1] if ends else -1
-        while k >= 0:
-            chain.append(anchors[k])
-            k = before[k]
-        chain.reverse()
-        for (i, j), (i2, j2) in zip(chain, [*chain[1:], (a1, b1)]):
-            out.append((i, j))
-            todo.append((i + 1, i2, j + 1, j2))
-        if chain:
-            todo.append((a0, chain[0][0], b0, chain[0][1]))
-    return sorted(out)
+        p = bisect_right(tops, -place)
+        if p == len(tops):
+            tops.append(-place)
+            later.append([k])
+        else:
+            tops[p] = -place
+            later[p].append(k)
+    return out + later
+
+
+def blocks(place: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Where the blocks begin among windows at ``place`` (ascending) that stand at ``there`` in the earlier text."""
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(there) != 1)
+    return np.flatnonzero(new)
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -164,20 +154,38 @@ def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in H.pieces(batch, "text"):
+            for part in H.pieces(batch, "text", PIECE):
                 w = Windows(part.column(1), min_words)
                 new = np.ones(len(w.of), bool)
                 new[1:] = (w.link[1:] != w.link[:-1]) | (w.of[1:] != w.of[:-1])
                 ids = part.column(0).take(pa.array(w.of[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(w.link[new].view(np.int64)), ids], ["link", "id"])
 
-    links = docs.select("id", "text").mapInArrow(run, "link long, id long")
+    links = written(docs.select("id", "text").mapInArrow(run, "link long, id long"), "line-all")
     several = links.groupBy("link").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("link")
-    return links.join(several, "link").groupBy("id").agg(F.collect_set("link").alias("links"))
+    return dealt_join(links, several, "link", "id").groupBy("id").agg(F.collect_set("link").alias("links"))
+
+
+def dealt_join(rows: DataFrame, each: DataFrame, key: str, by: str) -> DataFrame:
+    """The stored ``rows`` joined with ``each``, which has one row for a key, however many rows a key has.
+
+    Rows are counted by cells of keys, of which there are ``CELLS``. The rows of a cell far above the mean are dealt over parts by
+    the hash of ``by``, and its few rows of ``each`` are repeated for the parts.
+    """
+    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS))
+    counts = rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / F.greatest(F.lit(1000), 4 * F.sum("_n").over(W.partitionBy()) / CELLS)).cast("int")
+    hot = F.broadcast(written(counts.select("_cell", parts.alias("_parts")).where("_parts > 1"), "line-hot"))  # at most CELLS rows
+    many = F.coalesce("_parts", F.lit(1))
+    rows = rows.withColumn("_cell", cell).join(hot, "_cell", "left")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_cell", "_parts")
+    each = each.withColumn("_cell", cell).join(hot, "_cell", "left")
+    each = each.withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_cell", "_parts")
+    return rows.join(each, [key, "_part"]).drop("_part")
 
 
 def expanded(held: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """Place, start, stop and first holder of each window of stretches ``(place, starts, stops, a, better)``."""
+    """Place, start, stop, first holder and place there of each window of stretches ``(place, starts, stops, a, there, better)``."""
     steps = held.field("starts")
     sizes = steps.value_lengths().to_numpy().astype(np.int64)
     first = np.cumsum(sizes) - sizes
@@ -187,11 +195,14 @@ def expanded(held: pa.StructArray) -> tuple[np.ndarray, ...]:
         sums = np.cumsum(held.field(name).flatten().to_numpy().astype(np.int64))
         out.append(sums - np.repeat(np.concatenate([[0], sums])[first], sizes))
     a = np.repeat(held.field("a").to_numpy(), sizes)
+    there = np.repeat(held.field("there").to_numpy(), sizes).astype(np.int64) + number
     better = held.field("better")
     many = better.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = better.flatten()
-    a[np.repeat(first, many) + flat.field("number").to_numpy()] = flat.field("a").to_numpy()
-    return out[0].astype(np.int64), out[1], out[2], a
+    at = np.repeat(first, many) + flat.field("number").to_numpy()
+    a[at] = flat.field("a").to_numpy()
+    there[at] = flat.field("there").to_numpy()
+    return out[0].astype(np.int64), out[1], out[2], a, there
 
 
 def without_edges(place: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
@@ -220,7 +231,7 @@ def stretches(texts: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in H.pieces(batch, "text"):
+            for part in H.pieces(batch, "text", PIECE):
                 w = Windows(part.column(2), min_words)
                 first = np.searchsorted(w.of, np.arange(part.num_rows + 1))
                 keep = np.zeros(len(w.of), bool)
@@ -260,61 +271,69 @@ def stretches(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def holders(rows: DataFrame) -> DataFrame:
-    """``stretch, a, better``: the first document ``a`` with each stretch that is held more than once, and the windows
-    of it, by number, that an even earlier one holds, with the first that does.
+    """``stretch, a, there, better``: the first document ``a`` with each stretch that is held more than once and its place
+    there, and the windows of it, by number, that an even earlier one holds, with the first that does and the place there.
 
     Who first holds a window first holds the stretch it stands in there. So only first holders of stretches are
-    compared window by window, and only under links of which there are several.
+    compared window by window, and only under lines of which there are several.
     """
-    held = written(rows.groupBy("stretch").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("link").alias("link")), "line-stretches")
+    first = F.min(F.struct(F.col("id").alias("a"), F.col("place").alias("there")))
+    held = rows.groupBy("stretch").agg(first.alias("f"), F.max("id").alias("z"), F.min("link").alias("link"))
+    held = written(held.select("stretch", "f.a", "f.there", "z", "link"), "line-stretches")
     several = held.groupBy("link").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("link")
-    open_ = held.join(several, "link").select("stretch", F.col("a").alias("id"))
-    each = rows.join(open_, ["stretch", "id"]).select("stretch", "id", F.posexplode("windows").alias("number", "window"))
+    open_ = dealt_join(held, several, "link", "stretch").select("stretch", F.col("a").alias("id"), F.col("there").alias("place"))
+    each = rows.join(open_, ["stretch", "id", "place"]).select("stretch", "id", "place", F.posexplode("windows").alias("number", "window"))
     each = written(each, "line-windows")
-    first = each.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("window", "a")
-    better = each.join(first, "window").where("a < id").groupBy("stretch").agg(F.collect_set(F.struct("number", "a")).alias("better"))
-    return held.join(better, "stretch", "left").where("a < z OR better IS NOT NULL").select("stretch", "a", "better")
+    earliest = F.min(F.struct(F.col("id").alias("a"), (F.col("place") + F.col("number")).alias("there")))
+    shared = each.groupBy("window").agg(earliest.alias("f"), F.max("id").alias("z")).where("f.a < z").select("window", "f.*")
+    better = dealt_join(each, shared, "window", "stretch").where("a < id")
+    better = better.groupBy("stretch").agg(F.collect_set(F.struct("number", "a", "there")).alias("better"))
+    return held.join(better, "stretch", "left").where("a < z OR better IS NOT NULL").select("stretch", "a", "there", "better")
 
 
 def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``id, digest, a, spans, size``: the byte ranges of a text that are windows ``a`` is the first to hold, a < id."""
+    """``id, digest, a, spans, size``: the byte ranges of a text that are aligned with blocks of ``a``, a < id."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     links = written(shared_links(source, min_words), "line-links")
     own = source.join(broadcast_if_few(links.select("id")), "id", "left_semi") if links.count() <= 500_000 else source
     rows = stretches(own.join(links, "id").select("id", F.xxhash64("text").alias("digest"), "text", "links"), min_words)
     rows = written(rows, "line-rows")
     later = rows.drop("windows", "link").join(written(holders(rows), "line-holders"), "stretch").where("a < id OR better IS NOT NULL")
-    grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "starts", "stops", "a", "better")).alias("held"))
+    grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "starts", "stops", "a", "there", "better")).alias("held"))
 
-    def merged(batches):
+    def aligned_blocks(batches):
         for batch in batches:
-            rows, holders, spans, sizes = [], [], [], []
+            rows, holding, spans, sizes = [], [], [], []
             for k in range(batch.num_rows):
-                place, start, stop, a = expanded(batch.column(2)[k].values)
-                earlier = a < batch.column(0)[k].as_py()
-                place, start, stop, a = place[earlier], start[earlier], stop[earlier], a[earlier]
-                if not len(place):
+                place, start, stop, a, there = expanded(batch.column(2)[k].values)
+                earlier = np.flatnonzero(a < batch.column(0)[k].as_py())
+                earlier = earlier[np.argsort(place[earlier])]
+                if not len(earlier):
                     continue
-                order = np.argsort(place)
-                place, start, stop, a = place[order], start[order], stop[order], a[order]
-                keep = without_edges(place, a, min_words)
-                start, stop, a = start[keep], stop[keep], a[keep]
-                order = np.lexsort((start, a))
-                start, stop, a = start[order], stop[order], a[order]
-                new = np.flatnonzero(np.concatenate([[True], (start[1:] > stop[:-1]) | (a[1:] != a[:-1])]))
-                begin, end = start[new], stop[np.concatenate([new[1:] - 1, [len(stop) - 1]])]
-                by = np.flatnonzero(np.concatenate([[True], a[new][1:] != a[new][:-1]]))
-                for x, y in zip(by.tolist(), [*by[1:].tolist(), len(new)]):
+                kept = earlier[without_edges(place[earlier], a[earlier], min_words)]
+                kept = kept[np.argsort(a[kept], kind="stable")]
+                pairs = np.flatnonzero(np.concatenate([[True], np.diff(a[kept]) != 0]))
+                for own in np.split(kept, pairs[1:]):
+                    begins = blocks(place[own], there[own])
+                    starts = start[own[begins]].tolist()
+                    stops = stop[own[np.concatenate([begins[1:], [len(own)]]) - 1]].tolist()
+                    aligned = sorted(b for chain in patience(there[own[begins]].tolist()) for b in chain)
+                    joined: list = []
+                    for b in aligned:
+                        if joined and starts[b] <= joined[-1]["stop"]:
+                            joined[-1]["stop"] = max(stops[b], joined[-1]["stop"])
+                        else:
+                            joined.append({"start": starts[b], "stop": stops[b]})
                     rows.append(k)
-                    holders.append(int(a[new[x]]))
-                    spans.append([{"start": s, "stop": e} for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())])
-                    sizes.append(int((end[x:y] - begin[x:y]).sum()))
+                    holding.append(int(a[own[0]]))
+                    spans.append(joined)
+                    sizes.append(sum(x["stop"] - x["start"] for x in joined))
             at = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(holders, pa.int64())]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(holding, pa.int64())]
             columns += [pa.array(spans, _SPANS), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "a", "spans", "size"])
 
-    return grouped.mapInArrow(merged, f"id long, digest long, a long, spans {_SPANS_SQL}, size long")
+    return grouped.mapInArrow(aligned_blocks, f"id long, digest long, a long, spans {_SPANS_SQL}, size long")
 
 
 def spared(held: DataFrame, docs: DataFrame, id_col: str, text: str, percent: int, shingle: int) -> DataFrame:
@@ -415,7 +434,7 @@ def without_repeats(
     else:
         marked = own.join(blocks, ["id", "digest"], "left")
     changed, before = F.col("spans").isNotNull(), F.col("row").getField(text)
-    words = F.size(F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    words = F.regexp_count(before, F.lit(r"[^\x20\x09-\x0D]+"))
     after = F.when(changed, cut(before, F.col("spans"))).otherwise(before)
     kept = [after.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != "words_before"]
     return marked.select(*kept, F.when(changed, words).alias("words_before"))
@@ -424,12 +443,16 @@ def without_repeats(
 def op10_line_dedup(spark, sf_dir):
     """Delete from every document the blocks of 40 words or more that an earlier one holds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    after = without_repeats(docs).withColumn("n_words", F.coalesce(n_words, F.lit(0)))
-    before = F.coalesce("words_before", "n_words")
-    return after.select(
-        "doc_id",
-        (before - F.col("n_words")).cast("long").alias("words_deleted"),
-        F.col("n_words").cast("long"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-    )
+    after = without_repeats(docs).withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
+
+    def counted(batches):
+        for batch in batches:
+            for part in H.pieces(batch, "text", PIECE):
+                own = pa.array(H.word_counts(part.column(1)))
+                deleted = pc.subtract(pc.coalesce(part.column(2).cast(pa.int64()), own), own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), deleted, own, part.column(3)], ["doc_id", "words_deleted", "n_words", "text_crc32"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return after.mapInArrow(counted, f"doc_id {kind}, words_deleted long, n_words long, text_crc32 long")

@@ -1,7 +1,5 @@
 import random
 
-import pyarrow as pa
-
 from conftest import SF_SMALL
 from msgsieve.llm import line_dedup as L
 
@@ -54,14 +52,79 @@ def test_blocks_from_several_documents_and_spared_copies(spark):
     assert run(spark, rows, spare=0.75)[4].text == a
 
 
-def test_order_matters_to_the_alignment():
-    lines = sentences("o", 6)
-    a, b = " ".join(lines), " ".join([*lines[3:], *lines[:3]])
-    x, y = L.Lines(pa.array([a])), L.Lines(pa.array([b]))
-    assert L.patience(x.hash.tolist(), y.hash.tolist()) in ([(0, 3), (1, 4), (2, 5)], [(3, 0), (4, 1), (5, 2)])
-    assert L.patience([1, 2, 3, 9, 4], [1, 2, 7, 3, 4]) == [(0, 0), (1, 1), (2, 3), (4, 4)]
-    assert L.patience([5, 5, 5], [5, 5]) == [(0, 0), (1, 1)]
-    assert L.patience([], [1]) == []
+def test_patience():
+    assert L.longest_chain([3, 0, 1, 5, 2, 4]) == [1, 2, 4, 5]
+    assert L.patience([]) == []
+    # swapped: the blocks that run forward are one alignment, the other one is the next
+    assert L.patience([3, 0, 1, 2]) == [[1, 2, 3], [0]]
+    # repeated blocks are no anchors and are aligned after those that occur once
+    assert L.patience([7, 0, 7, 9]) == [[1, 3], [0], [2]]
+    assert L.patience([5, 5]) == [[0], [1]]
+    rnd = random.Random(3)
+    for _ in range(200):
+        there = [rnd.randint(0, 20) for _ in range(rnd.randint(1, 25))]
+        chains = L.patience(there)
+        assert sorted(k for c in chains for k in c) == list(range(len(there)))
+        assert all(there[x] < there[y] and x < y for c in chains for x, y in zip(c, c[1:]))
+
+
+def plain(rows, size):
+    """Every pair of documents aligned word by word: what is left of each text, as words.
+
+    Earlier documents come in the order of their ids; a word that stands in a common run of ``size`` words goes, but
+    for fewer than four words at an end of a block that an earlier holder of the next ones does not have.
+    """
+    seen: dict = {}
+    out = {}
+    for i, text in sorted(rows):
+        words = (text or "").split()
+        low = [w.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) for w in words]
+        windows = [tuple(low[k : k + size]) for k in range(len(low) - size + 1)]
+        first = [seen.get(w, i) for w in windows]
+        held = [k for k, a in enumerate(first) if a < i]
+        groups: list = []
+        for k in held:
+            if groups and k - groups[-1][-1] <= size:
+                groups[-1].append(k)
+            else:
+                groups.append([k])
+        gone: set = set()
+        for group in groups:
+            drop: set = set()
+            for side in (group, group[::-1]):
+                for n, k in enumerate(side[1 : L.MIN_LINE], 1):
+                    if abs(k - side[0]) >= L.MIN_LINE:
+                        break
+                    if first[k] < first[side[0]]:
+                        drop.update(side[:n])
+                        break
+            gone.update(w for k in group if k not in drop for w in range(k, k + size))
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+        for w in windows:
+            seen.setdefault(w, i)
+    return out
+
+
+def test_query_equals_plain_alignment(spark):
+    path = SF_SMALL
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain(rows, L.MIN_WORDS)
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.text or "").split() for r in L.without_repeats(docs).collect()}
+    assert got == want
+    assert sum(map(len, want.values())) < sum(len((t or "").split()) for _, t in rows)
+    before = {i: len((t or "").split()) for i, t in rows}
+    assert {r.doc_id: (r.words_deleted, r.n_words) for r in L.op10_line_dedup(spark, path).collect()} == {
+        i: (before[i] - len(w), len(w)) for i, w in want.items()
+    }
+
+
+def test_hot_keys_are_dealt(spark):
+    own = [text(1000 + i, 2) + f" own{i}" for i in range(2500)]  # no chance repeats next to the passage
+    rows = [(i, own[i] + (" glued " if i else " first ") + PASSAGE + f" tail{i}", "x") for i in range(2500)]
+    got = run(spark, rows)
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == own[i] + f" glued tail{i}" for i in range(1, 2500))
 
 
 def test_edges(spark):
