@@ -32,7 +32,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
 from msgsieve.llm.common import broadcast_if_few, read, written
@@ -150,7 +150,7 @@ class Windows:
 
 
 def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id, links``: the links of each id of ``docs(id, text)`` that another id has too."""
+    """``id, links``: the links of each id of ``docs(id, text)`` that stand at another place too."""
 
     def run(batches):
         for batch in batches:
@@ -162,7 +162,7 @@ def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w.link[new].view(np.int64)), ids], ["link", "id"])
 
     links = written(docs.select("id", "text").mapInArrow(run, "link long, id long"), "line-all")
-    several = links.groupBy("link").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("link")
+    several = links.groupBy("link").count().where("count > 1").select("link")
     return dealt_join(links, several, "link", "id").groupBy("id").agg(F.collect_set("link").alias("links"))
 
 
@@ -170,17 +170,22 @@ def dealt_join(rows: DataFrame, each: DataFrame, key: str, by: str) -> DataFrame
     """The stored ``rows`` joined with ``each``, which has one row for a key, however many rows a key has.
 
     Rows are counted by cells of keys, of which there are ``CELLS``. The rows of a cell far above the mean are dealt over parts by
-    the hash of ``by``, and its few rows of ``each`` are repeated for the parts.
+    the hash of ``by``, and its few rows of ``each`` are repeated for the parts. At most a quarter of the cells
+    can be so far above the mean, so their list is bounded whatever the table.
     """
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS))
-    counts = rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.greatest(F.lit(1000), 4 * F.sum("_n").over(W.partitionBy()) / CELLS)).cast("int")
-    hot = F.broadcast(written(counts.select("_cell", parts.alias("_parts")).where("_parts > 1"), "line-hot"))  # at most CELLS rows
-    many = F.coalesce("_parts", F.lit(1))
-    rows = rows.withColumn("_cell", cell).join(hot, "_cell", "left")
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), many).cast("int")).drop("_cell", "_parts")
-    each = each.withColumn("_cell", cell).join(hot, "_cell", "left")
-    each = each.withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_cell", "_parts")
+    counts = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    mean = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / CELLS).scalar()
+    doublings = F.ceil(F.log2(F.col("n") / F.greatest(F.lit(1000), 4 * mean))).cast("int").alias("doublings")
+    hot = counts.select("cell", doublings).where("doublings > 0").groupBy("doublings").agg(F.collect_list("cell").alias("cells"))
+    levels = hot.collect()
+    if not levels:
+        return rows.join(each, key)
+    parts = F.lit(1)
+    for r in levels:
+        parts = F.when(cell.isin(r["cells"]), 2 ** r["doublings"]).otherwise(parts)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    each = each.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return rows.join(each, [key, "_part"]).drop("_part")
 
 
