@@ -69,7 +69,7 @@ def test_patience():
 
 
 def plain(rows, size):
-    """Every pair of documents aligned word by word: what is left of each text, as words.
+    """The rule written plainly: what is left of each text, as words.
 
     Earlier documents come in the order of their ids; a word that stands in a common run of ``size`` words goes, but
     for fewer than four words at an end of a block that an earlier holder of the next ones does not have.
@@ -105,7 +105,7 @@ def plain(rows, size):
     return out
 
 
-def test_query_equals_plain_alignment(spark):
+def test_query_equals_the_plain_rule(spark):
     path = SF_SMALL
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
     want = plain(rows, L.MIN_WORDS)
