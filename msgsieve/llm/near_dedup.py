@@ -12,15 +12,18 @@ similarity a pair misses all ``BANDS`` bands with probability (1 - J**ROWS)**BAN
 and 3e-6 at 0.8.
 
 Verification takes whole sets and integer arithmetic. Texts with equal sets are one class from the
-start. In a bucket the first class is compared with all others, so a bucket of thousands of alike texts costs
-one comparison for each. Buckets whose classes are all in one component are finished then, as nothing in
-them could add to a component. In the others every pair of classes from different components
-is compared by its sketches, block by block where a bucket is large and in the first bucket that the two
-share, and pairs whose sketches agree as often as those of linked texts do are verified in their block. What
-leaves a block is which components are linked and no list of pairs. A linked pair agrees less often with a probability under
-1e-9 (Chernoff's bound), so no link between components is lost. Before that, shingles that only one of these
-classes has are counted: they are in no intersection, which bounds the similarity of a class to any other,
-exactly, and keeps a group of thousands of texts that are alike but not enough from being compared in pairs.
+start. In a bucket the class of the smallest id leads; every class is first compared with the one leader it
+shares most buckets with, so a group of thousands of alike texts costs one comparison for each. Buckets whose
+classes are all in one component are finished then, as nothing in them could add to a component. In the others
+every pair of classes from different components is compared by its sketches, block by block where a bucket is large
+and in the first bucket that the two share. Of the classes whose sketches agree with another's as often as those of linked
+texts do, shingles that only one of them has are counted: they are in no intersection, which bounds the similarity of
+a class to any other, exactly, and keeps a group of thousands of texts that are alike but not enough from being
+compared in pairs. What is left is verified on whole sets, in blocks bounded by the bytes of their texts. What
+leaves a block is which components are linked and no list of pairs. A linked pair agrees less often with a
+probability under 1e-9 (Chernoff's bound), so no link between components is lost.
+
+What a class needs (its sketch, component, text) is joined to one row a class that holds its buckets, at most BANDS.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ from msgsieve.llm.common import broadcast_if_few, components, read, written
 BANDS, ROWS = 32, 5
 #: A power of two, so many numbers of bands fit into the last bits of a band's hash.
 NUMBERS = 32
-#: Classes of a bucket whose sketches are compared in one task.
-BLOCK = 1024
+#: Classes of a bucket in a part whose sketches are compared with those of another part in one task.
+BLOCK = 4096
+#: Bytes of text in such a part when whole sets are compared.
+BLOCK_BYTES = 8_000_000
 LOST = 1e-9
 
 
@@ -82,14 +87,14 @@ def least_agreeing(percent: int, t: int = BANDS * ROWS) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """``id, n, key, coords`` for every row: set size, digest of the set, 32 bits of each coordinate."""
+    """``id, n, key, coords`` for every row: set size, digest of the set, 16 bits of each coordinate."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text"):
                 sets = H.shingles(*H.words(part.column(1)), shingle)
-                coords = [(sketch(s) >> H.U64(32)).astype(np.uint32).tobytes() if len(s) else None for s in sets]
+                coords = [(sketch(s) >> H.U64(48)).astype(np.uint16).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -105,20 +110,32 @@ def sketched(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame
 
 def band_hashes(coords: Column) -> Column:
     """A hash of the number and the coordinates of each band, with the number in its last bits."""
-    size = 4 * ROWS
+    size = 2 * ROWS
     hashes = [F.xxhash64(F.lit(i), F.substring(coords, i * size + 1, size)) for i in range(BANDS)]
     return F.array(*[h.bitwiseAND(~(NUMBERS - 1)).bitwiseOR(i) for i, h in enumerate(hashes)])
 
 
-def dealt(open_rows: DataFrame) -> DataFrame:
-    """Rows of ``open_rows(band, node, n, s, c, m)`` in blocks ``(band, x, y)``.
+def per_class(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row for each class of ``rows(node, n, band, ...)``: ``node, n, held``, its bands with the columns ``carried``."""
+    return rows.groupBy("node", "n").agg(F.collect_list(F.struct("band", *carried)).alias("held"))
 
-    A bucket of more than BLOCK classes is dealt by hash into parts, and each pair of parts is a block.
+
+def dealt(open_rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows of ``open_rows(node, n, c, held, ...)``, one a class, as blocks ``(band, x, y)`` of its buckets.
+
+    Buckets of one component are left out. A bucket whose classes weigh more than ``most`` is dealt by hash into
+    parts, and each pair of parts is a block.
     """
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    both = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return both.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "m")
+    weighed = open_rows.withColumn("_weight", weight).select("c", "_weight", F.explode("held.band").alias("band"))
+    bucket = weighed.groupBy("band").agg(F.sum("_weight").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / most)).cast("int").alias("parts")
+    several = written(bucket.where("c1 <> c2").select("band", parts), "mixed")
+    held = open_rows.select("node", "n", "c", F.explode("held.band").alias("band")).join(several, "band")
+    ready = per_class(held, "parts").join(open_rows.drop("held"), ["node", "n"])
+    rows = ready.withColumn("b", F.explode("held")).drop("held").withColumns({"band": F.col("b.band"), "_parts": F.col("b.parts")})
+    own = F.pmod(F.xxhash64("node"), "_parts").cast("int")
+    both = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return both.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "b", "_parts")
 
 
 def block_pairs(table: pa.Table, x: int, y: int, percent: int):
@@ -129,7 +146,7 @@ def block_pairs(table: pa.Table, x: int, y: int, percent: int):
     """
     least, columns = least_agreeing(percent), ("band", "node", "n", "s", "c", "own")
     band, node, n, s, c, own = (table.column(k).to_numpy() for k in columns)
-    coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+    coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
     for i in left.tolist():
         most = np.minimum(s[right], s[i])
@@ -144,16 +161,29 @@ def block_pairs(table: pa.Table, x: int, y: int, percent: int):
 
 
 def with_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Those of ``dealt`` rows, by ``band, x, y, node``, that have a pair to be verified."""
+    """``node, n, c, band`` of ``dealt`` rows that have a pair to be verified; a class in several blocks repeats."""
 
     def run(key, table):
         x, y = key[1].as_py(), key[2].as_py()
         taken = np.zeros(table.num_rows, dtype=bool)
         for i, to in block_pairs(table, x, y, percent):
             taken[i] = taken[to] = True
-        return table.select(["band", "x", "y", "node"]).filter(pa.array(taken))
+        return table.select(["node", "n", "c", "band"]).filter(pa.array(taken))
+
+    return rows.groupBy("band", "x", "y").applyInArrow(run, "node long, n long, c long, band long")
 
-    return rows.groupBy("band", "x", "y").applyInArrow(run, "band long, x int, y int, node long")
+
+def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of ``pairs(a, b, coords_a, coords_b)`` whose sketches agree as often as those of linked texts do."""
+    least = least_agreeing(percent)
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16) for i in (2, 3))
+            alike = (a == b).reshape(batch.num_rows, -1).sum(axis=1) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(alike))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def linked_components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -236,47 +266,36 @@ def near_duplicates(
     row without an id is linked with nothing and has no component. An empty table gives none.
     """
     rows = written(sketched(docs, id_col, text, shingle), "sketch")
-    with_set = rows.where("n > 0 AND id IS NOT NULL")
-    # One class for each different set, named by its smallest id.
-    class_of = with_set.groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"))
-    classes = written(class_of, "classes")
-    owners = with_set.join(classes.selectExpr("key", "node AS id"), ["key", "id"]).dropDuplicates(["key"])
-    nodes = written(owners.selectExpr("id AS node", "n", "coords"), "nodes")
-    member = nodes.select("node", F.explode(band_hashes(F.col("coords"))).alias("band"))
+    # One class for each different set, named by its smallest id. Equal sets have equal sizes and sketches.
+    class_of = rows.where("n > 0 AND id IS NOT NULL").groupBy("key")
+    classes = written(class_of.agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("coords").alias("coords")), "classes")
+    nodes = classes.select("node", "n", "coords")
+    member = nodes.select("node", "n", F.explode(band_hashes(F.col("coords"))).alias("band"))
     several = member.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    rows_of = written(
-        member.join(several.select("band", "leader"), "band").select("band", "leader", "node"), "buckets"
-    )
-    wanted = written(rows_of.select(F.col("node").alias("id")).distinct(), "wanted")
+    buckets = written(per_class(member.join(several.select("band", "leader"), "band"), "leader"), "buckets")
     all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    wanted = written(buckets.select(F.col("node").alias("id")).distinct(), "wanted")
     texts = written(all_texts.join(broadcast_if_few(wanted), "id").select(F.col("id").alias("node"), "text"), "texts")
-    sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"))
-    led = (
-        rows_of.where("leader <> node")
-        .select("leader", "node")
-        .distinct()
-        .join(nodes.select("node", "n"), "node")
-        .join(sizes, "leader")
-        .where(f"100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)")
-        .selectExpr("leader AS a", "node AS b")
-    )
-    links = written(verified(led, texts, shingle, percent), "links")
+    # Each class and the leader that it shares most buckets with.
+    led = buckets.select("node", "n", F.explode("held.leader").alias("a")).where("a <> node").groupBy("node", "n", "a").count()
+    first = led.groupBy("node", "n").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("most"))
+    pairs = first.join(nodes, ["node", "n"]).select((-F.col("most.a")).alias("a"), F.col("node").alias("b"), F.col("coords").alias("coords_b"))
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("coords").alias("coords_a")), "a")
+    pairs = agreeing(pairs.select("a", "b", "coords_a", "coords_b"), percent).distinct()
+    links = written(verified(pairs, texts, shingle, percent), "links")
     component = written(components(links), "components")
-    placed = rows_of.join(component, "node", "left").select(
-        "band", "leader", "node", F.coalesce("component", "node").alias("c")
-    )
-    # The leader has met all others of its bucket: it leaves. Left are buckets of several components.
-    rest = written(placed.where("leader <> node").drop("leader"), "open")
-    mixed = rest.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
-    open_rows = written(rest.join(mixed, "band"), "open-buckets")
-    own = shared_sizes(texts.join(open_rows.select("node").distinct(), "node"), shingle)
-    alike = open_rows.join(nodes.select("node", "n"), "node").join(own, "node", "left")
-    alike = alike.withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * s >= {percent} * n")
-    alike = written(alike.select("band", "node", "n", "s", "c"), "open-alike")
-    many = alike.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-    blocks = dealt(alike.join(many.where("c1 <> c2").select("band", "m"), "band")).join(nodes.select("node", "coords"), "node")
-    chosen = written(with_pairs(blocks, percent), "candidates")
-    more = written(linked_components(blocks.join(chosen, ["band", "x", "y", "node"]).join(texts, "node"), shingle, percent), "links")
+    placed = buckets.join(component, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "held")
+    by_sketch = dealt(placed.join(nodes, ["node", "n"]), F.lit(1), BLOCK).withColumn("s", F.col("n"))
+    chosen = written(with_pairs(by_sketch, percent), "candidates")
+    open_texts = texts.join(chosen.select("node").distinct(), "node")
+    # An id of several classes has shingles of all of them: the bound does not hold for it.
+    repeated = classes.groupBy("node").count().where("count > 1").select("node")
+    own = shared_sizes(open_texts, shingle).join(repeated, "node", "left_anti")
+    alike = per_class(chosen.distinct()).join(placed.drop("held"), ["node", "n"]).join(own, "node", "left")
+    alike = alike.withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * s >= {percent} * n").drop("own")
+    alike = written(alike.select("node", "n", "c", "s", "held").join(nodes, ["node", "n"]).join(texts, "node"), "alike")
+    by_set = dealt(alike, F.octet_length("text"), BLOCK_BYTES)
+    more = written(linked_components(by_set, shingle, percent), "links")
     component = written(components(links.union(more)), "components")
     named = classes.join(component, "node", "left").select(
         "key", F.coalesce("component", "node").alias("component_id")

@@ -86,6 +86,7 @@ def test_groups_equal_brute_force(spark):
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 2000)
     test_groups_equal_brute_force(spark)
 
 
