@@ -138,3 +138,23 @@ def test_models_fitted_together_equal_those_fitted_alone(spark):
             assert np.allclose(model.model.coefficientMatrix.toArray(), alone.model.coefficientMatrix.toArray(), atol=1e-6)
         else:
             assert all(np.allclose(model.model[c].coefficients.toArray(), alone.model[c].coefficients.toArray(), atol=1e-6) for c in LABELS)
+
+
+@pytest.mark.parametrize("cells", [7, 30, 10**6])
+def test_dense_and_sparse_rows_answer_alike(monkeypatch, cells):
+    x, y = data(5)
+    sizes, (_, indices) = (x != 0).sum(axis=1), np.nonzero(x)
+    w = np.random.default_rng(6).normal(size=(4, 3, 8))
+    fits = [Z.Fit("logistic", 7, (1.0, 2.0, 1.0)), Z.Fit("squared_hinge", 7, (1.0, 3.0, 1.0), target=1), Z.Fit("logistic", 7, (1.0, 1.0, 1.0))]
+    asked = list(zip(fits, [("line", w[0], w[1]), ("curve", w[2][:1], w[3][:1]), ("value", w[1])]))
+    monkeypatch.setattr(Z, "CELLS", cells)
+    sums = []
+    for share in (0, 1000):
+        monkeypatch.setattr(Z, "CELLS_AN_ENTRY", share)
+        blocks = list(Z.Rows(y, indices.astype(np.int32), x[x != 0], sizes).parts(7))
+        assert all((b.matrix is not None) == bool(share) for b in blocks) and sum(len(b.y) for b in blocks) == len(y)
+        answers = [b.answers(asked) for b in blocks]
+        sums.append([[sum(own) for own in zip(*each)] for each in zip(*answers)])
+    assert [len(a) for a in sums[0]] == [7, 1, 7]
+    for a, b in zip(*sums):
+        assert all(np.allclose(u, v, rtol=1e-10, atol=1e-10) for u, v in zip(a, b))
