@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from msgsieve.llm.common import broadcast_if_few, read, written
+from msgsieve.llm.common import broadcast_if_few, ordered_rank, read, written
 from msgsieve.llm.line_dedup import without_repeats
 from msgsieve.llm.mixing import mixed
 from msgsieve.llm.near_dedup import near_duplicates
@@ -54,11 +54,28 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in sequences of 2048 tokens."""
+    """Every document's pieces with their places in sequences of 2048 tokens, in the order of ``docs``, a stored table.
+
+    Pieces of one length take the planned places in that order, file after file and row after row, and sequences are numbered by
+    the first document in them: so training reads the sources interleaved as ``mixing`` has them.
+    """
     import public_tokenizers
 
-    pieces = written(tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"]), "pieces")
-    return packed(pieces, ["doc_id", "piece", "start", "ids_crc32"])
+    place = {"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")}
+    order = ["_file", "_row", "piece"]
+    ordered = tokenized(docs.withColumns(place), public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "_file", "_row"])
+    pieces = packed(written(ordered, "pieces"), order, ranked=in_order)
+    pieces = written(pieces, "packed")
+    first = F.min(F.struct(*order)).alias("first")
+    sequences = written(pieces.groupBy("sequence_id").agg(first).select("sequence_id", "first.*"), "sequences")
+    numbered = ordered_rank(sequences.withColumn("_all", F.lit(0)), "_all", order, "_number", "_total").select("sequence_id", "_number")
+    columns = [F.col("_number").alias(c) if c == "sequence_id" else F.col(c) for c in pieces.columns if c not in place]
+    return pieces.join(numbered, "sequence_id").select(*columns)
+
+
+def in_order(pieces: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``pieces`` with their rank ``name`` within ``key``, in that order."""
+    return ordered_rank(pieces, key, order, name, "_of").drop("_of")
 
 
 STAGES = [

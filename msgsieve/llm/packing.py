@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -201,17 +202,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def packed(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+def packed(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, ranked: Callable = rank_within) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    ``order`` are the columns that tell pieces apart. Pass a written table: it is read three times.
+    ``order`` are the columns that tell pieces apart. ``ranked`` gives pieces of one length their turn: in any fixed order by
+    default. Pass a written table: it is read three times.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sorted(plan(histogram, capacity))
     # length and rank as one number: ranks stay far below 2**48
     keys = np.array([(r[0] << 48) + r[1] for r in rows], dtype=np.int64)
     first, times, sequence, offset = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 4))
-    ranked = rank_within(pieces, "length", order, "_rank")
+    placed = ranked(pieces, "length", order, "_rank")
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
@@ -226,7 +228,7 @@ def packed(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Dat
                 own + [pa.array(sequence[at] + step), pa.array(offset[at] + place * length)], [*columns, "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 def op6_packing(spark, sf_dir):

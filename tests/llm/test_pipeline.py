@@ -88,3 +88,19 @@ def test_run_equals_the_stages(spark):
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert full.where("n <> end OR n > 2048").count() == 0
     assert C.ORACLE_SQL is None
+
+
+def test_packing_follows_the_order_of_mixing(spark):
+    rows = [(i, f"one two {i % 10}", "en", f"s{i % 3}", 0) for i in range(3000)]
+    docs = written(spark.createDataFrame(rows, KIND).repartition(5), "plain")
+    got = {}
+    for name, order in (("up", "doc_id"), ("down", F.desc("doc_id"))):
+        stored = written(docs.repartitionByRange(4, order).sortWithinPartitions(order), name)
+        packs = C.packing(spark, stored, "").collect()
+        assert sorted(r.doc_id for r in packs) == list(range(3000)) and len({(r.sequence_id, r.offset) for r in packs}) == 3000
+        got[name] = [r.doc_id for r in sorted(packs, key=lambda r: (r.sequence_id, r.offset))]
+        numbers = {r.sequence_id for r in packs}
+        assert numbers == set(range(len(numbers)))
+    assert got["up"][0] == 0 and got["down"][0] == 2999
+    # All texts are alike in length here, so the packed order is the stored one.
+    assert got["up"] == list(range(3000)) and got["down"] == got["up"][::-1]
