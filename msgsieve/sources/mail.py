@@ -5,7 +5,7 @@ from __future__ import annotations
 import email
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.functions import text as X
@@ -22,6 +22,13 @@ FOLDER_LABELS = {
 }
 
 
+#: Bytes of mails whose parsed parts a worker holds at a time.
+PARSED_BYTES = 1_000_000
+_PARSED = pa.schema(
+    [("subject", pa.string()), ("plain", pa.string()), ("html", pa.string()), ("is_multipart", pa.bool_()), ("error", pa.string())]
+)
+
+
 def _parts(raw: bytes) -> dict:
     """First plain and first HTML body of one mail, decoded as UTF-8 with replacement."""
     mail = email.message_from_bytes(raw)
@@ -41,22 +48,26 @@ def _parts(raw: bytes) -> dict:
     }
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["subject", "plain", "html", "is_multipart", "error"]
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed mails, given on after each ``PARSED_BYTES``: a worker holds no more, however large its batches are."""
     for batch in batches:
-        rows = []
-        for raw in batch["content"]:
+        start, held, rows = 0, 0, []
+        for k in range(batch.num_rows):
+            raw = batch.column(1)[k].as_py()
             try:
-                rows.append(_parts(bytes(raw)))
+                row = _parts(bytes(raw))
+                # Lone surrogates from undecodable headers cannot leave as UTF-8.
+                for c in ("subject", "plain", "html"):
+                    row[c] = row[c] if row[c] is None else row[c].encode("utf-8", "replace").decode("utf-8")
             except Exception as error:  # noqa: BLE001 - a bad mail is counted, not fatal
-                rows.append({**dict.fromkeys(columns), "error": type(error).__name__})
-        parsed = pd.DataFrame(rows, columns=columns, index=batch.index)
-        # Lone surrogates from undecodable headers cannot leave as UTF-8.
-        for c in ("subject", "plain", "html"):
-            parsed[c] = [
-                v if v is None else v.encode("utf-8", "replace").decode("utf-8") for v in parsed[c]
-            ]
-        yield pd.concat([batch.drop(columns="content"), parsed], axis=1)
+                row = {**dict.fromkeys(_PARSED.names), "error": type(error).__name__}
+            rows.append(row)
+            held += len(raw or b"")
+            if held >= PARSED_BYTES or k == batch.num_rows - 1:
+                parsed = pa.RecordBatch.from_pylist(rows, _PARSED)
+                names = [batch.schema.names[0], *_PARSED.names]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *parsed.columns], names)
+                start, held, rows = k + 1, 0, []
 
 
 def parse_mail(raw: DataFrame, decode_subject: bool = False) -> DataFrame:
@@ -67,7 +78,7 @@ def parse_mail(raw: DataFrame, decode_subject: bool = False) -> DataFrame:
     that cannot be parsed, keep their row with status ``skipped``. Encoded words in a subject stay as they are
     unless ``decode_subject`` is set.
     """
-    parsed = raw.select("source_file", "content").mapInPandas(
+    parsed = raw.select("source_file", "content").mapInArrow(
         _parse,
         "source_file string, subject string, plain string, html string, is_multipart boolean, error string",
     )

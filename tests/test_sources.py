@@ -1,6 +1,7 @@
 import mailbox
 from email.message import EmailMessage
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from msgsieve.operators import clean as C
@@ -159,3 +160,13 @@ def test_position_in_an_mbox(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert mail.nth_of_mbox(spark, str(tmp_path), 401).collect() == []
+
+
+def test_parsed_mails_leave_in_bounded_batches():
+    raw = [b"Subject: a\n\n" + b"x" * 400_000, b"Subject: b\n\nshort", None, b"", *[b"Subject: c\n\n" + b"y" * 300_000] * 7]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(raw))]), pa.array(raw, pa.binary())], ["source_file", "content"])
+    out = list(mail._parse(iter([batch.slice(0, 5), batch.slice(5)])))
+    assert [r for b in out for r in b.column(0).to_pylist()] == [str(i) for i in range(len(raw))]
+    assert max(b.nbytes for b in out) < 1_600_000 and len(out) >= 3
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[0]["plain"] == "x" * 400_000 and rows[1]["plain"] == "short" and rows[2]["error"] == "TypeError"
