@@ -158,3 +158,31 @@ def test_dense_and_sparse_rows_answer_alike(monkeypatch, cells):
     assert [len(a) for a in sums[0]] == [7, 1, 7]
     for a, b in zip(*sums):
         assert all(np.allclose(u, v, rtol=1e-10, atol=1e-10) for u, v in zip(a, b))
+
+
+def test_curvature_of_some_rows_saves_passes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 60)) * (rng.random((400, 60)) < 0.4) * np.geomspace(0.05, 4, 60)
+    y = (x @ rng.normal(size=(60, 3)) + rng.normal(size=(400, 3))).argmax(axis=1)
+    rows = rows_of(spark, {0: (x, y)}, str(tmp_path / "v"))
+    fits = [Z.Fit("logistic", 60, (1.0, 2.0, 1.0), 10.0), Z.Fit("squared_hinge", 60, (1.0, 3.0, 1.0), 10.0, 1)]
+    asked = []
+    one_pass = Z._pass
+    monkeypatch.setattr(Z, "_pass", lambda *told: asked.append(1) or one_pass(*told))
+    found = Z.fit_all(rows, fits, 1e-6)
+    for fit, w in zip(fits, found):
+        best, objective = plain_optimum(x, y, fit)
+        assert objective(w) <= objective(best) * (1 + 1e-9)
+    alone = []
+    for fit in fits:  # the same questions, answered here, of directions that the diagonal shapes
+        block = Z.Rows(y, np.tile(np.arange(60), 400), x.ravel(), np.full(400, 60))
+        solver, sent = Z._newton(fit, 1e-6), 0
+        try:
+            question = next(solver)
+            while True:
+                sent += 1
+                question = solver.send(block.answers([(fit, question)])[0])
+        except StopIteration:
+            alone.append(sent)
+    assert 2 * len(asked) < max(alone), (len(asked), alone)
+    rows.unpersist()
