@@ -1,8 +1,12 @@
 from collections import Counter
 
+import pytest
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from msgsieve.functions import grams as G, tokens as K
+from msgsieve.operators.vectorize import tfidf_model
 
 TEXTS = ["It's a I ÀB", None, "", " \t\n", "aaaa aaaa aaa a", "日本語 \U0001f600\U0001f600 x\x00 x", "".join(map(chr, range(0x4E00, 0x6E00))), "ab ab", "ab ab"]
 
@@ -26,3 +30,28 @@ def test_counts_are_folded_over_rows_before_they_leave_a_task(spark):
     df = spark.createDataFrame([("some equal words",)] * 500, "text string").coalesce(1)
     counts = G.gram_counts(df)
     assert counts.count() == counts.select("term").distinct().count()
+
+
+def test_vectors_are_those_of_the_stock_counter(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame(list(enumerate([*TEXTS, "aaaa it's"])), "id int, text string").coalesce(1)
+    terms = sorted({t for r in K.char_ngrams().transform(df).collect() for t in r.char_tokens[:60]}) + ["where", "a b"]
+    stock = CountVectorizerModel.from_vocabulary(terms, inputCol="char_tokens", outputCol="v")
+    want = {r.id: r.v for r in stock.transform(K.char_ngrams().transform(df)).collect()}
+    own = G.GramCounter(terms, inputCol="text", outputCol="v")
+    own.save(str(tmp_path / "own"))
+    for piece, cells in ((3, len(terms) * 2), (G.PIECE, G.CELLS)):
+        monkeypatch.setattr(G, "PIECE", piece)
+        monkeypatch.setattr(G, "CELLS", cells)
+        for model in (own, G.GramCounter.load(str(tmp_path / "own"))):
+            out = model.transform(df)
+            assert out.columns == ["id", "text", "v"]
+            got = {r.id: r.v for r in out.collect()}
+            assert got == want and all(isinstance(v, SparseVector) for v in got.values())
+
+
+def test_no_token_is_made_for_each_place_of_a_text(spark):
+    df = spark.createDataFrame([(0, "some words some words")], "row_id long, text string")
+    model = tfidf_model("char", spark.createDataFrame([(" so", 1.0), ("ord", 2.0)], "term string, idf double"), "text", "features")
+    plan = model.transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert "substring" not in plan and "ArrowEvalPython" in plan
+    assert list(model.transform(df).first()["features"].toArray()) == pytest.approx([0.2**0.5, 0.8**0.5])
