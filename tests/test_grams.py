@@ -6,7 +6,7 @@ from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from msgsieve.functions import grams as G, tokens as K
-from msgsieve.operators.vectorize import tfidf_model
+from msgsieve.operators.vectorize import tfidf_model, token_rows, vocabulary
 
 TEXTS = ["It's a I ÀB", None, "", " \t\n", "aaaa aaaa aaa a", "日本語 \U0001f600\U0001f600 x\x00 x", "".join(map(chr, range(0x4E00, 0x6E00))), "ab ab", "ab ab"]
 
@@ -55,3 +55,16 @@ def test_no_token_is_made_for_each_place_of_a_text(spark):
     plan = model.transform(df)._jdf.queryExecution().executedPlan().toString()
     assert "substring" not in plan and "ArrowEvalPython" in plan
     assert list(model.transform(df).first()["features"].toArray()) == pytest.approx([0.2**0.5, 0.8**0.5])
+
+
+def test_vocabulary_folds_tokens_over_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, "garden club garden club", "club of the garden"]], "text string").coalesce(1)
+    want = token_rows(df, "word").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).collect()
+    for piece in (2, G.PIECE):
+        monkeypatch.setattr(G, "PIECE", piece)
+        got = vocabulary(df, "word", min_df=1).select("term", "df", "tf").collect()
+        assert sorted(got) == sorted(want)
+    monkeypatch.undo()
+    many = spark.createDataFrame([("some equal words",)] * 500, "text string").coalesce(1)
+    plan = vocabulary(many, "word")._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and G.token_counts(K.word_ngrams(out="t").transform(many), "t").count() == 3
