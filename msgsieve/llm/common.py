@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from msgsieve.session import scratch_path
@@ -23,6 +28,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after which the worker gives back to the system what it has freed.
+
+    A worker outlives its task and idles beside the stages that follow: what its allocators keep would be missing there.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return freed memory that Arrow and the C library keep for later; of other libraries than glibc, Arrow's alone."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def broadcast_if_few(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """A stored table of short rows, to be broadcast if it has at most ``rows`` of them; beyond, it is joined
     like any other. Meant for lists of ids that select texts: the texts then stay where they are."""

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
-from msgsieve.llm.common import broadcast_if_few, read, written
+from msgsieve.llm.common import broadcast_if_few, frugal, read, written
 
 MIN_LINE = 4
 MIN_WORDS = 40
@@ -152,6 +152,7 @@ class Windows:
 def shared_links(docs: DataFrame, min_words: int) -> DataFrame:
     """``id, links``: the links of each id of ``docs(id, text)`` that stand at another place too."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text", PIECE):
@@ -234,6 +235,7 @@ def stretches(texts: DataFrame, min_words: int) -> DataFrame:
     the same link: ``stretch`` (a hash of its words), the place of the first window, how far the bytes at
     which windows start and stop are from those of the window before, and the windows' hashes."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text", PIECE):
@@ -306,6 +308,7 @@ def held_before(docs: DataFrame, id_col: str, text: str, min_words: int) -> Data
     later = rows.drop("windows", "link").join(written(holders(rows), "line-holders"), "stretch").where("a < id OR better IS NOT NULL")
     grouped = later.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "starts", "stops", "a", "there", "better")).alias("held"))
 
+    @frugal
     def aligned_blocks(batches):
         for batch in batches:
             rows, holding, spans, sizes = [], [], [], []
@@ -368,6 +371,7 @@ def spared(held: DataFrame, docs: DataFrame, id_col: str, text: str, percent: in
     later = left.where("top IS NOT NULL").select("id", "digest", F.col("top").alias("a"), "text_b")
     pairs = later.join(left.select(F.col("id").alias("a"), "text_a"), "a").select("id", "digest", "a", "text_a", "text_b")
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text_a", 1_000_000):
@@ -450,6 +454,7 @@ def op10_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     after = without_repeats(docs).withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
 
+    @frugal
     def counted(batches):
         for batch in batches:
             for part in H.pieces(batch, "text", PIECE):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
-from msgsieve.llm.common import broadcast_if_few, components, read, written
+from msgsieve.llm.common import broadcast_if_few, components, frugal, read, written
 
 BANDS, ROWS = 32, 5
 #: A power of two, so many numbers of bands fit into the last bits of a band's hash.
@@ -90,6 +90,7 @@ def sketched(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame
     """``id, n, key, coords`` for every row: set size, digest of the set, 16 bits of each coordinate."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text"):
@@ -177,6 +178,7 @@ def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of ``pairs(a, b, coords_a, coords_b)`` whose sketches agree as often as those of linked texts do."""
     least = least_agreeing(percent)
 
+    @frugal
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16) for i in (2, 3))
@@ -219,6 +221,7 @@ def linked_components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 def shared_sizes(texts: DataFrame, shingle: int) -> DataFrame:
     """``node, own``: how many shingles of a class no other of ``texts(node, text)`` has, where there are any."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text", 2_000_000):
@@ -241,6 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         .select("a", "b", "text_a", "text_b")
     )
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text_a", 1_000_000):

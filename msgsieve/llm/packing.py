@@ -8,6 +8,7 @@ next places of a run of sequences. ``packed`` gives each piece the slot of its r
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
-from msgsieve.llm.common import rank_within, read, written
+from msgsieve.llm.common import frugal, rank_within, read, written
 
 CAPACITY = 2048
 #: Words of which a worker remembers the ids; it starts anew beyond this, so its memory is bounded.
 REMEMBERED = 1_000_000
+#: Bytes of text that are encoded at a time.
+STRETCH = 500_000
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -32,22 +35,46 @@ _encoders: dict = {}
 
 
 class WordEncoder:
-    """Token ids of words by a tokenizer that never joins across ASCII white space."""
+    """Token ids of words by a tokenizer that never joins across ASCII white space.
+
+    The ids of words met before are kept in arrays, some 30 bytes a word in place of 120 as objects: for each hash of a word, in their
+    order, where its ids begin and how many there are. Among n words two are alike in 64 bits with a probability of n**2 / 2**65.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
         closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             closes[i] = token.endswith("</w>")
         self.closes = closes
 
-    def learn(self, missing: list[bytes]) -> None:
+    def forget(self) -> None:
+        self.known, self.ids = np.zeros(0, H.U64), np.zeros(0, np.uint32)
+        self.first = self.sizes = np.zeros(0, np.int32)
+
+    def unknown(self, hashes: np.ndarray) -> np.ndarray:
+        """Marks those of ``hashes`` whose words are not remembered."""
+        return np.searchsorted(self.known, hashes) == np.searchsorted(self.known, hashes, side="right")
+
+    def learn(self, hashes: np.ndarray, missing: list[bytes]) -> None:
+        """Remember the ids of words that were not known, in the order of their ``hashes``."""
+        ids = self.encoded(missing)
+        found = [ids[w] for w in missing]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        first = len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.first, self.sizes = np.insert(self.first, at, first), np.insert(self.sizes, at, sizes)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype=np.uint32)])
+
+    def encoded(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Encode words: those of Latin letters alone many at a time, as each is one unit ended by a
         closing token; all others one by one."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        out = {}
         plain, other = [], []
         for w in missing:
             text = w.decode()
@@ -60,9 +87,10 @@ class WordEncoder:
                 other += group
                 continue
             for (w, _), a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.known[w] = ids[a:b].tobytes()
+                out[w] = ids[a:b].tobytes()
         for e, (w, _) in zip(self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False), other):
-            self.known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+            out[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each text."""
@@ -79,23 +107,20 @@ class WordEncoder:
         ends = np.sort(np.concatenate([ends, middle[split]]))
         raw = data.tobytes()
         folded = b"<|" not in raw  # special tokens are told by case, all else is lower-cased anyway
-        _, example, word = np.unique(
+        hashes, example, word = np.unique(
             H.run_hashes(data, starts, ends, H._BYTE if folded else H._EXACT), return_index=True, return_inverse=True
         )
         raw = raw.lower() if folded else raw
-        words = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
-        missing = [w for w in words if w not in self.known]
-        if missing:
-            before = self.known
-            self.learn(missing)
-            if self.known is not before:
-                self.learn([w for w in words if w not in self.known])
-        found = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
-        size, first = sizes[word], (np.cumsum(sizes) - sizes)[word]
+        new = np.flatnonzero(self.unknown(hashes))
+        if len(new) and len(self.known) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            self.learn(hashes[new], [raw[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist())])
+        at = np.searchsorted(self.known, hashes)[word]
+        size, first = self.sizes[at].astype(np.int64), self.first[at].astype(np.int64)
         upto = np.cumsum(size)
-        ids = flat[np.arange(int(upto[-1])) + np.repeat(first - (upto - size), size)]
+        ids = self.ids[np.arange(int(upto[-1])) + np.repeat(first - (upto - size), size)]
         bounds = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         return ids, np.diff(bounds)
 
@@ -133,9 +158,10 @@ def tokenized(
     source = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), PIECE])
 
+    @frugal
     def run(batches):
         for batch in batches:
-            for part in H.pieces(batch, "_text"):
+            for part in H.pieces(batch, "_text", STRETCH):
                 row, piece, start, length, crc = zip(*piece_rows(part.column(len(keep)), path, capacity, end_id))
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(

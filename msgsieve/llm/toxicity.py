@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from msgsieve.llm import hashing as H
 from msgsieve.llm import linear
-from msgsieve.llm.common import read, written
+from msgsieve.llm.common import frugal, read, written
 
 SAMPLE = 20_000
 TERMS_PER_CATEGORY = 256
@@ -92,6 +92,7 @@ def features(column: pa.Array, words: np.ndarray) -> np.ndarray:
 def telling_terms(sample: DataFrame, categories: list[str]) -> np.ndarray:
     """Sorted hashes of the terms that tell each category best; at most TERMS_PER_CATEGORY for each."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "_text"):
@@ -150,6 +151,7 @@ def fit_chain(
     rows = labelled_sample(docs, labels, categories, id_col, text, sample)
     words = telling_terms(rows, categories)
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "_text"):
@@ -201,6 +203,7 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_"
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{n}` double" for n in names)
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, text):

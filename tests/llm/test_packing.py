@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
 
-from msgsieve.llm import packing as P
+from msgsieve.llm import common, packing as P
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,41 @@ def test_ids_are_the_tokenizers(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts)
 
 
+@pytest.mark.parametrize("remembered", [0, 40, 1_000_000])
+def test_ids_stay_right_as_words_are_remembered_and_forgotten(monkeypatch, remembered):
+    monkeypatch.setattr(P, "REMEMBERED", remembered)
+    encoder, rnd = P.WordEncoder(PATH), random.Random(3)
+    words = [w for t in ODD if t for w in t.split()] + [f"{a}{b}" for a in ("ba", "Ko", "été", "x9") for b in ("nu", "LIM.", "s!?", "ør")]
+    for _ in range(30):
+        texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 12))) for _ in range(3)]
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts)
+
+
+def test_a_remembered_word_takes_few_bytes():
+    encoder, n = P.WordEncoder(PATH), 40_000
+    letters = "bcdfghklmnprstvz"
+    texts = ["".join(letters[(i >> s) & 15] + "aeio"[(i >> s) & 3] for s in (0, 4, 8, 12)) for i in range(n)]
+    assert len(set(texts)) == n
+    column = pa.array([" ".join(texts)])
+    P.WordEncoder(PATH).encode(column)  # what is loaded and kept once, whatever the number of words
+    tracemalloc.start()
+    encoder.encode(column)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 60 * n
+
+
+def test_a_worker_gives_memory_back_at_the_end_of_a_partition(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    seen = []
+    for x in common.frugal(lambda batches: (2 * b for b in batches))([1, 2]):
+        assert not given
+        seen.append(x)
+    assert seen == [2, 4] and given == [1]
+
+
 def best_fit_decreasing(lengths, capacity):
     room = []
     for n in sorted(lengths, reverse=True):
