@@ -218,21 +218,35 @@ def linked_components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+def held_by(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different shingles of ``sets``, and of each the least and the largest of the ``nodes`` that hold it."""
+    shingles = np.concatenate(sets)
+    nodes = np.repeat(nodes, [len(x) for x in sets])
+    if not len(shingles):
+        return shingles.view(np.int64), nodes, nodes
+    order = np.argsort(shingles, kind="stable")
+    shingles, nodes = shingles[order], nodes[order]
+    new = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+    return shingles[new].view(np.int64), np.minimum.reduceat(nodes, new), np.maximum.reduceat(nodes, new)
+
+
 def shared_sizes(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, own``: how many shingles of a class no other of ``texts(node, text)`` has, where there are any."""
+    """``node, own``: how many shingles of a class no other of ``texts(node, text)`` has, where there are any.
+
+    A shingle leaves a piece of the table once, with the least and the largest class that hold it there.
+    """
 
     @frugal
     def run(batches):
         for batch in batches:
             for part in H.pieces(batch, "text", 2_000_000):
                 sets = H.shingles(*H.words(part.column(1)), shingle)
-                rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"]
+                    list(map(pa.array, held_by(part.column(0).to_numpy(), sets))), ["shingle", "node", "last"]
                 )
 
-    held = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
-    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    held = texts.select("node", "text").mapInArrow(run, "shingle long, node long, last long")
+    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("last").alias("last")).where("node = last")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 

@@ -106,3 +106,16 @@ def test_query_equals_brute_force(spark):
     got = N.op3_near_dedup(spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_shared_sizes_send_a_shingle_of_a_piece_once(spark):
+    nodes = np.array([7, 3, 3, 9], dtype=np.int64)
+    sets = [np.array(x, dtype=np.uint64) for x in ([1, 2, 2**63], [2, 5], [5, 6], [])]
+    shingles, least, most = N.held_by(nodes, sets)
+    got = {s: (a, b) for s, a, b in zip(shingles.view(np.uint64).tolist(), least.tolist(), most.tolist())}
+    assert len(shingles) == 5 and got == {1: (7, 7), 2: (3, 7), 5: (3, 3), 6: (3, 3), 2**63: (7, 7)}
+    assert [len(x) for x in N.held_by(nodes[3:], sets[3:])] == [0, 0, 0]
+    texts = [(1, "a b c d"), (2, "a b c e"), (2, "a b c e f"), (4, None), (5, "x y z x y z")]
+    for parts in (1, 5):
+        rows = N.shared_sizes(spark.createDataFrame(texts, "node long, text string").repartition(parts), 3).collect()
+        assert {r.node: r.own for r in rows} == {1: 1, 2: 2, 5: 3}
