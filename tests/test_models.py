@@ -124,6 +124,20 @@ def test_a_failing_experiment_becomes_an_error_row(halves):
     assert good[("all", "macro_f1")] == 1.0
 
 
+def test_an_ablation_with_a_failed_variant_is_no_result(halves):
+    train, test = halves
+
+    def predict(spec, solver):
+        if spec == M.FULL_13:
+            raise ValueError("no such signal")
+        return test.select("label", "channel", F.col("label").alias("prediction"))
+
+    with pytest.raises(RuntimeError, match="url_signals/B_all_13 failed: ValueError: no such signal"):
+        M.ablations(train, test, predict=predict)
+    rows = M.ablations(train, test, ("signals", "confounds"), predict).collect()
+    assert {r.ablation for r in rows} == {"signals", "confounds"} and all(r.a == r.b == 1.0 for r in rows if r.metric == "macro_f1")
+
+
 def test_finished_experiments_survive_a_killed_run(spark, halves, tmp_path):
     train, test = halves
 
