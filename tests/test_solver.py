@@ -186,3 +186,57 @@ def test_curvature_of_some_rows_saves_passes(spark, tmp_path, monkeypatch):
             alone.append(sent)
     assert 2 * len(asked) < max(alone), (len(asked), alone)
     rows.unpersist()
+
+
+def test_weighed_entries_are_packed_as_counts(spark, tmp_path):
+    """Counts times weights over a norm of the row, in two blocks, and plain numbers behind them."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(0.6, (90, 12)).astype(float)
+    counts[:3] = 0
+    counts[3:5] *= 300  # more than a byte holds, unless all of a block share it
+    counts[5, :8] = [2, 3, 0, 0, 0, 0, 0, 0]  # no entry that all others are a multiple of
+    weight = rng.uniform(1, 4, 12)
+    x = counts * weight
+    for cut in (slice(0, 8), slice(8, 12)):
+        x[:, cut] /= np.where(x[:, cut].any(axis=1), np.linalg.norm(x[:, cut], axis=1), 1)[:, None]
+    x = np.hstack([x, rng.random((90, 2)) * (rng.random((90, 2)) < 0.7)])
+    y = rng.integers(0, 3, 90)
+    weighing = Z.Weighing(weight, np.repeat([0, 1], [8, 4]))
+    told = [(0, int(c), Vectors.sparse(14, {j: v for j, v in enumerate(r) if v})) for r, c in zip(x.tolist(), y)]
+    spark.createDataFrame(told, ["space", "y", "features"]).select(F.col("space").cast("int"), F.col("y").cast("int"), "features").write.parquet(str(tmp_path / "v"))
+    stored = spark.read.schema(f"space int, y int, features {STORED_VECTOR}").parquet(str(tmp_path / "v"))
+    packed = Z.even_rows(stored, {0: weighing})
+    bytes_of = packed.select(*[F.sum(F.length(c)).alias(c) for c in ("indices", "counts", "values")]).first()
+    entries = np.count_nonzero(x)
+    assert bytes_of.indices == 2 * entries and bytes_of["values"] == 8 * (entries - bytes_of.counts)
+    assert bytes_of.counts > 0.9 * np.count_nonzero(x[:, :12])
+    (batch,) = packed.toArrow().combine_chunks().to_batches()
+    block = Z._rows(batch, weighing)
+    back = np.zeros((90, 14))
+    back[np.repeat(np.arange(90), block.sizes), block.indices] = block.values
+    ordered = lambda m, c: np.array(sorted(np.hstack([m, np.reshape(c, (-1, 1))]).tolist(), key=lambda r: [round(v, 6) for v in r]))
+    assert np.allclose(ordered(back, block.y), ordered(x, y), rtol=1e-13, atol=0)
+    fit = Z.Fit("logistic", 14, (1.0, 2.0, 1.0))
+    (w,), (plain,) = Z.fit_all(packed, [fit], 1e-8, {0: weighing}), Z.fit_all(Z.even_rows(stored), [fit], 1e-8)
+    assert np.allclose(w, plain, atol=1e-6)
+    packed.unpersist()
+
+
+def test_many_fits_keep_little_on_the_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.random((300, 40)) * (rng.random((300, 40)) < 0.4)
+    y = (x @ rng.normal(size=(40, 3)) + rng.normal(size=(300, 3))).argmax(axis=1)
+    rows = rows_of(spark, {0: (x, y)}, str(tmp_path / "v"))
+    fits = [Z.Fit("logistic", 40, (1.0, 1.0, 1.0), c) for c in (0.1, 1.0, 10.0)]
+    monkeypatch.setattr(Z, "DRIVER_BYTES", 3 * 4 * 120**2)  # three inverses of 60 rows with two lines each
+    shaping = Z._shaping(rows, fits, {})[0]
+    assert len(shaping.y) == 60 and not any(isinstance(v, np.ndarray) and v.size > 60 * 60 for v in vars(shaping).values())
+    kept = []
+    scaled = Z._scaled
+    monkeypatch.setattr(Z, "_scaled", lambda rest, shaped, known: kept.append(sum(s.nbytes + y.nbytes for s, y in known)) or scaled(rest, shaped, known))
+    found = Z.fit_all(rows, fits, 1e-8)
+    assert 0 < max(kept) <= Z.DRIVER_BYTES // 3
+    for fit, w in zip(fits, found):
+        best, objective = plain_optimum(x, y, fit)
+        assert objective(w) <= objective(best) * (1 + 1e-9)
+    rows.unpersist()
